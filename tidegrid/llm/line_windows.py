@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import BYTE, BYTE2, Rolling, flat, pieces, ranges, spans, words
@@ -62,7 +62,7 @@ def _windows(width: int):
 
 
 def _kept(width: int):
-    schema = pa.schema([("key", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+    schema = pa.schema([("key", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,19 +70,18 @@ def _kept(width: int):
             places = batch.column("places")
             bounds = np.asarray(places.offsets)
             place = places.values.to_numpy(zero_copy_only=False)
-            total, removed, kept = [], [], []
+            removed, kept = [], []
             for i in range(len(batch)):
                 own = raw[at[i] : at[i + 1]]
-                begin, _, of = lines(own, np.array([0, len(own)]))
+                begin, _, _ = lines(own, np.array([0, len(own)]))
                 gone = np.unique(ranges(place[bounds[i] : bounds[i + 1]].astype(np.int64), np.full(bounds[i + 1] - bounds[i], width)))
                 body = own.tobytes()
                 if len(gone):  # by number among all lines, blank ones too
                     number = set((np.searchsorted(np.flatnonzero(own == NEWLINE), begin[gone])).tolist())
                     body = b"\n".join(x for n, x in enumerate(body.split(b"\n")) if n not in number)
-                total.append(int(of[1]))
                 removed.append(len(gone))
                 kept.append(body.decode("utf-8"))
-            yield pa.record_batch([batch.column("key"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=schema)
+            yield pa.record_batch([batch.column("key"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=schema)
 
     return run
 
@@ -96,14 +95,25 @@ def repeated_places(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """Per document: doc_id, n_lines, n_removed, kept (the text that is left), and the whole row as ``row``."""
+    """Per row: doc_id, n_lines, n_removed, kept (the text that is left), and the whole row as ``row``.
+
+    A row that loses nothing keeps its text as it is, a null one too.
+    """
     own = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("key", F.xxhash64("doc_id", "text"))
     places = repeated_places(own.select("doc_id", "key", "text"), width)
-    told = own.drop("doc_id").join(places, "key", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
-    kept = told.where(F.size("places") > 0).select("key", "text", "places").dropDuplicates(["key"])
-    return _apply(told, kept, doc_id, width)
+    hit = own.select("key", "text").join(places, "key").dropDuplicates(["key"])
+    cut = hit.mapInArrow(_kept(width), "key long, n_removed long, kept string")
+    return own.join(cut, "key", "left").select(
+        "doc_id", n_lines("text"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", F.col("row")[text]).alias("kept"), "row"
+    )
+
+
+def n_lines(text: str) -> Column:
+    """Lines that are more than white space."""
+    return F.regexp_count(F.col(text), F.lit(r"(?m)^[ \t\x0B\f\r]*[^ \t-\r\n].*$")).cast("long").alias("n_lines")
 
 
-def _apply(told: DataFrame, kept: DataFrame, doc_id: str, width: int) -> DataFrame:
-    raise NotImplementedError
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """``docs`` with the text that is left; all rows and columns stay."""
+    return dedup_lines(docs, doc_id, text, width).select(*[F.col("kept").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import suffix_sort
+from . import line_windows, mixing, near_dup, suffix_sort
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of each document, named by its least doc_id."""
+    out = near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=5, threshold=0.8)
+    return out.select("doc_id", "class_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+
+
+def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left of each document when later occurrences of three-line windows are taken out."""
+    out = line_windows.dedup_lines(table(spark, sf_dir, "documents"), width=3)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left of each document when 200-byte strings that repeat are taken out."""
     out = suffix_sort.remove_repeats(table(spark, sf_dir, "documents"), length=200)
@@ -25,6 +37,69 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_suffix_dedup": op7_suffix_dedup}
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix with weights 1, 2, 3 takes of each document."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3, seed=1)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP6_SQL = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no
+  FROM documents),
+full_lines AS (
+  SELECT doc_id, no, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM split
+  WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+windows AS (
+  SELECT doc_id, no, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c,
+         lead(no) OVER w AS no2, lead(no, 2) OVER w AS no3
+  FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+later AS (
+  SELECT doc_id, no, no2, no3, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, no) AS place
+  FROM windows WHERE c IS NOT NULL),
+gone AS (
+  SELECT DISTINCT doc_id, unnest([no, no2, no3]) AS no FROM later WHERE place > 1),
+kept AS (
+  SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.no) AS kept
+  FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.no = g.no WHERE g.no IS NULL GROUP BY s.doc_id)
+SELECT d.doc_id, coalesce(f.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM full_lines GROUP BY doc_id) f USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+LEFT JOIN kept k USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+dealt AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::HUGEINT AS weight, (3 * source_size)::HUGEINT AS most FROM sources),
+ordered AS (
+  SELECT *, row_number() OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST) AS place FROM dealt),
+rest AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) AS words, (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS shares
+  FROM ordered WINDOW before AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levelled AS (
+  SELECT *, most * shares > weight * words AS free FROM rest),
+shared AS (
+  SELECT arg_min(words::DOUBLE / shares::DOUBLE, place) AS level FROM levelled WHERE free),
+planned AS (
+  SELECT source, source_size, CASE WHEN free THEN weight::DOUBLE * level ELSE most::DOUBLE END AS target FROM levelled LEFT JOIN shared ON true),
+rated AS (
+  SELECT s.doc_id, s.size, p.source_size, p.target, CASE WHEN p.source_size > 0 THEN p.target / p.source_size ELSE 0 END AS rate,
+         ('0x' || substr(md5('1:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS draw
+  FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, ((floor(rate) + (draw < rate - floor(rate))::INT) * size)::BIGINT AS taken FROM rated
+"""
+
+QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
+    "op6_line_windows": op6_line_windows,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_source_mix": op8_source_mix,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_line_windows": OP6_SQL, "op8_source_mix": OP8_SQL}

@@ -17,6 +17,10 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: A-Z to a-z, other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+
 _MULT = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INV = pow(_MULT, -1, 1 << 64)
 
