@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_windows, mixing, near_dup, suffix_sort
+from . import line_windows, mixing, near_dup, suffix_sort, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "class_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
+def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document by a machine that never saw the labels of the held-out part."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), out_of=(4, 2))
+    out = toxicity.score(docs.select("doc_id", "text"), model, name="score")
+    return out.select("doc_id", toxicity.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines left of each document when later occurrences of three-line windows are taken out."""
     out = line_windows.dedup_lines(table(spark, sf_dir, "documents"), width=3)
@@ -97,6 +105,7 @@ SELECT doc_id, size, source_size, target, ((floor(rate) + (draw < rate - floor(r
 
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
+    "op2_string_kernel": op2_string_kernel,
     "op6_line_windows": op6_line_windows,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mix": op8_source_mix,
