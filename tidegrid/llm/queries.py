@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_windows, mixing, near_dup, suffix_sort, toxicity
+from . import chat, decontaminate, line_windows, mixing, near_dup, suffix_sort, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,37 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside 10-word windows of benchmark items."""
+    out = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), width=10)
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return out.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and trained text of each conversation, read back from its formatted text."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    out = chat.format_chat(turns.unionByName(more))
+    read = out.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 OP6_SQL = r"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -103,12 +134,60 @@ rated AS (
 SELECT doc_id, size, source_size, target, ((floor(rate) + (draw < rate - floor(rate))::INT) * size)::BIGINT AS taken FROM rated
 """
 
+OP9_SQL = r"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+asked AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+sized AS (
+  SELECT item_id, words, least(len(words), 10) AS size FROM asked WHERE len(words) > 0),
+windows AS (
+  SELECT item_id, size, list_slice(words, i, i + size - 1) AS w
+  FROM (SELECT item_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM sized)),
+places AS (
+  SELECT doc_id, size, i, list_slice(words, i, i + size - 1) AS w
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM lowered, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)),
+found AS (
+  SELECT p.doc_id, p.size, p.i, x.item_id FROM places p JOIN windows x ON p.size = x.size AND p.w = x.w),
+hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+SELECT l.doc_id, len(l.words) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+       sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM lowered l LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+written AS (
+  SELECT *, replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;') AS r,
+         replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;') AS t FROM turns),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, t) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '') AS loss,
+         sum(13 + length(r) + length(t))::BIGINT AS formatted_chars
+  FROM written GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole
+"""
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_string_kernel": op2_string_kernel,
     "op6_line_windows": op6_line_windows,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mix": op8_source_mix,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {"op6_line_windows": OP6_SQL, "op8_source_mix": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op6_line_windows": OP6_SQL,
+    "op8_source_mix": OP8_SQL,
+    "op9_decontaminate": OP9_SQL,
+    "op10_chat": OP10_SQL,
+}
