@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_windows, mixing, near_dup, suffix_sort, toxicity
+from . import chat, decontaminate, line_windows, mixing, near_dup, suffix_sort, syncmers, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,20 @@ def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of each document, beside those of an edited one and of the next."""
+    out = syncmers.compared(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.shown(F.col("anchors")).alias("fingerprint"),
+        syncmers.shown(F.col("edited_anchors")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        syncmers.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+    )
+
+
 def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines left of each document when later occurrences of three-line windows are taken out."""
     out = line_windows.dedup_lines(table(spark, sf_dir, "documents"), width=3)
@@ -178,6 +192,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_string_kernel": op2_string_kernel,
+    "op5_syncmers": op5_syncmers,
     "op6_line_windows": op6_line_windows,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mix": op8_source_mix,
