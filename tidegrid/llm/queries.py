@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_windows, mixing, near_dup, suffix_sort, syncmers, toxicity
+from . import chat, decontaminate, line_windows, mixing, near_dup, ppm, suffix_sort, syncmers, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and unigram log10 probabilities of each document, learned from six parts in seven."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = ppm.count(docs.where(~ppm.held_out(F.col("doc_id"))), order=5)
+    out = ppm.scores(docs, counts, ppm.fit(counts, order=5))
+    return out.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of each document, beside those of an edited one and of the next."""
     out = syncmers.compared(table(spark, sf_dir, "documents"))
@@ -192,6 +200,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_string_kernel": op2_string_kernel,
+    "op4_ppm": op4_ppm,
     "op5_syncmers": op5_syncmers,
     "op6_line_windows": op6_line_windows,
     "op7_suffix_dedup": op7_suffix_dedup,
