@@ -45,5 +45,5 @@ def test_mix(spark):
         own = [x for x in got if x.row.source == s]
         taken = sum(x.size * x.copies for x in own)
         assert abs(taken - own[0].target) <= 0.06 * own[0].target
-    assert repeat(df).count() == sum(x.copies for x in got) and repeat(df).columns == df.columns
+    assert repeat(df).count() == sum(x.copies for x in got) and repeat(df).columns == [*df.columns, "copy"]
     assert mix(df.limit(0)).count() == 0 and repeat(df.limit(0)).count() == 0

@@ -71,5 +71,6 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def repeat(docs: DataFrame, **settings) -> DataFrame:
-    """The mixed corpus itself: each row of ``docs`` as often as the mix takes it."""
-    return mix(docs, **settings).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    """The mixed corpus itself: each row of ``docs`` as often as the mix takes it, with a column ``copy`` from 1."""
+    taken = mix(docs, **settings).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "copy"], "copy")

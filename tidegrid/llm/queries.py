@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_windows, mixing, near_dup, ppm, suffix_sort, syncmers, toxicity
+from . import chat, decontaminate, fm_index, line_windows, mixing, near_dup, ppm, suffix_sort, syncmers, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of each document when 13-word windows of earlier documents are taken out."""
+    out = fm_index.remove_repeats(table(spark, sf_dir, "documents"), width=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PPM and unigram log10 probabilities of each document, learned from six parts in seven."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -104,6 +110,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP3_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM split),
+windows AS (
+  SELECT doc_id, i, list(word) OVER w AS w, count(*) OVER w AS n
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+judged AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY hash(w), w) AS first_doc FROM windows WHERE n = 13),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM judged WHERE first_doc < doc_id),
+kept AS (
+  SELECT p.doc_id, count(g.i) AS n_removed, string_agg(p.word, ' ' ORDER BY p.i) FILTER (g.i IS NULL) AS kept
+  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT s.doc_id, len(s.words) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id)
+"""
+
 OP6_SQL = r"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -200,6 +225,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_string_kernel": op2_string_kernel,
+    "op3_fm_index": op3_fm_index,
     "op4_ppm": op4_ppm,
     "op5_syncmers": op5_syncmers,
     "op6_line_windows": op6_line_windows,
@@ -210,6 +236,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_fm_index": OP3_SQL,
     "op6_line_windows": OP6_SQL,
     "op8_source_mix": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
