@@ -15,7 +15,7 @@ def plain_kernel(a, b):
         out = {}
         for i, j, k in itertools.combinations(range(len(s)), 3):
             if k - i < 5:
-                out[s[i], s[j], s[k]] = out.get((s[i], s[j], s[k]), 0) + T.DECAY ** (k - i + 1)
+                out[s[i], s[j], s[k]] = max(out.get((s[i], s[j], s[k]), 0), T.DECAY ** (k - i + 1))
         return out
 
     x, y = spectrum(a), spectrum(b)

@@ -5,8 +5,8 @@ space. Its units are its words; three or more single characters in a row
 (``i d i o t``) are one unit, white space and all.
 
 *Kernel.* Two units are compared by the subsequences of three characters that
-they share within a span of five, each weighted by ``DECAY`` for every place it
-spans, so letters put in between (``idxiot``) only weaken a match; other
+they share within a span of five, each once and weighted by ``DECAY`` for every place
+its tightest occurrence spans, so letters put in between (``idxiot``) only weaken a match; other
 characters inside a unit (``i.d.i.o.t``) count as nothing. This is the
 gap-weighted subsequence kernel; as few classes of characters make a small, fixed
 set of subsequences (``CLASSES**3``), it is computed through its explicit
@@ -38,10 +38,12 @@ have equal scores; an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -120,12 +122,15 @@ def features(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndar
     near = (reach >= CUT) & (n > 0)  # no landmark is nearer than this bound
     rank = np.cumsum(near) - 1
     total = np.zeros((int(near.sum()), table.shape[1]), np.float32)
-    for on, code, weight in codes:
-        use = near[owner[on]]
-        rows = rank[owner[on[use]]]
-        if len(rows):
-            new = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            total[rows[new]] += np.add.reduceat(table[code[use]], new, axis=0) * weight
+    picked = [(rank[owner[on[use]]], code[use], np.full(int(use.sum()), weight)) for on, code, weight in codes for use in (near[owner[on]],)]
+    rows, code, weight = (np.concatenate(x) for x in zip(*picked, strict=True))
+    order = np.lexsort((-weight, rows * CLASSES**3 + code))
+    rows, code, weight = rows[order], code[order], weight[order]
+    if len(rows):
+        once = np.concatenate(([True], (rows[1:] != rows[:-1]) | (code[1:] != code[:-1])))  # the tightest of each
+        rows, code, weight = rows[once], code[once], weight[once]
+        new = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        total[rows[new]] = np.add.reduceat(table[code] * weight[:, None], new, axis=0)
     out[near] = total
     return np.where(out >= CUT, np.minimum(out, 1), 0).astype(np.float32)
 
@@ -137,7 +142,7 @@ def spectrum(strings: list[bytes]) -> np.ndarray:
         c = CLASS[LOWER[np.frombuffer(s, np.uint8)]]
         for i, j in SHAPES:
             if len(c) > j:
-                np.add.at(out[:, k], (c[:-j] * CLASSES + c[i : len(c) - j + i]) * CLASSES + c[j:], np.float32(DECAY ** (j + 1)))
+                np.maximum.at(out[:, k], (c[:-j] * CLASSES + c[i : len(c) - j + i]) * CLASSES + c[j:], np.float32(DECAY ** (j + 1)))
     return out
 
 
@@ -171,46 +176,55 @@ def sentences(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, sentence: np.
     return out
 
 
+def _chunks(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``limit`` bytes: first text, bytes, offsets."""
+    size, low = np.cumsum([0, *map(len, texts)]), 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(size, size[low] + limit, "right")) - 1)
+        yield low, np.frombuffer(b"".join(texts[low:high]), np.uint8), size[low : high + 1] - size[low]
+        low = high
+
+
 def _landmarks(texts: list[bytes], toxic: np.ndarray, count: int, common: int) -> tuple[list[bytes], int]:
     """N-grams that tell toxic texts best, unlike each other, then some common ones; how many are of the first kind."""
-    raw = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
-    at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    owner = np.repeat(np.arange(len(texts)), np.diff(at))
-    inside = np.concatenate(([0], np.cumsum(SPACE[raw])))
-    roll = Rolling(BYTE[raw])
     found: list[tuple[float, bytes]] = []
     n1, n0 = max(toxic.sum(), 1), max((~toxic).sum(), 1)
-    for size in (4, 5, 6):
-        if len(raw) < size:
+    for size in (4, 5, 6, 8):
+        hashes, bad, places = [], [], []
+        for first, raw, at in _chunks(texts):
+            if len(raw) < size:
+                continue
+            owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            inside = np.concatenate(([0], np.cumsum(SPACE[raw])))
+            h = Rolling(BYTE[LOWER[raw]]).grams(size)
+            where = np.flatnonzero((inside[size:] == inside[:-size]) & (owner[size - 1 :] == owner[: len(owner) - size + 1]))
+            where = where[np.lexsort((owner[where], h[where]))]
+            if len(where):
+                new = np.concatenate(([True], (h[where][1:] != h[where][:-1]) | (owner[where][1:] != owner[where][:-1])))
+                where = where[new]  # each n-gram once a document
+                hashes.append(h[where])
+                bad.append(toxic[first + owner[where]])
+                places.append((first + owner[where]) * (1 << 32) + where - at[owner[where]])
+        if not hashes:
             continue
-        h = roll.grams(size)
-        good = (inside[size:] == inside[:-size]) & (owner[size - 1 :] == owner[: len(owner) - size + 1])
-        where = np.flatnonzero(good)
-        order = np.lexsort((owner[where], h[where]))
-        where = where[order]
-        new = np.concatenate(([True], (h[where][1:] != h[where][:-1]) | (owner[where][1:] != owner[where][:-1])))
-        where = where[new]  # each n-gram once a document
-        _, start, seen = np.unique(h[where], return_index=True, return_counts=True)
-        hits = np.add.reduceat(toxic[owner[where]].astype(np.int64), start) if len(start) else seen
+        h, bad_, place = np.concatenate(hashes), np.concatenate(bad), np.concatenate(places)
+        _, start, which, seen = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        hits = np.bincount(which, bad_)
         p, q = (hits + 0.5) / (n1 + 1), (seen - hits + 0.5) / (n0 + 1)
         gain = np.where((p > q) & (hits >= 4), p * np.log(p / q), 0)
-        for i in np.argsort(-gain, kind="stable")[:400]:
-            if gain[i] > 0:
-                w = where[start[i]]
-                found.append((float(gain[i]) * (1 + size / 100), raw[w : w + size].tobytes()))
-        for i in np.argsort(-seen, kind="stable")[: common if size == 5 else 0]:
-            w = where[start[i]]
-            found.append((0.0, raw[w : w + size].tobytes()))
+        gram = lambda i: texts[place[start[i]] >> 32][(x := int(place[start[i]] & (1 << 32) - 1)) : x + size].lower()  # noqa: B023, E731
+        found += [(float(gain[i]) * (1 + size / 100), gram(i)) for i in np.argsort(-gain, kind="stable")[:400] if gain[i] > 0]
+        found += [(0.0, gram(i)) for i in np.argsort(-seen, kind="stable")[: common if size == 5 else 0]]
     found.sort(key=lambda x: (-x[0], x[1]))
     table = spectrum([s for _, s in found])
-    norm = np.sqrt((table**2).sum(0)) + 1e-9
+    norm = (table**2).sum(0) + 1e-9
     chosen: list[int] = []
     plain = 0
     for i, (gain, _) in enumerate(found):
         if gain and len(chosen) >= count:
             continue
-        like = (table[:, chosen].T @ table[:, i]) / (norm[chosen] * norm[i]) if chosen else np.zeros(1)
-        if like.max() < 0.55 and (gain or plain < common):
+        inside = (table[:, chosen].T @ table[:, i]) / norm[i] if chosen else np.zeros(1)  # how much of it others hold
+        if inside.max() < 0.4 and (gain or plain < common):
             chosen.append(i)
             plain += not gain
     return [found[i][1] for i in chosen], len(chosen) - plain
@@ -238,10 +252,14 @@ def fit(texts: list[bytes], toxic: np.ndarray, count: int = 32, common: int = 8,
         return Model(np.zeros((CLASSES**3, 1), np.float32), np.zeros(1), 0.0, (0.0, float(np.log(rate / (1 - rate)))))
     table = spectrum(marks)
     table /= (table**2).sum(0)  # a landmark's kernel with itself is 1
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    begin, end, sentence, document = units(raw, at)
-    by_sentence = sentences(raw, begin, end, sentence, table).astype(np.float64)
+    parts, counts = [], []
+    for _, raw, at in _chunks(texts):
+        begin, end, sentence, document = units(raw, at)
+        counts.append(np.diff(document))
+        if len(begin):
+            parts.append(sentences(raw, begin, end, sentence, table).astype(np.float64))
+    by_sentence = np.concatenate(parts)
+    document = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
 
     def kernel(strings: list[bytes]) -> np.ndarray:
         ends = np.cumsum([len(m) for m in strings])
@@ -281,7 +299,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, count: int = 32, common: int = 8,
     return Model(table, (root @ w[:-1]).astype(np.float32), float(w[-1]), (max(float(a), 0.0), float(b)))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", out_of: tuple[int, int] | None = (4, 2), per_class: int = 1500, longest: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", out_of: tuple[int, int] | None = (4, 2), per_class: int = 1000, longest: int = 6_000) -> Model:
     """Fit on a bounded sample of labelled rows; ``out_of`` names the part of ids that is not looked at."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     if out_of:
@@ -292,8 +310,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = F.broadcast(sample[0].unionByName(sample[1]))
     own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= longest)
     rows = own.join(sample, "id").groupBy("id", "bad", "draw").agg(F.min("text").alias("text"))
-    taken = [x for y in (0, 1) for x in rows.where(F.col("bad") == y).orderBy("draw").limit(per_class).collect()]
-    return fit([x["text"].encode() for x in taken], np.array([x["bad"] == 1 for x in taken], bool))
+    taken = [rows.where(F.col("bad") == y).orderBy("draw").limit(per_class) for y in (0, 1)]
+    # The sample is bounded, so one task can fit the model; the driver only carries it on.
+    fitted = taken[0].unionByName(taken[1]).select("bad", "draw", "text").coalesce(1).mapInArrow(_fitted, "model binary").head()
+    return pickle.loads(fitted["model"]) if fitted else fit([], np.empty(0, bool))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("bad", "draw", "text")), strict=True))
+    if rows:
+        model = fit([text.encode() for _, _, text in rows], np.array([bad == 1 for bad, _, _ in rows]))
+        yield pa.record_batch([pa.array([cloudpickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
