@@ -1,4 +1,474 @@
 """All queries of the time-series operators, with their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import ecg, features, kernels, series
+
+H6, HOUR = 6 * 3600 * 10**9, 3600 * 10**9
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = SERIES + sql if "series" in sql or "beats" in sql else sql
+        return f
+
+    return add
+
+
+#: The driver's tables as signals: events by user, and embeddings as waves of 64 samples.
+SERIES = """
+WITH series AS (
+  SELECT user_id AS record_id, epoch_us(ts) * 1000 AS ts_ns, event_id AS seq, event_type, value AS v,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i,
+         count(*) OVER (PARTITION BY user_id) AS n,
+         CASE WHEN value BETWEEN 5 AND 100 THEN 1 ELSE 0 END AS ok
+  FROM events),
+wave AS (
+  SELECT vec_id AS record_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i, label FROM embeddings),
+"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) * 1000")
+    out = table(spark, sf_dir, "events").select(F.col("user_id").alias("record_id"), ts.alias("ts_ns"), F.col("event_id").alias("seq"), "event_type", F.col("value").alias("v"))
+    return out.withColumn("ok", series.valid_flag(F.col("v"), 5, 100)).withColumn("bad", 1 - F.col("ok"))
+
+
+def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), "label", F.posexplode("embedding").alias("i", "x"))
+    return out.withColumns({"x": F.col("x").cast("double"), "i": F.col("i").cast("long"), "ts_ns": F.col("i").cast("long")})
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+@query("""q AS (SELECT *, ts_ns - lag(ts_ns) OVER (PARTITION BY record_id ORDER BY ts_ns) AS d FROM series)
+SELECT record_id, count(*) AS n, round(avg(ok), 6) AS valid, count(d) FILTER (d > 1.5 * 21600e9) AS n_missing FROM q GROUP BY record_id""")
+def record_quality(spark, sf_dir):
+    """Valid share and long gaps of each record."""
+    own = events(spark, sf_dir)
+    share = own.groupBy("record_id").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("valid"))
+    return share.join(series.gap_stats(own, H6).select("record_id", "n_missing"), "record_id", "left").fillna(0, ["n_missing"])
+
+
+@query("""q AS (SELECT record_id, (ts_ns - lag(ts_ns) OVER (PARTITION BY record_id ORDER BY ts_ns)) AS d FROM series),
+g AS (SELECT record_id, d / 1e9 AS s, d > 0.5 * 21600e9 AND d < 1.5 * 21600e9 AS good, d > 1.5 * 21600e9 AS gap FROM q WHERE d IS NOT NULL)
+SELECT record_id, count(*) FILTER (good) AS n_valid, count(*) FILTER (gap) AS n_missing, round(avg(s) FILTER (good), 3) AS mean_valid_s, round(avg(s) FILTER (gap), 3) AS mean_missing_s FROM g GROUP BY record_id""")
+def gap_stats(spark, sf_dir):
+    return rounded(series.gap_stats(events(spark, sf_dir), H6), "mean_valid_s", "mean_missing_s", digits=3)
+
+
+@query("""b AS (SELECT record_id, i, i - row_number() OVER (PARTITION BY record_id ORDER BY i) AS g FROM series WHERE ok = 0),
+r AS (SELECT record_id, min(i) AS first, max(i) AS last FROM b GROUP BY record_id, g)
+SELECT record_id, first, last, last - first AS length FROM r QUALIFY lead(first) OVER (PARTITION BY record_id ORDER BY first) IS NOT NULL""")
+def islands_invalid(spark, sf_dir):
+    return series.islands(events(spark, sf_dir), "bad")
+
+
+@query("""b AS (SELECT record_id, i, i - row_number() OVER (PARTITION BY record_id ORDER BY i) AS g FROM series WHERE ok = 0),
+r AS (SELECT record_id, max(i) - min(i) + 1 AS length FROM b GROUP BY record_id, g)
+SELECT length, count(*) AS n FROM r GROUP BY length""")
+def island_lengths(spark, sf_dir):
+    return series.islands(events(spark, sf_dir), "bad", drop_last=False, inclusive=True).groupBy("length").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT record_id, ts_ns, max(1 - ok) OVER (PARTITION BY record_id ORDER BY ts_ns ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS dilated FROM series""".replace("SELECT record_id, ts_ns, max", "x AS (SELECT 1) SELECT record_id, ts_ns, max"))
+def dilated_mask(spark, sf_dir):
+    return series.dilate(events(spark, sf_dir), "bad", 2).select("record_id", "ts_ns", "dilated")
+
+
+@query("""q AS (SELECT record_id, ts_ns, v AS f, ts_ns / 3.6e12 AS x, lag(v) OVER w AS f0, lead(v) OVER w AS f1, ts_ns / 3.6e12 - lag(ts_ns / 3.6e12) OVER w AS hs, lead(ts_ns / 3.6e12) OVER w - ts_ns / 3.6e12 AS hd FROM series WINDOW w AS (PARTITION BY record_id ORDER BY ts_ns))
+SELECT record_id, ts_ns, round(CASE WHEN f0 IS NULL THEN (f1 - f) / hd WHEN f1 IS NULL THEN (f - f0) / hs ELSE (hs * hs * f1 + (hd * hd - hs * hs) * f - hd * hd * f0) / (hs * hd * (hs + hd)) END, 3) AS slope FROM q""")
+def gradient_slope(spark, sf_dir):
+    out = series.gradient(events(spark, sf_dir), "v", F.col("ts_ns") / 3.6e12)
+    return rounded(out.select("record_id", "ts_ns", "slope"), "slope", digits=3)
+
+
+@query("""q AS (SELECT record_id, i // 10 AS segment, v FROM series WHERE (i // 10 + 1) * 10 <= n)
+SELECT record_id, segment, count(*) AS n, round(avg(v), 6) AS mean FROM q GROUP BY record_id, segment""")
+def segment_tile(spark, sf_dir):
+    return rounded(series.tiles(events(spark, sf_dir), 10).groupBy("record_id", "segment").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), "mean")
+
+
+@query("""q AS (SELECT record_id, i // 10 AS segment FROM series WHERE (i // 10 + 1) * 10 < n)
+SELECT record_id, max(segment) + 1 AS n_segments FROM q GROUP BY record_id""")
+def strict_window_tail(spark, sf_dir):
+    return series.tiles_before_end(events(spark, sf_dir), 10).groupBy("record_id").agg((F.max("segment") + 1).alias("n_segments"))
+
+
+@query("""d AS (SELECT record_id, i, abs(lead(x) OVER (PARTITION BY record_id ORDER BY i) - x) < 0.1 AS small FROM wave),
+s AS (SELECT record_id, i AS place, sum(small::INT) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 20 PRECEDING AND 2 PRECEDING) / 20.0 AS share FROM d)
+SELECT record_id, place, round(share, 6) AS share FROM s, (SELECT 1 FROM series LIMIT 1) WHERE place >= 20 AND (place - 20) % 5 = 0""")
+def sliding_flat_check(spark, sf_dir):
+    return rounded(series.flat_checks(waves(spark, sf_dir), "x", 20, 5, 0.1), "share")
+
+
+@query("""c AS (SELECT record_id, (x * lag(x) OVER (PARTITION BY record_id ORDER BY i) < 0)::INT AS c FROM wave)
+SELECT record_id, coalesce(sum(c), 0)::BIGINT AS crossings FROM c, (SELECT 1 FROM series LIMIT 1) GROUP BY record_id""")
+def zero_crossings(spark, sf_dir):
+    return series.zero_crossings(waves(spark, sf_dir), "x")
+
+
+@query("""q AS (SELECT record_id, ts_ns, v, min(v) OVER w AS lo, max(v) OVER w AS hi FROM series WINDOW w AS (PARTITION BY record_id))
+SELECT record_id, ts_ns, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) END, 6) AS scaled FROM q""")
+def minmax_normalised(spark, sf_dir):
+    return rounded(series.min_max(events(spark, sf_dir), "v").select("record_id", "ts_ns", "scaled"), "scaled")
+
+
+@query("""q AS (SELECT record_id, quantile_cont(v, 0.995) AS q FROM series GROUP BY record_id)
+SELECT record_id, ts_ns, round(v / q, 6) AS scaled FROM series JOIN q USING (record_id)""")
+def quantile_norm(spark, sf_dir):
+    return rounded(series.quantile_scaled(events(spark, sf_dir), "v", 0.995).select("record_id", "ts_ns", "scaled"), "scaled")
+
+
+_GRID = """e AS (SELECT record_id, min(ts_ns) AS a, max(ts_ns) AS b FROM series GROUP BY record_id),
+g AS (SELECT record_id, unnest(range(a, a + ((b - a) // 21600000000000) * 21600000000000 + 1, 21600000000000)) AS ts_ns FROM e),
+two AS (SELECT record_id, ts_ns AS t2, v AS v2, ok AS ok2 FROM series WHERE i = 1),
+p AS (SELECT g.record_id, g.ts_ns, s.ts_ns AS pt, s.v AS pv, s.ok AS pok FROM g ASOF LEFT JOIN series s ON g.record_id = s.record_id AND g.ts_ns > s.ts_ns),
+n AS (SELECT p.*, s.ts_ns AS nt, s.v AS nv, s.ok AS nok FROM p ASOF LEFT JOIN series s ON p.record_id = s.record_id AND p.ts_ns <= s.ts_ns),
+f AS (SELECT n.record_id, n.ts_ns, coalesce(pt, nt) AS pt, coalesce(pv, nv) AS pv, coalesce(pok, nok) AS pok,
+        CASE WHEN pt IS NULL THEN coalesce(t2, nt) ELSE nt END AS nt, CASE WHEN pt IS NULL THEN coalesce(v2, nv) ELSE nv END AS nv, CASE WHEN pt IS NULL THEN coalesce(ok2, nok) ELSE nok END AS nok
+      FROM n LEFT JOIN two USING (record_id))"""
+
+
+@query(_GRID + """ SELECT record_id, ts_ns, round(pv + (nv - pv) * CASE WHEN nt > pt THEN (ts_ns - pt) / (nt - pt)::DOUBLE ELSE 0 END, 6) AS v FROM f""")
+def resample_linear(spark, sf_dir):
+    return rounded(series.resample(events(spark, sf_dir), ["v"], H6), "v")
+
+
+@query(_GRID + """ SELECT record_id, ts_ns, (pok & nok) AS ok FROM f""")
+def resample_status_and(spark, sf_dir):
+    return series.resample(events(spark, sf_dir), [], H6, flags=["ok"])
+
+
+_SIDES = "l AS (SELECT record_id, ts_ns, seq FROM series WHERE event_type = 'click'), r AS (SELECT record_id, ts_ns, v FROM series WHERE event_type = 'error')"
+
+
+def _click_error(spark, sf_dir):
+    own = events(spark, sf_dir)
+    return own.where("event_type = 'click'").select("record_id", "ts_ns", "seq"), own.where("event_type = 'error'").select("record_id", "ts_ns", "v")
+
+
+@query(_SIDES + " SELECT l.record_id, l.ts_ns, l.seq, r.v FROM l ASOF LEFT JOIN r ON l.record_id = r.record_id AND l.ts_ns < r.ts_ns")
+def asof_strict_forward(spark, sf_dir):
+    return series.as_of(*_click_error(spark, sf_dir), "v", "forward", strict=True)
+
+
+@query(_SIDES + " SELECT l.record_id, l.ts_ns, l.seq, r.v FROM l ASOF LEFT JOIN r ON l.record_id = r.record_id AND l.ts_ns >= r.ts_ns")
+def asof_backward(spark, sf_dir):
+    return series.as_of(*_click_error(spark, sf_dir), "v", "backward")
+
+
+@query("""k AS (SELECT record_id, ts_ns + 60000000000 AS a, ts_ns + 7200000000000 AS b FROM series WHERE event_type = 'error'),
+x AS (SELECT record_id, a, b, coalesce((SELECT max(i) FROM series s WHERE s.record_id = k.record_id AND s.ts_ns <= k.a), 0) AS fi,
+        coalesce((SELECT min(i) FROM series s WHERE s.record_id = k.record_id AND s.ts_ns > k.b), (SELECT max(i) FROM series s WHERE s.record_id = k.record_id)) AS li FROM k)
+SELECT s.record_id, s.ts_ns, (EXISTS (SELECT 1 FROM x WHERE x.record_id = s.record_id AND s.i BETWEEN x.fi AND x.li))::INT AS inside FROM series s""")
+def interval_mask(spark, sf_dir):
+    own = events(spark, sf_dir)
+    spans = own.where("event_type = 'error'").select("record_id", (F.col("ts_ns") + 60 * 10**9).alias("start_ns"), (F.col("ts_ns") + 2 * HOUR).alias("end_ns"))
+    return series.interval_mask(own.select("record_id", "ts_ns"), spans)
+
+
+@query("""WITH l AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 3 <> 0),
+r AS (SELECT o_orderkey AS k, 0.0::DOUBLE AS price, o_orderpriority AS prio FROM orders WHERE o_orderkey % 2 = 0)
+SELECT coalesce(l.k, r.k) AS k, coalesce(l.price, r.price) AS price, r.prio FROM l FULL JOIN r ON l.k = r.k""")
+def coalescing_join(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    left = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("price"))
+    right = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.lit(0.0).alias("price"), F.col("o_orderpriority").alias("prio"))
+    return series.coalescing_join(left, right, "k")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def semi_join(spark, sf_dir):
+    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").where("l_quantity > 49"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10)")
+def anti_join(spark, sf_dir):
+    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").where("l_quantity > 10"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("""q AS (SELECT record_id, ts_ns // 86400000000000 AS day, seq, v, row_number() OVER (PARTITION BY record_id, ts_ns // 86400000000000 ORDER BY seq DESC) AS rn FROM series)
+SELECT record_id, day, seq, v FROM q WHERE rn = 1""")
+def dedupe_last(spark, sf_dir):
+    own = events(spark, sf_dir).select("record_id", F.expr("ts_ns div 86400000000000").alias("day"), "seq", "v")
+    return series.dedupe_last(own, ["record_id", "day"], "seq")
+
+
+_LOW = """s1 AS (SELECT record_id, i, sum(x) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS s, x FROM wave),
+lo AS (SELECT record_id, i, x, sum(s) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS low FROM s1),
+u AS (SELECT *, (CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS sg, 32 * coalesce(lag(low, 16) OVER w, 0) + coalesce(lag(low, 32) OVER w, 0) - low AS uu FROM lo WINDOW w AS (PARTITION BY record_id ORDER BY i)),
+hi AS (SELECT *, sg * sum(sg * uu) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high FROM u),
+ba AS (SELECT *, high / greatest(max(high) OVER w, -min(high) OVER w) AS band FROM hi WINDOW w AS (PARTITION BY record_id)),
+de AS (SELECT *, (CASE WHEN i >= 2 THEN -2 * lag(band) OVER w - lag(band, 2) OVER w WHEN i = 1 THEN -2 * lag(band) OVER w ELSE 0 END + 2 * coalesce(lead(band) OVER w, 0) + coalesce(lead(band, 2) OVER w, 0)) * 64 / 8 AS derivative FROM ba WINDOW w AS (PARTITION BY record_id ORDER BY i)),
+it AS (SELECT *, sum(derivative * derivative) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) / 10 AS integrated FROM de),
+one AS (SELECT 1 FROM series LIMIT 1)"""
+
+
+@query(_LOW + " SELECT record_id, i, round(low, 6) AS low, round(high, 6) AS high, round(band, 6) AS band, round(derivative, 6) AS derivative, round(integrated, 6) AS integrated FROM it, one")
+def qrs_front_end(spark, sf_dir):
+    """Low pass, high pass, derivative, square and moving integration."""
+    out = ecg.front_end(waves(spark, sf_dir), "x", 64)
+    cols = ["low", "high", "band", "derivative", "integrated"]
+    return rounded(out.select("record_id", "i", *cols), *cols)
+
+
+@query("""s AS (SELECT record_id, i, sum(x) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) / 25 AS y FROM wave)
+SELECT record_id, i, round(y, 6) AS y FROM s, (SELECT 1 FROM series LIMIT 1)""")
+def smooth25(spark, sf_dir):
+    return rounded(ecg.moving(waves(spark, sf_dir), "x", 25, "y", centred=True).select("record_id", "i", "y"), "y")
+
+
+@query("""q AS (SELECT record_id, i, x, lag(x) OVER w AS a, lead(x) OVER w AS b FROM wave WINDOW w AS (PARTITION BY record_id ORDER BY i))
+SELECT record_id, i FROM q, (SELECT 1 FROM series LIMIT 1) WHERE i >= 4 AND x > a AND x > b""")
+def local_maxima(spark, sf_dir):
+    return ecg.local_maxima(waves(spark, sf_dir), "x", 4).select("record_id", "i")
+
+
+@query("""m AS (SELECT a.record_id, a.i, arg_min(b.i, b.i) FILTER (b.x = t.top) AS snapped FROM wave a
+  JOIN (SELECT record_id, i, max(x) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS top FROM wave) t ON a.record_id = t.record_id AND a.i = t.i
+  JOIN wave b ON a.record_id = b.record_id AND b.i BETWEEN a.i - 5 AND a.i + 5 WHERE a.i % 16 = 8 GROUP BY a.record_id, a.i)
+SELECT record_id, i, snapped FROM m, (SELECT 1 FROM series LIMIT 1)""")
+def peak_snap(spark, sf_dir):
+    return ecg.snapped(waves(spark, sf_dir).withColumn("peak", (F.col("i") % 16 == 8).cast("int")), "peak", "x", 5)
+
+
+@query("""q AS (SELECT record_id, ts_ns // 3600000000000 AS t, lead(ts_ns // 3600000000000) OVER (PARTITION BY record_id ORDER BY ts_ns) - ts_ns // 3600000000000 AS nn FROM series),
+k AS (SELECT *, nn - lag(nn) OVER (PARTITION BY record_id ORDER BY t) AS d FROM (SELECT * FROM q WHERE nn BETWEEN 1 AND 48)),
+b AS (SELECT record_id, sum(c) / max(c) AS tri FROM (SELECT record_id, floor(nn / 7.8125) AS b, count(*) AS c FROM k GROUP BY ALL) GROUP BY record_id)
+SELECT k.record_id, count(*) AS n, round(avg(nn), 6) AS mean_nn, round(stddev_samp(nn), 6) AS sdnn, round(sqrt(avg(d * d)), 6) AS rmssd, round(any_value(tri), 6) AS tri_index FROM k JOIN b USING (record_id) GROUP BY k.record_id""")
+def hrv_time(spark, sf_dir):
+    # Times in hours: distinct ones, as intervals of 0 are not kept.
+    own = events(spark, sf_dir).select("record_id", F.expr("ts_ns div 3600000000000").alias("t_ms"))
+    nn = ecg.normal(ecg.intervals(own), 1, 48)
+    return rounded(ecg.variability(nn, ["record_id"], "t_ms"), "mean_nn", "sdnn", "rmssd", "tri_index")
+
+
+@query("""q AS (SELECT record_id, i - lag(i, 1) OVER (PARTITION BY record_id ORDER BY i) AS d FROM series WHERE v > 40)
+SELECT record_id, round(60 * 250 / avg(d), 6) AS heart_rate FROM q GROUP BY record_id""")
+def heart_rate(spark, sf_dir):
+    return rounded(ecg.heart_rate(series.row_index(events(spark, sf_dir)).where("v > 40"), 250), "heart_rate")
+
+
+@query("""s AS (SELECT record_id, i // 16 AS segment, x FROM wave)
+SELECT record_id, segment, round(avg(x), 6) AS mean, round((avg(x * x * x) - 3 * avg(x) * avg(x * x) + 2 * avg(x) ** 3) / var_pop(x) ** 1.5, 5) AS skewness, round(kurtosis_pop(x), 5) AS kurtosis FROM s, (SELECT 1 FROM series LIMIT 1) GROUP BY record_id, segment""")
+def segment_moments(spark, sf_dir):
+    out = features.moments(waves(spark, sf_dir).withColumn("segment", F.expr("i div 16")), ["record_id", "segment"], "x")
+    return rounded(rounded(out, "mean"), "skewness", "kurtosis", digits=5)
+
+
+@query("""d AS (SELECT record_id, i, x, x - lag(x) OVER (PARTITION BY record_id ORDER BY i) AS d FROM wave),
+e AS (SELECT *, d - lag(d) OVER (PARTITION BY record_id ORDER BY i) AS e FROM d)
+SELECT record_id, round(avg(sqrt(1 + d * d)), 6) AS perimeter, round(avg(abs(x)), 6) AS integral, round(avg(x * x), 6) AS power, round(sqrt(avg(x * x)), 6) AS rms, round(var_pop(x), 6) AS activity,
+  round(sqrt(var_pop(d) / var_pop(x)), 6) AS mobility, round(sqrt(var_pop(e) / var_pop(d)) / sqrt(var_pop(d) / var_pop(x)), 6) AS complexity FROM e, (SELECT 1 FROM series LIMIT 1) GROUP BY record_id""")
+def segment_morphology(spark, sf_dir):
+    out = features.morphology(waves(spark, sf_dir), ["record_id"], "x", "i")
+    return rounded(out, *[c for c in out.columns if c != "record_id"])
+
+
+_PAIRS = """beats AS (SELECT vec_id, vec_id // 5 AS win, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+r AS (SELECT a.win, a.vec_id AS beat, b.vec_id AS other, corr(a.x, b.x) AS r FROM beats a JOIN beats b ON a.win = b.win AND a.i = b.i GROUP BY ALL)"""
+
+
+def _correlations(spark, sf_dir):
+    beats = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("win"), F.col("vec_id").alias("beat"), F.col("embedding").cast("array<double>").alias("x"))
+    return ecg.beat_correlations(beats, "win", "beat", "x")
+
+
+@query(_PAIRS + " SELECT win, beat, other, round(r, 6) AS r FROM r")
+def beat_correlation(spark, sf_dir):
+    return rounded(_correlations(spark, sf_dir), "r")
+
+
+@query(_PAIRS + """, g AS (SELECT win, beat, avg(r) AS g FROM r GROUP BY ALL)
+SELECT win, round(avg(g), 6) AS i_score, arg_max(beat, (round(g, 9), -beat)) AS best FROM g GROUP BY win""")
+def i_score(spark, sf_dir):
+    return rounded(ecg.i_score(_correlations(spark, sf_dir), "win", "beat"), "i_score")
+
+
+@query("""q AS (SELECT record_id, ts_ns, v, v - lag(v) OVER (PARTITION BY record_id ORDER BY ts_ns) AS s FROM series)
+SELECT record_id, ts_ns, CASE WHEN coalesce(v BETWEEN 0.02 AND 60 AND abs(s) <= 10, false) THEN 0 ELSE 1 END AS bad FROM q""")
+def eda_range_slope(spark, sf_dir):
+    d = series.differences(events(spark, sf_dir).drop("bad"), "v", "s")
+    return d.select("record_id", "ts_ns", features.eda_flags(F.col("v"), F.col("s"), F.lit(30.0)).alias("bad"))
+
+
+_POINTS = "p AS (SELECT vec_id, label, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings), one AS (SELECT 1 FROM series LIMIT 1)"
+
+
+def _points(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.get("embedding", F.lit(0)).cast("double") * 100).alias("x"), (F.get("embedding", F.lit(1)).cast("double") * 100).alias("y"))
+
+
+@query(_POINTS + " SELECT label, round(2 * -ln(1 - 0.68) * 3.141592653589793 * stddev_pop(x) * stddev_pop(y) * sqrt(greatest(1 - corr(x, y) ** 2, 0)), 4) AS bcea FROM p, one GROUP BY label")
+def bcea(spark, sf_dir):
+    return rounded(features.bcea(["label"], _points(spark, sf_dir), "x", "y"), "bcea", digits=4)
+
+
+@query(_POINTS + """, s AS (SELECT label, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS s FROM p WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+SELECT label, round(coalesce(sum(s), 0), 4) AS path_length, round(max(s), 6) AS longest_step FROM s, one GROUP BY label""")
+def path_length(spark, sf_dir):
+    return rounded(rounded(features.path_length(_points(spark, sf_dir), ["label"], "x", "y", "vec_id"), "path_length", digits=4), "longest_step")
+
+
+@query(_POINTS + """ SELECT win, round(avg((sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 20)::INT), 6) AS recurrence FROM (SELECT *, vec_id // 20 AS win FROM p) a JOIN (SELECT *, vec_id // 20 AS win FROM p) b USING (win), one WHERE a.vec_id < b.vec_id GROUP BY win""")
+def recurrence_rate(spark, sf_dir):
+    out = features.recurrence_rate(_points(spark, sf_dir).withColumn("win", F.expr("vec_id div 20")), "win", "x", "y", "vec_id", 20)
+    return rounded(out, "recurrence")
+
+
+@query("""q AS (SELECT record_id, event_type AS e, lag(event_type) OVER (PARTITION BY record_id ORDER BY ts_ns) AS p FROM series),
+a AS (SELECT record_id, e, count(*) AS c FROM q GROUP BY ALL), b AS (SELECT record_id, p, e, count(*) AS c FROM q WHERE p IS NOT NULL GROUP BY ALL),
+ha AS (SELECT record_id, exp(-sum(x * ln(x))) AS stationary FROM (SELECT record_id, c / sum(c) OVER (PARTITION BY record_id) AS x FROM a) GROUP BY record_id),
+hb AS (SELECT record_id, exp(-sum(x * ln(x))) AS joint FROM (SELECT record_id, c / sum(c) OVER (PARTITION BY record_id) AS x FROM b) GROUP BY record_id)
+SELECT record_id, round(stationary, 6) AS stationary, round(joint, 6) AS joint FROM ha LEFT JOIN hb USING (record_id) WHERE record_id IN (SELECT record_id FROM series)""")
+def transition_entropy(spark, sf_dir):
+    return rounded(features.transition_entropies(events(spark, sf_dir), "record_id", "event_type", "ts_ns"), "stationary", "joint")
+
+
+@query("""q AS (SELECT least(floor((v - 0) / (300 / 30.0::DOUBLE)), 29)::BIGINT AS bin FROM series WHERE v BETWEEN 0 AND 300)
+SELECT bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS proportion FROM q GROUP BY bin""")
+def hist_proportion(spark, sf_dir):
+    return rounded(features.histogram(events(spark, sf_dir), "v", 0, 300, 30), "proportion")
+
+
+@query("""x AS (SELECT 1) SELECT event_type, round(min(v), 6) AS low, round(quantile_cont(v, 0.25), 6) AS q1, round(median(v), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS high FROM series GROUP BY event_type""")
+def quartiles(spark, sf_dir):
+    return rounded(features.quartiles(events(spark, sf_dir), ["event_type"], "v"), "low", "q1", "median", "q3", "high")
+
+
+@query("""WITH p AS (SELECT o_orderkey AS k, o_custkey % 600 AS mx, o_orderkey % 450 AS my, o_custkey % 600 + o_orderkey % 7 AS ax, o_orderkey % 450 + o_custkey % 5 AS ay, o_custkey % 600 - o_orderkey % 11 AS bx, o_orderkey % 450 - o_custkey % 90 AS by_ FROM orders),
+d AS (SELECT (sqrt((ax - mx) ** 2 + (ay - my) ** 2) + sqrt((bx - mx) ** 2 + (by_ - my) ** 2)) / 2 / 750 AS d FROM p)
+SELECT count(*) AS n, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS sd FROM d WHERE d < 0.06""")
+def annotator_distance(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    base = [k.alias("k"), (c % 600).alias("mx"), (k % 450).alias("my")]
+    a = o.select(*base, (c % 600 + k % 7).alias("x"), (k % 450 + c % 5).alias("y"))
+    b = o.select(*base, (c % 600 - k % 11).alias("x"), (k % 450 - c % 90).alias("y"))
+    return rounded(features.annotator_distance(a, b, "k"), "mean", "sd")
+
+
+@query("""f AS (SELECT (ts_ns // 3600000000000) % 100 AS frame, avg(v) AS v FROM series GROUP BY 1)
+SELECT r.frame, round(f.v, 6) AS v FROM (SELECT unnest(range(120)) AS frame) r LEFT JOIN f USING (frame)""")
+def frame_mean_lookup(spark, sf_dir):
+    own = events(spark, sf_dir).withColumn("frame", F.expr("ts_ns div 3600000000000") % 100)
+    return rounded(series.frame_means(own, "frame", ["v"], 120), "v")
+
+
+@query()
+def sample_topk_hash(spark, sf_dir):
+    """Twenty rows without replacement: the limit is the operator."""
+    return series.hash_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 20, 1)
+
+
+@query("""x AS (SELECT 1) SELECT record_id, ts_ns, v FROM series WHERE i >= floor(n * 0.1) AND i < floor(n * 0.9)""")
+def middle_80pct(spark, sf_dir):
+    return series.middle(events(spark, sf_dir).select("record_id", "ts_ns", "v"))
+
+
+@query("""x AS (SELECT 1) SELECT record_id, max(v) AS top, arg_min(seq, seq) FILTER (v = m) AS seq FROM (SELECT *, max(v) OVER (PARTITION BY record_id) AS m FROM series) GROUP BY record_id""")
+def top_per_group(spark, sf_dir):
+    best = F.max(F.struct("v", -F.col("seq"))).alias("m")
+    return events(spark, sf_dir).groupBy("record_id").agg(best).select("record_id", F.col("m.v").alias("top"), (-F.col("m").getField("col2")).alias("seq"))
+
+
+@query("""q AS (SELECT record_id, ts_ns // 86400000000000 AS day, count(*) AS n, avg(ok) AS ok FROM series GROUP BY ALL)
+SELECT record_id, day, round(sum(ok * n) OVER w / sum(n) OVER w, 6) AS cumulative FROM q WINDOW w AS (PARTITION BY record_id ORDER BY day)""")
+def cumulative_valid(spark, sf_dir):
+    """Running share of valid samples, day by day."""
+    from pyspark.sql import Window
+
+    day = events(spark, sf_dir).groupBy("record_id", F.expr("ts_ns div 86400000000000").alias("day")).agg(F.count("*").alias("n"), F.sum("ok").alias("k"))
+    w = Window.partitionBy("record_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return day.select("record_id", "day", F.round(F.sum("k").over(w) / F.sum("n").over(w), 6).alias("cumulative"))
+
+
+@query("""SELECT n_nationkey, (date_diff('microsecond', TIMESTAMP '1970-01-01', (TIMESTAMP '2023-07-14 10:00:00.250' + to_days(n_nationkey) ) ) - 7200000000) * 1000 AS ts_ns FROM nation""")
+def local_time_to_utc(spark, sf_dir):
+    """dd/MM/yyyy and wall-clock time in Europe/Paris to UTC nanoseconds (all of these days are in summer time)."""
+    from ..sources.sensors import paris_to_ns
+
+    day = F.date_format(F.date_add(F.lit("2023-07-14").cast("date"), F.col("n_nationkey")), "dd/MM/yyyy")
+    return table(spark, sf_dir, "nation").select("n_nationkey", paris_to_ns(day, F.lit("10:00:00.250")).alias("ts_ns"))
+
+
+@query("""SELECT n_nationkey, (n_nationkey * 7 * 60 + n_nationkey) * 1000000000::BIGINT AS ns FROM nation""")
+def mmss_to_ns(spark, sf_dir):
+    from ..sources.sensors import mmss
+
+    text = F.concat(F.lpad((F.col("n_nationkey") * 7).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+    text = F.when(F.col("n_nationkey") * 7 > 99, F.concat((F.col("n_nationkey") * 7).cast("string"), F.lit(":"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))).otherwise(text)
+    return table(spark, sf_dir, "nation").select("n_nationkey", mmss(text).alias("ns"))
+
+
+@query("""SELECT n_nationkey AS a, n_name AS b, n_regionkey AS c FROM nation""")
+def csv_repair(spark, sf_dir):
+    """Doubled separators in CSV lines, mended while they are read."""
+    from ..sources.sensors import repaired
+
+    lines = table(spark, sf_dir, "nation").select(F.concat_ws(",,", "n_nationkey", "n_name", "n_regionkey").alias("value"))
+    return repaired(lines, "a INT, b STRING, c INT")
+
+
+@query("""x AS (SELECT 1) SELECT record_id, count(*) AS n, round(sum(v), 4) AS total FROM series GROUP BY record_id""")
+def record_bundle(spark, sf_dir):
+    """Write records as partitioned Parquet and read them again."""
+    from ..sources.sensors import bundle
+
+    out = bundle(events(spark, sf_dir).withColumn("part", F.pmod("record_id", F.lit(4))), "part")
+    return out.groupBy("record_id").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+
+
+@query()
+def qrs_peaks(spark, sf_dir):
+    """Beats found in each wave."""
+    return kernels.qrs_peaks(ecg.front_end(waves(spark, sf_dir), "x", 64), 64)
+
+
+@query()
+def hrv_nonlinear(spark, sf_dir):
+    """Approximate entropy, detrended fluctuation and band powers of intervals."""
+    own = events(spark, sf_dir).select("record_id", F.expr("ts_ns div 1000000").alias("t_ms"))
+    return kernels.nonlinear(ecg.intervals(own), order="t_ms")
+
+
+@query()
+def peak_suppression(spark, sf_dir):
+    return kernels.suppressed_peaks(waves(spark, sf_dir), "x", distance=5, share=0.005)
+
+
+@query()
+def scanpath_kernels(spark, sf_dir):
+    """Lempel-Ziv complexity, fractal dimension, hull area and areas of interest."""
+    return kernels.scanpaths(_points(spark, sf_dir), "label", "vec_id", bandwidth=25.0)
+
+
+@query()
+def fixations(spark, sf_dir):
+    """Two-state labels of gaze speed, and what each fixation is like."""
+    return kernels.fixations(_points(spark, sf_dir), "label", "vec_id", rate=200.0)
+
+
+@query()
+def sparse_decomposition(spark, sf_dir):
+    """Tonic level and sparse driver of each wave."""
+    return kernels.sparse_drivers(waves(spark, sf_dir), "x", rate=4.0)
+
+
+@query()
+def spectrum_bands(spark, sf_dir):
+    return kernels.welch(waves(spark, sf_dir), "x", rate=64.0)
