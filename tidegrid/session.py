@@ -38,9 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again: lineage ends here.
 
     A lost executor costs its running tasks only, and both the size and the
-    statistics of the table are known to later joins.
+    statistics of the table are known to later joins. The shuffle files that it
+    took are needed no more; Spark deletes them when the driver collects its
+    garbage, so that is asked for at once instead of whenever its heap is full.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegrid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
