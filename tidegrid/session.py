@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,5 +46,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegrid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first pass frees what holds the others
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
     return spark.read.schema(df.schema).parquet(path)
