@@ -71,7 +71,8 @@ def _segments(width: int, block: int):
                 first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
                 n = np.diff(np.concatenate((first, [len(p)])))
                 who = owner[first]
-                yield pa.record_batch([grams[anchor[first]].view(np.int64), ids[low + who], keys[low + who], (p[first] - of[who]) * 256 + n], schema=schema)
+                h = (grams[anchor[first]] >> np.uint64(16)).view(np.int64)  # 48 bits: chance equals only cost a search
+                yield pa.record_batch([h, ids[low + who], keys[low + who], (p[first] - of[who]) * 256 + n], schema=schema)
 
     return run
 
@@ -221,7 +222,7 @@ def _without(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 13, block: int = 3, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 13, block: int = 4, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (the other words, one space between), spans (removed ranges of words)."""
     least = -(1 << 63)
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -237,6 +238,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cut = own.join(chosen, "key").select("doc_id", "key", "text", "chosen").mapInArrow(_cut_out(width), "d long, g long, s long, doc_id long, key long, start int, words binary")
     once = cut.groupBy("d", "g", "s", "words").agg(F.min("doc_id").alias("doc_id"))
     found = once.withColumn("shard", F.pmod("d", F.lit(shards))).groupBy("shard").applyInArrow(_searched(width), "g long, s long, least array<long>")
+    found = written(found, "found")
     hit = cut.select("g", "s", "doc_id", "key", "start").join(found, ["g", "s"])
     places = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     by_key = hit.select("key", places.alias("places")).where(F.size("places") > 0).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("hits"))
