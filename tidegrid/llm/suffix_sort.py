@@ -12,8 +12,12 @@ groups of two or more; a suffix alone in its group repeats nothing and leaves:
    in it are equal suffix by suffix and are done.
 3. What is left (runs with a common anchor and different surroundings: the
    edges of shared passages, and one run of each group that pass 2 found equal)
-   goes suffix by suffix through a last pass over all ``length`` bytes, under
-   a 128-bit hash.
+   is cut into steps of up to ``STEP`` suffixes at fixed distances from the anchor.
+   The third digit is the bytes that all suffixes of a step have in common: a
+   step alone in them repeats nothing and leaves. Steps that agree in all bytes
+   they cover are done, as in pass 2.
+4. The rest, and one step of each group that pass 3 found equal, goes suffix by
+   suffix through a last pass over all ``length`` bytes, under a 128-bit hash.
 
 Counts are aggregated before they are shuffled, and the joins back have a
 unique right side, so a passage that a third of the documents share makes no
@@ -71,6 +75,39 @@ def _runs(length: int, block: int):
     return run
 
 
+#: Suffixes in a step of the third pass.
+STEP = 8
+
+
+def _steps(length: int, block: int):
+    schema = pa.schema([("core", pa.int64()), ("cover", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            runs = batch.column("runs")
+            bounds = np.asarray(runs.offsets)
+            start, n = (runs.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "n"))
+            for low, high, raw, at in pieces(batch.column("text")):
+                part = slice(bounds[low], bounds[high])
+                who = np.repeat(np.arange(high - low), np.diff(bounds[low : high + 1]))
+                roll = Rolling(BYTE[raw])
+                begin = start[part] + at[who]
+                away = lowest(roll.grams(block), length - block + 1)[begin] - begin  # the anchor's distance
+                p, of = ranges(begin, n[part]), np.repeat(np.arange(len(begin)), n[part])
+                step = (away[of] - (p - begin[of])) // STEP
+                first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (step[1:] != step[:-1]))))
+                many = np.diff(np.concatenate((first, [len(p)])))
+                b, of, step = p[first], of[first], step[first]
+                anchor = begin[of] + away[of]
+                left = anchor - step * STEP  # the last suffix a step can hold, in this run or not
+                core = roll.of(left, left - STEP + 1 + length, 3) ^ mix(step)
+                cover = roll.of(b, b + many - 1 + length, 4) ^ mix(anchor - b)
+                yield pa.record_batch([core.view(np.int64), cover.view(np.int64), keys[low + who[of]], (b - at[who[of]]).astype(np.int32), many.astype(np.int32)], schema=schema)
+
+    return run
+
+
 def _windows(length: int):
     schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("key", pa.int64()), ("start", pa.int32())])
 
@@ -104,25 +141,35 @@ def repeated_spans(docs: DataFrame, length: int = 200, block: int = 48) -> DataF
     shared = runs.groupBy("h").agg(F.count("*").alias("c"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("c > 1")
     second = written(runs.join(shared.select("h", (F.col("lo") == F.col("hi")).alias("same")), "h"), "suffix-runs")
 
-    mixed = second.where("NOT same")
-    equal = mixed.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("key", "start")).alias("first")).where("c > 1")
-    told = mixed.join(equal, ["h", "ctx"], "left").select(
-        "key", "start", "n", F.col("c").isNotNull().alias("equal"), F.coalesce(F.col("first") == F.struct("key", "start"), F.lit(True)).alias("sorted_on")
-    )
-    third = written(told, "suffix-rest")
+    third = written(_told(second.where("NOT same"), "h", "ctx"), "suffix-rest")
 
     rest = third.where("sorted_on").groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    steps = docs.join(rest, "key").select("key", "text", "runs").mapInArrow(_steps(length, block), "core long, cover long, key long, start int, n int")
+    twice = steps.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+    fourth = written(_told(written(steps.join(twice, "core"), "suffix-steps"), "core", "cover"), "suffix-steps-rest")
+
+    rest = fourth.where("sorted_on").groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     windows = docs.join(rest, "key").select("key", "text", "runs").mapInArrow(_windows(length), "w1 long, w2 long, key long, start int")
     again = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
 
+    end = (F.col("start") + F.col("n") - 1 + length).alias("end")
     return (
-        second.where("same").select("key", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
-        .unionByName(third.where("equal").select("key", "start", (F.col("start") + F.col("n") - 1 + length).alias("end")))
+        second.where("same").select("key", "start", end)
+        .unionByName(third.where("equal").select("key", "start", end))
+        .unionByName(fourth.where("equal").select("key", "start", end))
         .unionByName(windows.join(again, ["w1", "w2"]).select("key", "start", (F.col("start") + length).alias("end")))
         .groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     )
 
 
+def _told(rows: DataFrame, group: str, digit: str) -> DataFrame:
+    """Of rows in one group: ``equal`` if others have its digit too, and ``sorted_on`` but for all but one of those."""
+    equal = rows.groupBy(group, digit).agg(F.count("*").alias("c"), F.min(F.struct("key", "start")).alias("first")).where("c > 1")
+    return rows.join(equal, [group, digit], "left").select(
+        "key", "start", "n", F.col("c").isNotNull().alias("equal"), F.coalesce(F.col("first") == F.struct("key", "start"), F.lit(True)).alias("sorted_on")
+    )
+
+
 _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.binary())])
 
 
