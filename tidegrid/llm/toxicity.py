@@ -43,7 +43,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -152,6 +151,10 @@ class Model:
     def __init__(self, table: np.ndarray, weights: np.ndarray, bias: float, curve: tuple[float, float]):
         self.table, self.weights, self.bias, self.curve = table, weights, bias, curve
 
+    def state(self) -> tuple:
+        """What makes the model, without its code."""
+        return self.table, self.weights, self.bias, self.curve
+
     def of_documents(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         begin, end, sentence, document = units(raw, at)
         best = np.full(len(at) - 1, self.bias, np.float64)
@@ -313,23 +316,24 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     taken = [rows.where(F.col("bad") == y).orderBy("draw").limit(per_class) for y in (0, 1)]
     # The sample is bounded, so one task can fit the model; the driver only carries it on.
     fitted = taken[0].unionByName(taken[1]).select("bad", "draw", "text").coalesce(1).mapInArrow(_fitted, "model binary").head()
-    return pickle.loads(fitted["model"]) if fitted else fit([], np.empty(0, bool))
+    return Model(*pickle.loads(fitted["model"])) if fitted else fit([], np.empty(0, bool))
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("bad", "draw", "text")), strict=True))
     if rows:
         model = fit([text.encode() for _, _, text in rows], np.array([bad == 1 for bad, _, _ in rows]))
-        yield pa.record_batch([pa.array([cloudpickle.dumps(model)], pa.binary())], names=["model"])
+        yield pa.record_batch([pa.array([pickle.dumps(model.state())], pa.binary())], names=["model"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
     """``docs`` with one more column, the score from 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
         for batch in batches:
-            out = [shared.value.of_documents(raw, at) for _, _, raw, at in pieces(batch.column(text), 1 << 21)]
+            out = [model.of_documents(raw, at) for _, _, raw, at in pieces(batch.column(text), 1 << 21)]
             yield pa.record_batch([*batch.columns, pa.array(np.concatenate(out) if out else np.empty(0))], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
