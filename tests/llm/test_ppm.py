@@ -95,3 +95,28 @@ def test_nothing_to_learn_from(spark):
     got = {x.doc_id: x for x in ppm.scores(df, counts, ppm.fit(counts)).collect()}
     assert got[1].score == pytest.approx(-4 * math.log10(256)) and got[2].n_known == 0
     assert ppm.scores(df.limit(0), counts, ppm.fit(counts)).count() == 0
+
+
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_contexts_beyond_the_trie_are_looked_up(spark, order, monkeypatch):
+    monkeypatch.setattr(ppm, "CHUNK", 200)
+    train, test = texts(60), texts(40, 2) + ["", None, "new words ζ", "xyz \x01ban", "banana " * 300]
+    log = plain_ppm(train, order, 1 << 40)
+    counts = ppm.count(spark.createDataFrame([(t,) for t in train], "text string"), order=order)
+    tree = ppm.edges(counts, order)
+    rows = [*enumerate(test), (3, test[3]), (None, "ban")]
+    out = spark.createDataFrame(rows, "doc_id long, text string")
+    for nodes in (1, 30, 1 << 40):
+        model, deep = ppm.fit(counts, order, nodes, tree), ppm.Deep(tree, order, nodes)
+        got = ppm.scores(out, counts, model, deep=deep).collect()
+        assert sorted((x.doc_id is None, x.doc_id or 0) for x in got) == sorted((i is None, i or 0) for i, _ in rows)
+        want = dict(rows)
+        assert all(x.score == pytest.approx(log(want[x.doc_id]), rel=1e-5) for x in got)
+
+
+def test_all_contexts_without_training(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
+    counts = ppm.count(df.limit(0))
+    tree = ppm.edges(counts)
+    got = {x.doc_id: x.score for x in ppm.scores(df, counts, ppm.fit(counts, tree=tree), deep=ppm.Deep(tree)).collect()}
+    assert got == pytest.approx({1: -4 * math.log10(256), 2: -math.log10(256)})

@@ -8,10 +8,12 @@ pretrained model, so scores do not depend on order or partitions.
 
 *Training.* The bytes that follow each context of ``order`` bytes are counted in
 all training documents, summed in the tasks before the shuffle; shorter contexts
-are sums of longer ones. A context is a node of the trie if it holds at least
-one in ``NODES`` of all training bytes: the same contexts at any size of corpus,
-and at most ``NODES`` of each length, which bounds the model that is broadcast.
-Nodes keep everything that follows them.
+are sums of longer ones. Contexts with at least one in ``NODES`` of all training
+bytes (at most ``NODES`` of each length) are the trie that is broadcast; nodes
+keep everything that follows them. All others stay in tables (``deep``): bytes
+after a context that the trie lacks are looked up there, each different one once
+for ``CHUNK`` bytes of text, so every counted context is used and nothing that is
+collected grows with the corpus. Without those tables the trie is the model.
 
 *Prediction.* A byte that followed the longest context has probability
 ``c / (T + q)`` (T: occurrences, q: different bytes); otherwise the escape
@@ -38,17 +40,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from ..session import written
 from .text import BYTE, LOWER, Rolling, pieces, ranges, words
 
-#: A node has one in so many of all training bytes at least.
+#: A node of the broadcast trie has one in so many of all training bytes at least.
 NODES = 1 << 18
 #: A word is frequent from one in so many of all training tokens on.
 FREQUENT = 1 << 23
+#: Bytes of text that look up what the trie lacks together.
+CHUNK = 1 << 23
 END, GAP = 0x0A, 0x20
 
 
@@ -107,8 +112,8 @@ class Model:
         """What makes the model, without its code."""
         return self.order, self.index, self.width, self.child, self.logs
 
-    def of_symbols(self, flat: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each symbol after those before it."""
+    def of_symbols(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the probability of each symbol after those before it, and whether the trie lacks the longest context."""
         s = self.index[flat]
         node = np.zeros(len(s), np.int32)
         top = node.copy()
@@ -116,14 +121,29 @@ class Model:
         for j in range(1, self.order + 1):
             node[j:] = self.child.take(node[j:] * np.int32(self.width) + s[:-j])
             np.copyto(top, node, where=node != dead)
-        return self.logs.take(top * np.int32(self.width) + s)
+        return self.logs.take(top * np.int32(self.width) + s), node == dead
 
     def of_documents(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         flat, block = symbols(raw, at, self.order)
-        logs = self.of_symbols(flat).astype(np.float64)
+        logs = self.of_symbols(flat)[0].astype(np.float64)
         logs[ranges(block[:-1], np.full(len(block) - 1, self.order))] = 0
         return np.add.reduceat(logs, block[:-1]) if len(block) > 1 else np.empty(0)
 
+    def open_documents(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums over what follows the trie's longest contexts; document and ``order + 1`` bytes of every other place."""
+        flat, block = symbols(raw, at, self.order)
+        logs, lacks = self.of_symbols(flat)
+        logs, marks = logs.astype(np.float64), ranges(block[:-1], np.full(len(block) - 1, self.order))
+        lacks[marks] = False
+        logs[marks] = 0
+        places = np.flatnonzero(lacks)
+        logs[places] = 0
+        grams = np.zeros(len(places), np.uint64)
+        for j in range(self.order + 1):
+            grams |= flat[places - j].astype(np.uint64) << np.uint64(8 * j)
+        sums = np.add.reduceat(logs, block[:-1]) if len(block) > 1 else np.empty(0)
+        return sums, np.searchsorted(block, places, "right") - 1, grams
+
 
 def _model(order: int, level: np.ndarray, edge: np.ndarray, n: np.ndarray) -> Model:
     """Tables from the counts of bytes (lowest 8 bits of ``edge``) after the kept contexts of each length."""
@@ -166,19 +186,72 @@ def _model(order: int, level: np.ndarray, edge: np.ndarray, n: np.ndarray) -> Mo
     return Model(order, index, a + 1, child.ravel(), np.concatenate(logs).ravel())
 
 
-def fit(counts: DataFrame, order: int = 5, nodes: int = NODES) -> Model:
-    """The model of ``count``'s rows; what is collected is bounded by ``nodes``."""
+def edges(counts: DataFrame, order: int = 5) -> DataFrame:
+    """Counts (level, edge, n) of bytes after all contexts of each length, written."""
     grams = counts.where("kind = 0").select("key", "n")
-    every = grams.agg(F.sum("n")).head()[0] or 0
     levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("edge")) for k in range(order + 1)]))
-    edges = written(grams.select(levels.alias("e"), "n").groupBy("e.level", "e.edge").agg(F.sum("n").alias("n")), "edges")
+    return written(grams.select(levels.alias("e"), "n").groupBy("e.level", "e.edge").agg(F.sum("n").alias("n")), "edges")
+
+
+def fit(counts: DataFrame, order: int = 5, nodes: int = NODES, tree: DataFrame | None = None) -> Model:
+    """The trie of the contexts with one in ``nodes`` of ``count``'s bytes, which bounds what is collected; ``tree`` is ``edges``' table."""
+    every = counts.where("kind = 0").agg(F.sum("n")).head()[0] or 0
+    tree = edges(counts, order) if tree is None else tree
     ctx = F.shiftright("edge", 8).alias("ctx")
-    kept = edges.groupBy("level", ctx).agg(F.sum("n").alias("all")).where((F.col("level") == 0) | (F.col("all") * nodes >= every)).select("level", "ctx")
-    out = edges.select("*", ctx).join(kept, ["level", "ctx"]).select("level", "edge", "n").toArrow()
+    kept = tree.groupBy("level", ctx).agg(F.sum("n").alias("all")).where((F.col("level") == 0) | (F.col("all") * nodes >= every)).select("level", "ctx")
+    out = tree.select("*", ctx).join(kept, ["level", "ctx"]).select("level", "edge", "n").toArrow()
     level, edge, n = (out.column(c).to_numpy() for c in ("level", "edge", "n"))
     return _model(order, level, edge.astype(np.int64).view(np.uint64), n.astype(np.float64))
 
 
+class Deep:
+    """All contexts as tables: what is known of each, and the bytes that follow the longest ones with their log10."""
+
+    def __init__(self, tree: DataFrame, order: int = 5, nodes: int = NODES):
+        every = tree.where("level = 0").agg(F.sum("n")).head()[0] or 0
+        ctx = F.shiftright("edge", 8).alias("ctx")
+        upper = tree.select((F.col("level") + 1).alias("level"), F.col("edge").alias("up"), F.col("n").alias("n_up"))
+        mask = F.expr("shiftleft(1L, 8 * level) - 1")
+        with_upper = tree.select("*", ctx, F.col("edge").bitwiseAND(mask).alias("up")).join(upper, ["level", "up"], "left")
+        # Of each context: occurrences, different bytes, and how often those follow the next shorter context.
+        self.contexts = written(with_upper.groupBy("level", "ctx").agg(F.sum("n").alias("t"), F.count("*").alias("q"), F.coalesce(F.sum("n_up"), F.lit(0)).alias("gone")), "contexts")
+        self.tree, self.order = tree, order
+        rare = self.contexts.where((F.col("level") == order) & (F.col("t") * nodes < every)).select("ctx", "t", "q")
+        followers = tree.where(F.col("level") == order).select("edge", "n", ctx)
+        self.seen = followers.join(rare, "ctx").select(F.col("edge").alias("gram"), F.log10(F.col("n") / (F.col("t") + F.col("q"))).alias("log"))
+
+    def unseen(self, grams: DataFrame) -> DataFrame:
+        """(gram, log) of different ``grams(gram)`` that no training document holds."""
+        levels = range(self.order + 1)
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("edge")) for k in levels]))
+        rows = grams.select("gram", each.alias("e")).select("gram", "e.*").withColumn("ctx", F.shiftright("edge", 8))
+        rows = rows.join(self.contexts, ["level", "ctx"]).join(self.tree, ["level", "edge"], "left")
+        of = rows.groupBy("gram").agg(*[F.coalesce(F.max(F.when(F.col("level") == k, F.col(c))), F.lit(0)).cast("double").alias(f"{c}{k}") for c in ("t", "q", "gone", "n") for k in levels])
+        return grams.join(of, "gram", "left").mapInArrow(_escapes(self.order), "gram long, log double")
+
+
+def _escapes(order: int):
+    """log10 of bytes from what is known of their context of each length: occurrences, different bytes, excluded ones and the byte's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, q, gone, c = ([np.nan_to_num(batch.column(f"{x}{k}").to_numpy(zero_copy_only=False).astype(float)) for k in range(order + 1)] for x in ("t", "q", "gone", "n"))
+            p, met, done = np.ones(batch.num_rows), np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
+            for k in range(order, -1, -1):
+                # The first context that occurs excludes nothing; a shorter one what followed the longer one.
+                left = np.where(met, t[k] - (gone[k + 1] if k < order else 0), t[k])
+                new = np.where(met, q[k] - (q[k + 1] if k < order else 0), q[k])
+                own = np.where(c[k] > 0, c[k], new)
+                here = ~done & (left > 0)
+                p[here] *= own[here] / (left + new)[here]
+                done |= here & (c[k] > 0)
+                met |= t[k] > 0
+            p[~done] /= 256 - q[0][~done]
+            yield pa.record_batch([batch.column("gram"), pa.array(np.log10(p))], names=["gram", "log"])
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "log10_probability") -> DataFrame:
     """``docs`` with one more column, the log10 probability of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model.state())
@@ -221,6 +294,81 @@ def _near(shared, model):
     return run
 
 
+def _open(shared, model):
+    """As ``_near``, but what the trie lacks stays open: each document's places in its chunk's list of bytes to look up, which the first one has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, value, end = shared.value
+        trie = Model(*model.value)
+        chunk, size, rows = TaskContext.get().partitionId() << 32, 0, 0
+        parts, owners, grams = [], [], []
+
+        def closed() -> pa.Table:
+            different, place = np.unique(np.concatenate(grams), return_inverse=True)
+            owner = np.concatenate(owners)
+            order = np.lexsort((place, owner))
+            place, of = place[order], np.searchsorted(owner, np.arange(rows + 1))
+            step = np.diff(place, prepend=0)
+            starts = of[:-1][np.diff(of) > 0]
+            step[starts] = place[starts]
+            # Steps by byte of significance: most of the upper ones are zero.
+            step = step.astype("<u4").view(np.uint8).reshape(-1, 4)
+            places = [step[a:b].T.tobytes() for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.full(rows, len(different))).astype(np.int32)), pa.array(different.view(np.int64)))
+            return pa.Table.from_batches(parts).append_column("chunk", pa.array(np.full(rows, chunk))).append_column("places", pa.array(places, pa.binary())).append_column("grams", lists)
+
+        for batch in batches:
+            rest = batch.drop_columns(["text"])
+            for (low, high, raw, at), (_, _, n, _, owner, place, found) in zip(pieces(batch.column("text")), _by_word(batch, known), strict=True):
+                scores, of, gram = trie.open_documents(raw, at)
+                sums = np.bincount(owner[found], value[place[found]], minlength=high - low) + end
+                many = np.bincount(owner[found], minlength=high - low)
+                new = [pa.array(x) for x in (n, many, sums, scores)]
+                parts.append(pa.record_batch([*(c[low:high] for c in rest.columns), *new], names=[*rest.schema.names, "n_words", "many", "sums", "score"]))
+                owners.append(rows + of)
+                grams.append(gram)
+                size, rows = size + len(raw), rows + high - low
+                if size >= CHUNK:
+                    yield from closed().to_batches()
+                    chunk, size, rows = chunk + 1, 0, 0
+                    parts, owners, grams = [], [], []
+        if parts:
+            yield from closed().to_batches()
+
+    return run
+
+
+def _closed(names: list[str]):
+    """Adds what a chunk has looked up to its documents' scores."""
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        place = found.column("place").to_numpy()
+        logs = np.zeros(int(place.max(initial=-1)) + 1)
+        logs[place] = found.column("log").to_numpy()
+        more = []
+        for each in rows.column("places").to_pylist():
+            step = np.ascontiguousarray(np.frombuffer(each, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            more.append(logs[np.cumsum(step, dtype=np.int64)].sum())
+        score = rows.column("score").to_numpy() + np.array(more)
+        return rows.select(names[:-1]).append_column("score", pa.array(score))
+
+    return run
+
+
+def _looked_up(asking: DataFrame, deep: Deep, fields: list[StructField]) -> DataFrame:
+    """The documents of ``_open`` with whole scores."""
+    rows = written(asking, "asking")
+    asked = rows.where(F.size("grams") > 0).select("chunk", F.posexplode("grams").alias("place", "gram"))
+    # Both sides grow with the corpus, so neither is broadcast.
+    met = asked.join(deep.seen.hint("merge"), "gram", "left").select("chunk", "place", F.col("log").cast("float").alias("log"), F.when(F.col("log").isNull(), F.col("gram")).alias("gram"))
+    met = written(met, "looked-up")
+    open_ = met.where("log is null")
+    other = written(deep.unseen(open_.select("gram").distinct()), "unseen")
+    found = met.where("log is not null").select("chunk", "place", "log").unionByName(open_.select("chunk", "place", "gram").join(other.hint("merge"), "gram").select("chunk", "place", F.col("log").cast("float").alias("log")))
+    names = [x.name for x in fields]
+    return rows.drop("grams").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_closed(names), StructType(fields))
+
+
 def _rare(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, _, _ = shared.value
@@ -237,8 +385,8 @@ def _rare(shared):
     return run
 
 
-def scores(docs: DataFrame, counts: DataFrame, model: Model, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """The columns of ``docs`` but the text, with n_tokens, n_known, train_tokens, base_score and score."""
+def scores(docs: DataFrame, counts: DataFrame, model: Model, text: str = "text", frequent: int = FREQUENT, deep: Deep | None = None) -> DataFrame:
+    """The columns of ``docs`` but the text, with n_tokens, n_known, train_tokens, base_score and score; by all contexts if ``deep`` is given."""
     known = counts.where("kind = 1").select(F.col("key").alias("word"), F.col("n").alias("c"))
     n_words, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
@@ -260,7 +408,12 @@ def scores(docs: DataFrame, counts: DataFrame, model: Model, text: str = "text",
     sums = rare.join(less, "word", "left").groupBy("key").agg(F.sum(each).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("met"))
     sums = sums.join(copies, "key", "left").select("key", (F.col("rest") / F.coalesce("copies", F.lit(1))).alias("rest"), F.expr("met div coalesce(copies, 1)").alias("met"))
     new = [StructField("n_words", LongType()), StructField("many", LongType()), StructField("sums", DoubleType()), StructField("score", DoubleType())]
-    near = own.mapInArrow(_near(shared, context.broadcast(model.state())), StructType([*own.schema.fields[:-1], *new]))
+    fields, trie = [*own.schema.fields[:-1], *new], context.broadcast(model.state())
+    if deep is None:
+        near = own.mapInArrow(_near(shared, trie), StructType(fields))
+    else:
+        kinds = [StructField("chunk", LongType()), StructField("places", BinaryType()), StructField("grams", ArrayType(LongType()))]
+        near = _looked_up(own.mapInArrow(_open(shared, trie), StructType([*fields, *kinds])), deep, fields)
     return near.join(sums, "key", "left").select(
         *[F.col(f"own_{x}").alias(x) for x in others],
         (F.col("n_words") + 1).alias("n_tokens"),

@@ -36,7 +36,8 @@ def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PPM and unigram log10 probabilities of each document, learned from six parts in seven."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = ppm.count(docs.where(~ppm.held_out(F.col("doc_id"))), order=5)
-    out = ppm.scores(docs, counts, ppm.fit(counts, order=5))
+    tree = ppm.edges(counts, order=5)
+    out = ppm.scores(docs, counts, ppm.fit(counts, order=5, tree=tree), deep=ppm.Deep(tree, order=5))
     return out.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
