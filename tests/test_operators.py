@@ -86,3 +86,23 @@ def test_quality_rules(spark):
     assert [x.ok for x in df.select(ecg.acceptable(*(df[c] for c in "abcde")).alias("ok")).collect()] == [1, 0, 0]
     one = spark.createDataFrame([(1, 0.5), (1, 2.0)], "k int, x double")
     assert not features.is_normalised(one, ["k"], "x").collect()[0].normalised
+
+
+def test_sparse_drivers_of_a_long_record(spark):
+    rate, n = 4, 4 * 20 * 60
+    t = np.arange(0, 10 + 1e-10, 1 / rate)
+    response = np.exp(-t / 2) - np.exp(-t / 0.5)
+    at = np.arange(10 * rate, n - 15 * rate, 12 * rate)
+    x = np.full(n, 2.0)
+    for p in at:
+        x[p : p + len(response)] += response
+    driver, tonic, error = kernels.sparse_fit(x, rate)
+    near = np.array([driver[p - 2 : p + 3].sum() for p in at])
+    assert len(at) > 90 and (near > 0.5 * np.linalg.norm(response)).all()
+    assert error.max() < 0.01 and np.abs(tonic - 2).max() < 0.2
+    atoms, _ = kernels.responses(rate)
+    assert atoms.shape == (480, 6 + 5 * 240) and np.allclose(np.linalg.norm(atoms[:, 6:], axis=0), 1)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)] + [(2, i, 1.5) for i in range(3)], "record_id int, i long, x double")
+    got = {r.record_id: r for r in kernels.sparse_drivers(df, "x", rate).collect()}
+    assert got[1].n_events >= len(at) and got[1].mse < 1e-3
+    assert (got[2].tonic, got[2].n_events, got[2].driver, got[2].mse) == (1.5, 0, 0.0, 0.0)
