@@ -15,14 +15,19 @@ and a shard is of bounded size.
 
 *Index.* A shard's segments are joined, sorted by suffix, and kept as the
 Burrows-Wheeler transform in a wavelet matrix: one bit vector for each bit of a
-word's rank among the shard's words, with counts for each 64 bits. Every window
-is searched backwards, word by word, all of them at once; a window whose interval
-has shrunk to one suffix matches only itself and leaves early. What reaches
-``width`` words is a match; the least id in its interval is told to every
-document that has the segment.
-
-Words (``[^\\x20\\x09-\\x0D]+``, bytes unchanged) are compared under 64 bits of
-hash to choose segments and as 32-bit values next to an equal anchor.
+word's rank among the shard's words, with counts for each 64 bits. All segments
+are streamed through it: backward search goes left from the end of every window
+at once, word by word, and gives its matching statistic, the number of words (up
+to ``width``) that stand elsewhere in the shard too. A search whose interval has
+shrunk to one suffix matches only itself and ends. Places whose statistic reaches
+``width`` are reported; the least id in their interval is told to every document
+that has the segment.
+
+Segments travel with the bytes of their words, and a shard ranks its words by
+these bytes, so two windows are equal only if all their words
+(``[^\\x20\\x09-\\x0D]+``, unchanged) are; hashes only deal work out. Windows of
+an anchor over ``HOT`` stand alone in their shard: there the fold of equal segments
+has found the least id, and the index confirms that nothing else matches.
 
 Cases: a null or empty text has no words; a null doc_id is smaller than all
 others; equal ids are no smaller than each other, so copies of a row keep or lose
@@ -41,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .text import BYTE, BYTE2, Rolling, flat, lowest, merged, mix, pieces, ranges, words
+from .text import Rolling, flat, hashed, lowest, merged, pieces, ranges, words
 
 #: Words in a shard, about, and segments of one anchor from which on its windows go singly.
 SHARD, HOT = 400_000, 4_000
@@ -49,7 +54,7 @@ SHARD, HOT = 400_000, 4_000
 
 def _hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     begin, end, of = words(raw, at)
-    return Rolling(BYTE[raw]).of(begin, end), begin, end, of
+    return hashed(raw, begin, end), begin, end, of
 
 
 def _segments(width: int, block: int):
@@ -77,8 +82,21 @@ def _segments(width: int, block: int):
     return run
 
 
+def _joined(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of words, a space after each, and the offsets of groups of ``size`` words."""
+    n = end - begin + 1
+    flat_ = np.append(raw, np.uint8(0))[ranges(begin, n)]
+    at = np.concatenate(([0], np.cumsum(n)))
+    flat_[at[1:] - 1] = 0x20
+    return flat_, at[np.concatenate(([0], np.cumsum(size)))]
+
+
+#: Words of segments put together at once.
+_BATCH = 200_000
+
+
 def _cut_out(width: int):
-    """The chosen segments of each text: what they are dealt by, two hashes of the words, the words, and where they stand."""
+    """The chosen segments of each text: what they are dealt by, two hashes of their words, the words, and where they stand."""
     schema = pa.schema([("d", pa.int64()), ("g", pa.int64()), ("s", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,24 +106,38 @@ def _cut_out(width: int):
             bounds = np.asarray(chosen.offsets)
             packed, anchor, hot = (chosen.values.field(f).to_numpy(zero_copy_only=False) for f in ("at", "h", "hot"))
             for low, high, raw, at in pieces(batch.column("text")):
-                word, _, _, of = _hashes(raw, at)
+                begin, end, of = words(raw, at)
                 part = slice(bounds[low], bounds[high])
                 who = np.repeat(np.arange(high - low), np.diff(bounds[low : high + 1]))
                 start, n, single = packed[part] // 256, packed[part] % 256, hot[part]
                 many = np.where(single, n, 1)  # a hot anchor's windows one by one
                 start, who = ranges(start, many), np.repeat(who, many)
                 size = np.repeat(np.where(single, 1, n), many) + width - 1
-                begin = of[who] + start
-                short = (word >> np.uint64(32)).astype(np.uint32)
-                offsets = np.concatenate(([0], np.cumsum(size * 4))).astype(np.int32)
-                body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(short[ranges(begin, size)])])
-                g, s = Rolling(word).of(begin, begin + size, 7), Rolling(mix(word ^ BYTE2[3])).of(begin, begin + size, 8)
-                d = np.where(np.repeat(single, many), g.view(np.int64), np.repeat(anchor[part], many))
-                yield pa.record_batch([pa.array(d), g.view(np.int64), s.view(np.int64), ids[low + who], keys[low + who], start.astype(np.int32), body], schema=schema)
+                deal, single = np.repeat(anchor[part], many), np.repeat(single, many)
+                step = max(1, _BATCH // (256 + width))
+                for i in range(0, len(size), step):
+                    now = slice(i, i + step)
+                    which = ranges(of[who[now]] + start[now], size[now])
+                    body, offsets = _joined(raw, begin[which], end[which], size[now])
+                    g, s = (hashed(body, offsets[:-1], offsets[1:], salt).view(np.int64) for salt in (1, 2))
+                    d = np.where(single[now], g, deal[now])
+                    text = pa.Array.from_buffers(pa.binary(), len(g), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body)])
+                    yield pa.record_batch([pa.array(d), pa.array(g), pa.array(s), ids[low + who[now]], keys[low + who[now]], start[now].astype(np.int32), text], schema=schema)
 
     return run
 
 
+def _ranked(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word, the same only for equal bytes."""
+    _, first, rank = np.unique(hashed(raw, begin, end), return_index=True, return_inverse=True)
+    n, other = end - begin, begin[first[rank]]
+    same = n == (end - begin)[first[rank]]
+    if same.all() and np.array_equal(raw[ranges(begin, n)], raw[ranges(other, n)]):
+        return rank
+    body, seen = raw.tobytes(), {}  # two words of one hash: number the bytes themselves
+    return np.array([seen.setdefault(body[a:b], len(seen)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+
+
 class FMIndex:
     """Backward search over the Burrows-Wheeler transform of a sequence of small integers, 0 being the end mark."""
 
@@ -149,18 +181,25 @@ class FMIndex:
         """How often each symbol stands before each place of the transform."""
         return self._down(symbol, at) - self.base[symbol]
 
-    def search(self, text: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows of ``text`` at ``start`` those with two occurrences or more, and their suffix intervals."""
+    def matching(self, text: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the ``width`` places of ``text`` from each start: how many of the last ones stand elsewhere too, and their suffix intervals.
+
+        Intervals are those of the whole width where the statistic reaches it.
+        """
+        length, lows, highs = (np.zeros(len(start), np.int64) for _ in range(3))
         live = np.arange(len(start))
         c = text[start + width - 1]
         low, high = self.first[c], self.first[c + 1]
         for t in range(width - 2, -1, -1):
             go = high - low > 1
             live, low, high = live[go], low[go], high[go]
+            length[live] += 1
             c = text[start[live] + t]
             low, high = self.first[c] + self.rank(c, low), self.first[c] + self.rank(c, high)
         go = high - low > 1
-        return live[go], low[go], high[go]
+        length[live[go]] += 1
+        lows[live], highs[live] = low, high
+        return length, lows, highs
 
 
 def _searched(width: int):
@@ -168,9 +207,10 @@ def _searched(width: int):
 
     def run(group: pa.Table) -> pa.Table:
         raw, at = flat(group.column("words"))
-        values = raw[at[0] : at[-1]].view(np.uint32)
-        n = np.diff(at) // 4
-        _, ranked = np.unique(values, return_inverse=True)
+        raw = raw[at[0] : at[-1]]
+        end = np.flatnonzero(raw == 0x20)  # no word holds one
+        n = np.diff(np.searchsorted(end, at - at[0]))
+        ranked = _ranked(raw, np.concatenate(([0], end[:-1] + 1)), end)
         # Segments side by side, an end mark after each.
         begin = np.concatenate(([0], np.cumsum(n + 1)))
         text = np.zeros(int(begin[-1]), np.int64)
@@ -180,8 +220,10 @@ def _searched(width: int):
         start = ranges(begin[:-1], counts)
         ids = group.column("doc_id").to_numpy()
         least = np.repeat(ids, counts)
-        found, low, high = index.search(text, start, width)
+        length, low, high = index.matching(text, start, width)
+        found = np.flatnonzero(length >= width)
         if len(found):
+            low, high = low[found], high[found]
             of_suffix = np.repeat(ids, n + 1)[index.suffix]
             low, which = np.unique(low, return_inverse=True)
             ends = np.empty(len(low), np.int64)
@@ -230,18 +272,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     runs = own.mapInArrow(_segments(width, block), "h long, doc_id long, key long, at long")
     anchors = runs.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("c")).where("a < b")
     anchors = written(anchors.select("h", (F.col("c") > hot).alias("hot")), "anchors")
-    chosen = runs.select("h", "key", "at").join(anchors, "h").groupBy("key").agg(F.collect_set(F.struct("at", "h", "hot")).alias("chosen"))
+    chosen = runs.join(anchors, "h").groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "h", "hot")).alias("chosen"))
     chosen = written(chosen, "chosen")
     size = chosen.select(F.aggregate("chosen", F.lit(0).cast("long"), lambda n, x: n + x["at"] % 256 + (width - 1)).alias("n")).agg(F.sum("n")).head()[0] or 0
     shards = max(1, math.ceil(size / shard))
 
-    cut = own.join(chosen, "key").select("doc_id", "key", "text", "chosen").mapInArrow(_cut_out(width), "d long, g long, s long, doc_id long, key long, start int, words binary")
+    cut = own.join(chosen, ["doc_id", "key"]).select("doc_id", "key", "text", "chosen").mapInArrow(_cut_out(width), "d long, g long, s long, doc_id long, key long, start int, words binary")
     once = cut.groupBy("d", "g", "s", "words").agg(F.min("doc_id").alias("doc_id"))
     found = once.withColumn("shard", F.pmod("d", F.lit(shards))).groupBy("shard").applyInArrow(_searched(width), "g long, s long, least array<long>")
     found = written(found, "found")
     hit = cut.select("g", "s", "doc_id", "key", "start").join(found, ["g", "s"])
     places = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    by_key = hit.select("key", places.alias("places")).where(F.size("places") > 0).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("hits"))
-    whole = own.join(by_key, "key", "left").select("doc_id", "text", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
+    by_key = hit.select("doc_id", "key", places.alias("places")).where(F.size("places") > 0).groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("hits"))
+    whole = own.join(by_key, ["doc_id", "key"], "left").select("doc_id", "text", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
     out = whole.mapInArrow(_without(width), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
