@@ -9,8 +9,8 @@ The words of all items are counted in all documents. As a window must occur
 whole, its rarest word is a prefix that any document holding it shares: documents
 are joined to windows on that word alone. Its place in the window gives the only
 place where the window can start (positional bound), which must leave room for
-all of it (length bound); what is left is verified word by word under 128 bits of
-hash.
+all of it (length bound); what is left is verified word by word under two
+independent hashes of 64 bits.
 
 Windows are dealt into blocks of at most about ``BLOCK`` and every block is
 broadcast to one narrow pass over the documents, so what is broadcast never
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BYTE, BYTE2, LOWER, Rolling, merged, pieces, ranges, spans
+from .text import LOWER, hashed, merged, mix, pieces, ranges, spans
 
 #: Windows (with their items) in one broadcast block: some 60 MB.
 BLOCK = 400_000
@@ -43,11 +43,11 @@ WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 
 
-def _words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and each document's first one."""
+def _words(raw: np.ndarray, at: np.ndarray, pair: bool = True) -> tuple[np.ndarray, ...]:
+    """A hash of every word, each document's first word, and another hash of every word."""
     low = LOWER[raw]
     begin, end, of = spans(WORD[low], at)
-    return Rolling(BYTE[low]).of(begin, end), of
+    return hashed(low, begin, end), of, hashed(low, begin, end, 1) if pair else begin[:0]
 
 
 _WINDOW = "w1 long, w2 long, words array<long>, item_id string"
@@ -60,7 +60,7 @@ def _item_windows(width: int):
         for batch in batches:
             ids = batch.column("item_id")
             for low, high, raw, at in pieces(batch.column("text")):
-                word, of = _words(raw, at)
+                word, of, other = _words(raw, at)
                 n = np.diff(of)
                 size = np.minimum(n, width)
                 counts = np.where(n > 0, n - size + 1, 0)
@@ -69,15 +69,19 @@ def _item_windows(width: int):
                 offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
                 flat = word[ranges(start, size)].view(np.int64)
                 who = np.repeat(np.arange(low, high), counts)
-                one, two = _pair(word, start, start + size)
+                one, two = _sequence(word, start, size), _sequence(other, start, size)
                 yield pa.record_batch([one.view(np.int64), two.view(np.int64), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), ids.take(pa.array(who))], schema=schema)
 
     return run
 
 
-def _pair(word: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of word sequences."""
-    return Rolling(word).of(start, end, 5), Rolling(word * BYTE2[1] ^ BYTE2[2]).of(start, end, 6)
+def _sequence(word: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the ``size`` words from each start on."""
+    out = size.astype(np.uint64)
+    for j in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > j)
+        out[on] = mix(out[on] * np.uint64(0x9E3779B97F4A7C15) ^ word[start[on] + j])
+    return out
 
 
 def _count(vocabulary):
@@ -88,7 +92,7 @@ def _count(vocabulary):
         total = np.zeros(len(known), np.int64)
         for batch in batches:
             for _, _, raw, at in pieces(batch.column("text")):
-                word, _ = _words(raw, at)
+                word, _, _ = _words(raw, at, pair=False)
                 place = np.minimum(np.searchsorted(known, word), len(known) - 1)
                 total += np.bincount(place[known[place] == word], minlength=len(known))
         some = np.flatnonzero(total)
@@ -107,7 +111,7 @@ def _find(index):
         for batch in batches:
             totals, hits, named = [], [], []
             for low, high, raw, at in pieces(batch.column("text")):
-                word, of = _words(raw, at)
+                word, of, other = _words(raw, at)
                 place = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
                 p = np.flatnonzero(keys[place] == word)
                 owner = np.searchsorted(of, p, "right") - 1
@@ -116,8 +120,7 @@ def _find(index):
                 start = p - offset[entry]
                 fits = (start >= of[owner]) & (start + size[entry] <= of[owner + 1])
                 start, entry, owner = start[fits], entry[fits], owner[fits]
-                h1, h2 = _pair(word, start, start + size[entry])
-                same = (h1 == one[entry]) & (h2 == two[entry])
+                same = (_sequence(word, start, size[entry]) == one[entry]) & (_sequence(other, start, size[entry]) == two[entry])
                 start, entry, owner = start[same], entry[same], owner[same]
                 totals.append(np.diff(of))
                 order = np.argsort(owner, kind="stable")

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from ..session import written
-from .text import BYTE, LOWER, Rolling, pieces, ranges, words
+from .text import LOWER, hashed, pieces, ranges, words
 
 #: A node of the broadcast trie has one in so many of all training bytes at least.
 NODES = 1 << 18
@@ -88,7 +88,7 @@ def _counts(order: int):
                 real = np.ones(len(flat), bool)
                 real[ranges(block[:-1], np.full(len(block) - 1, order))] = False
                 begin, end, _ = words(raw, at)
-                for kind, keys in ((0, key[real]), (1, Rolling(BYTE[LOWER[raw]]).of(begin, end))):
+                for kind, keys in ((0, key[real]), (1, hashed(LOWER[raw], begin, end))):
                     k, n = np.unique(keys, return_counts=True)
                     yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
                 yield pa.record_batch([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([high - low], pa.int64())], names=["kind", "key", "n"])
@@ -269,7 +269,7 @@ def _by_word(batch: pa.RecordBatch, known: np.ndarray) -> Iterator[tuple]:
     """Of each piece: rows, words and owners of its different (document, word) pairs, how often, and where ``known`` has the word."""
     for low, high, raw, at in pieces(batch.column("text")):
         begin, end, of = words(raw, at)
-        word = Rolling(BYTE[LOWER[raw]]).of(begin, end)
+        word = hashed(LOWER[raw], begin, end)
         owner = np.repeat(np.arange(high - low), np.diff(of))
         place = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
         found = known[place] == word if len(known) else np.zeros(len(word), bool)
