@@ -123,7 +123,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
 def n_lines(text: str) -> Column:
     """Lines that are more than white space."""
-    return F.regexp_count(F.col(text), F.lit(r"(?m)^[ \t\x0B\f\r]*[^ \t-\r\n].*$")).cast("long").alias("n_lines")
+    return F.regexp_count(F.col(text), F.lit(r"(?dm)^[ \t\x0B\f\r]*[^ \t-\r\n].*$")).cast("long").alias("n_lines")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:

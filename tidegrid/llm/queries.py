@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of each document, named by its least doc_id."""
     out = near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=5, threshold=0.8)
-    return out.select("doc_id", "class_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    return out.select("doc_id", "class_id", "n_links", "nearest", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
 def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
