@@ -1,40 +1,55 @@
 import itertools
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tidegrid.llm import toxicity as T
 
 
-def plain_kernel(a, b):
-    """Gap-weighted subsequences of three within five places, by definition."""
+def spectrum(s):
+    s = [T.CLASS[x] for x in s.lower() if T.CLASS[x] != T.GAP]
+    out = Counter()
+    for i, j, k in itertools.combinations(range(len(s)), 3):
+        if k - i < T.SPAN:
+            out[s[i], s[j], s[k]] += T.DECAY ** (k - i + 1)
+    return out
 
-    def spectrum(s):
-        s = [T.CLASS[x] for x in s.lower().encode() if T.CLASS[x] != T.GAP]
-        out = {}
-        for i, j, k in itertools.combinations(range(len(s)), 3):
-            if k - i < 5:
-                out[s[i], s[j], s[k]] = max(out.get((s[i], s[j], s[k]), 0), T.DECAY ** (k - i + 1))
-        return out
 
+def plain_kernel(a, b):
+    """Gap-weighted subsequences of three within five places, all occurrences, scaled to 1."""
     x, y = spectrum(a), spectrum(b)
-    k = sum(v * y.get(u, 0) for u, v in x.items()) / sum(v * v for v in y.values())
-    return min(k, 1) if k >= T.CUT else 0
+    dot = lambda u, v: sum(n * v[c] for c, n in u.items())
+    return (dot(x, y) / math.sqrt(dot(x, x) * dot(y, y))) ** T.POWER if x and y else 0.0
+
+
+def plain_score(text, model):
+    """A document's score by definition, sentence by sentence."""
+    best = [model.bias]
+    text = text.encode()
+    begin, end, sentence, _ = T.units(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    for a, b in itertools.pairwise(sentence.tolist()):
+        units = [text[x:y] for x, y in zip(begin[a:b].tolist(), end[a:b].tolist(), strict=True)]
+        best.append(model.bias + sum(float(w) * max(plain_kernel(u, m) for u in units) for m, w in zip(model.marks, model.weights, strict=True)))
+    top = max(best[1:]) if best[1:] else best[0]
+    return 1 / (1 + math.exp(-min(max(model.curve[0] * top + model.curve[1], -40), 40)))
 
 
-def test_features_equal_the_kernel_by_definition():
+def test_kernel_equals_its_definition():
     r = random.Random(1)
-    units = ["".join(r.choice("abcdé.") for _ in range(r.randrange(1, 12))) for _ in range(200)] + ["a b c d e"]
-    marks = [u for u in units if len(u) > 4][:9]
-    marks = [m for m in marks if sum(T.CLASS[x] != T.GAP for x in m.encode()) >= 3]
-    table = T.spectrum([bytes(x for x in m.encode() if T.CLASS[x] != T.GAP) for m in marks])
-    table /= (table**2).sum(0)
-    raw = np.frombuffer("".join(units).encode(), np.uint8)
-    end = np.cumsum([len(u.encode()) for u in units])
-    got = T.features(raw, np.concatenate(([0], end[:-1])), end, table)
-    want = [[plain_kernel(u, m) for m in marks] for u in units]
-    assert np.allclose(got, want, atol=1e-4)
+    units = ["".join(r.choice("abcdé.") for _ in range(r.randrange(1, 12))).encode() for _ in range(200)] + [b"a b c d e"]
+    marks = [u for u in units if len(spectrum(u)) > 2][:9]
+    table = T.dense(*T._flat(marks))
+    got = T.kernel(*T._flat(units), table)
+    assert np.allclose(got, [[plain_kernel(u, m) for m in marks] for u in units], atol=1e-4)
+    near = set(T.reachable(*T._flat(units), table).tolist())
+    assert near >= set(np.flatnonzero(got.max(1) >= T.FLOOR).tolist()) and len(near) < len(units)
+    own = T.kernel(*T._flat(marks), table)
+    assert np.allclose(own, own.T, atol=1e-4) and np.allclose(own.diagonal(), 1, atol=1e-4) and np.linalg.eigvalsh(own).min() > -1e-4
 
 
 def test_units_and_sentences():
@@ -65,12 +80,19 @@ def test_held_out_accuracy_and_obfuscated_words(spark):
     df = spark.createDataFrame([(d, t, 1) for d, t in docs + more], "doc_id long, text string, score int")
     lab = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
     model = T.train(df, lab, out_of=(4, 2))
+    assert model.marks and all(any(m in t.lower().encode() for _, t in docs) for m in model.marks)
     got = {(x.doc_id, x.text): x.toxicity for x in T.score(df, model).collect()}
     held = [(y, got[d, t] >= 0.3) for (d, t), (_, y) in zip(docs, labels, strict=True) if zlib.crc32(str(d).encode()) % 4 == 2]
     assert len(held) > 60 and sum(bool(y) == p for y, p in held) >= 0.97 * len(held)
     assert got[1000, "la mi g r o b i a n ro"] >= 0.3 and got[1001, "la mi gro-bian ro"] >= 0.3
     assert got[1002, "la mi schuxft ro"] > got[1005, "la mi ro"] and got[1003, None] < 0.3 and got[1004, ""] < 0.3
+    for (_, t), value in list(got.items())[::25] + [((0, t or ""), got[d, t]) for d, t in more]:
+        assert value == pytest.approx(plain_score(t or "", model), abs=0.02)
     assert T.score(df, model).columns == [*df.columns, "toxicity"] and T.score(df.limit(0), model).count() == 0
+    clash = T.score(df.withColumn("Toxicity", F.lit("x")).withColumn("row", F.lit("y")), model)
+    assert clash.columns == ["doc_id", "text", "score", "row", "toxicity"] and {x.toxicity for x in clash.collect()} == set(got.values())
+    long = spark.createDataFrame([(1, "la mi ro " * 40_000 + "grobian"), (2, "lamiro" * 50_000)], "doc_id long, text string")
+    assert {x.doc_id: x.toxicity >= 0.3 for x in T.score(long, model).collect()} == {1: True, 2: False}
 
 
 def test_no_labels(spark):

@@ -22,8 +22,8 @@ def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document by a machine that never saw the labels of the held-out part."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), out_of=(4, 2))
-    out = toxicity.score(docs.select("doc_id", "text"), model, name="score")
-    return out.select("doc_id", toxicity.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    out = toxicity.scored(docs.select("doc_id", "text"), model)
+    return out.select("row.doc_id", toxicity.held_out(F.col("row.doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

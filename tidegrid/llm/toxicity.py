@@ -4,36 +4,36 @@
 space. Its units are its words; three or more single characters in a row
 (``i d i o t``) are one unit, white space and all.
 
-*Kernel.* Two units are compared by the subsequences of three characters that
-they share within a span of five, each once and weighted by ``DECAY`` for every place
-its tightest occurrence spans, so letters put in between (``idxiot``) only weaken a match; other
-characters inside a unit (``i.d.i.o.t``) count as nothing. This is the
-gap-weighted subsequence kernel; as few classes of characters make a small, fixed
-set of subsequences (``CLASSES**3``), it is computed through its explicit
-features. It is scaled to the landmark's own value and cut at 1; values under
-``CUT`` are chance and count as 0, the others are taken to the power ``POWER``. A sentence is compared by its best unit.
-
-*Nyström landmarks.* ``k(unit, landmark)`` for some dozens of landmark strings,
-times the inverse root of the landmarks' own kernel matrix, stands for the
-kernel's feature space. Landmarks are the character n-grams of labelled texts
-that tell toxic documents best, taken greedily so that they differ, and some
-common ones.
+*Kernel.* Two units are compared by their common subsequences of three
+characters: the gap-weighted subsequence kernel, in which every occurrence of a
+subsequence counts with ``DECAY`` for each place it spans (up to ``SPAN``), scaled to
+1 for a unit with itself and taken to the power ``POWER``, which is a kernel again.
+Letters put in between (``idxiot``) only weaken a match; other characters inside a
+unit (``i.d.i.o.t``) count as nothing. As few classes of characters make a small,
+fixed set of subsequences (``CLASSES**3``), it is computed through its explicit
+features. A sentence is compared by its nearest unit.
+
+*Nyström landmarks.* The kernel with some dozens of landmark units, times the
+inverse root of the landmarks' own kernel matrix, stands for the kernel's feature
+space. Landmarks are units of labelled sentences: those in whose neighbourhood, as
+the kernel sees it, toxic documents exceed clean ones most, taken greedily so that
+they differ. Values that cannot reach ``FLOOR`` count as 0.
 
 *Training.* A linear machine (squared hinge, L2) is trained on sentences. Labels
 are given by document: all sentences of a clean one are clean; of a toxic one, the
 sentence that scores highest is toxic and the others are left out, which is
-settled in a few rounds. Landmarks with one letter put in at each place are
-further toxic examples. A document's score is its highest sentence, through a
+settled in a few rounds. A document's score is its highest sentence, through a
 logistic curve fitted on the training documents.
 
 The sample has at most ``per_class`` labelled documents of each class, those of
-least hash, of up to ``longest`` characters: a fixed bound, whatever the corpus.
-All documents are scored, whole, in one narrow pass; the model is a table of
-fixed size.
+least hash among texts of up to ``longest`` characters: a fixed bound, whatever the
+corpus. All documents are scored, whole, in one narrow pass; the model is a table
+of fixed size.
 
 Cases: a null or empty text has the score of no sentence; a label of null is no
 label; without labels of both classes the score is the same for all; equal texts
-have equal scores; an empty table gives no rows; other columns pass through.
+have equal scores; an empty table gives no rows; other columns of any name pass
+through.
 """
 
 from __future__ import annotations
@@ -45,9 +45,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .text import BYTE, LOWER, SPACE, Rolling, pieces, spans
+from .text import LOWER, SPACE, hashed, pieces, ranges, spans
 
 #: Classes of bytes: letters, other ASCII as one, and the rest by its low bits.
 CLASSES = 32
@@ -56,11 +55,12 @@ CLASS[:] = 27 + np.arange(256) % 5
 GAP = 26
 CLASS[:128] = GAP
 CLASS[0x61:0x7B] = np.arange(26)
-#: Weight of each place a subsequence spans, and the places (second, third) of those from a first one.
-DECAY = 0.7
-#: Kernel values below this count as 0; the others are taken to this power.
-CUT, POWER = 0.5, 4
-SHAPES = [(i, j) for j in range(2, 5) for i in range(1, j)]
+#: Weight of each place a subsequence spans, the places it may span, and the power of the scaled kernel.
+DECAY, SPAN, POWER = 0.7, 5, 6
+#: Units whose kernel with all landmarks is bound to stay under this are not compared with them.
+FLOOR = 0.01
+#: Places of the second and third character from the first one on.
+SHAPES = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 
 
 def held_out(doc_id: str | Column, parts: int, part: int) -> Column:
@@ -92,84 +92,99 @@ def units(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return begin[first], end[tail], np.concatenate((sentence, [int(first.sum())])), documents
 
 
-def features(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The kernel of each unit with each landmark (the sum of ``table``'s rows over its subsequences,
-    weighted by their spans), from ``CUT`` to 1; less counts as 0."""
+def letters(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the letters of units side by side, and the unit of each."""
     n = end - begin
-    text = CLASS[LOWER[raw]]
-    at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-    letter = text[at] != GAP
-    owner = np.repeat(np.arange(len(n)), n)[letter]
-    n = np.bincount(owner, minlength=len(n))
-    place = np.cumsum(n) - n
-    flat = np.zeros(len(owner) + 5, np.int64)
-    flat[: len(owner)] = text[at[letter]]
-    left = np.zeros(len(owner) + 5, np.int64)
-    left[: len(owner)] = np.repeat(place + n, n) - np.arange(len(owner))  # places to the unit's end
-    out = np.zeros((len(n), table.shape[1]), np.float32)
-    best = table.max(1)
-    bound = np.zeros(len(owner) + 1, np.float32)
-    codes = []
+    text = CLASS[LOWER[raw[ranges(begin, n)]]]
+    real = text != GAP
+    return text[real], np.repeat(np.arange(len(n)), n)[real]
+
+
+def occurrences(text: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Of each shape the units and subsequences of all its occurrences, and their weight."""
     for i, j in SHAPES:
-        on = np.flatnonzero(left[: len(owner)] > j)
-        code = (flat[on] * CLASSES + flat[on + i]) * CLASSES + flat[on + j]
-        weight = best[code] * np.float32(DECAY ** (j + 1))
-        some = weight > 0
-        bound[on[some]] += weight[some]
-        codes.append((on[some], code[some], np.float32(DECAY ** (j + 1))))
-    reach = np.add.reduceat(bound, np.minimum(place, len(owner))) if len(n) else bound
-    near = (reach >= CUT) & (n > 0)  # no landmark is nearer than this bound
-    rank = np.cumsum(near) - 1
-    total = np.zeros((int(near.sum()), table.shape[1]), np.float32)
-    picked = [(rank[owner[on[use]]], code[use], np.full(int(use.sum()), weight)) for on, code, weight in codes for use in (near[owner[on]],)]
-    rows, code, weight = (np.concatenate(x) for x in zip(*picked, strict=True))
-    order = np.lexsort((-weight, rows * CLASSES**3 + code))
-    rows, code, weight = rows[order], code[order], weight[order]
-    if len(rows):
-        once = np.concatenate(([True], (rows[1:] != rows[:-1]) | (code[1:] != code[:-1])))  # the tightest of each
-        rows, code, weight = rows[once], code[once], weight[once]
-        new = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        total[rows[new]] = np.add.reduceat(table[code] * weight[:, None], new, axis=0)
-    out[near] = total
-    return np.where(out >= CUT, np.minimum(out, 1), 0).astype(np.float32)
-
-
-def spectrum(strings: list[bytes]) -> np.ndarray:
-    """(CLASSES**3, strings): the explicit features of each string."""
-    out = np.zeros((CLASSES**3, len(strings)), np.float32)
-    for k, s in enumerate(strings):
-        c = CLASS[LOWER[np.frombuffer(s, np.uint8)]]
-        for i, j in SHAPES:
-            if len(c) > j:
-                np.maximum.at(out[:, k], (c[:-j] * CLASSES + c[i : len(c) - j + i]) * CLASSES + c[j:], np.float32(DECAY ** (j + 1)))
+        on = np.flatnonzero(owner[j:] == owner[: max(len(owner) - j, 0)])
+        yield owner[on], (text[on] * CLASSES + text[on + i]) * CLASSES + text[on + j], DECAY ** (j + 1)
+
+
+def spectra(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The explicit features of units, scaled to length 1: unit, subsequence and value, by unit."""
+    keys, weights = [], []
+    for unit, code, weight in occurrences(*letters(raw, begin, end)):
+        keys.append(unit * CLASSES**3 + code)
+        weights.append(np.full(len(code), weight))
+    keys, which = np.unique(np.concatenate(keys), return_inverse=True)
+    value = np.bincount(which, np.concatenate(weights), len(keys))
+    unit = keys // CLASSES**3
+    norm = np.sqrt(np.bincount(unit, value * value, len(begin)))
+    return unit, keys % CLASSES**3, (value / norm[unit]).astype(np.float32)
+
+
+def reachable(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Units whose kernel with some landmark can reach ``FLOOR``: a bound that needs no sorting."""
+    best, most, size = table.max(1), np.zeros(len(begin)), np.zeros(len(begin))
+    for unit, code, weight in occurrences(*letters(raw, begin, end)):
+        most += np.bincount(unit, best[code] * weight, len(begin))
+        size += np.bincount(unit, minlength=len(begin)) * weight**2  # the squared length is no less
+    return np.flatnonzero(most >= FLOOR ** (1 / POWER) * np.sqrt(size + 1e-12))
+
+
+def dense(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(CLASSES**3, units): the same as a table."""
+    unit, code, value = spectra(raw, begin, end)
+    out = np.zeros((CLASSES**3, len(begin)), np.float32)
+    out[code, unit] = value
     return out
 
 
+def kernel(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """The kernel of each unit with each landmark (columns of ``table``)."""
+    unit, code, value = spectra(raw, begin, end)
+    out = np.zeros((len(begin), table.shape[1]), np.float32)
+    new = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))) if len(unit) else np.empty(0, np.int64)
+    ends = np.append(new, len(unit))
+    low = 0
+    while low < len(new):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + cells // table.shape[1], "right")) - 1)
+        a, b = ends[low], ends[high]
+        out[unit[new[low:high]]] = np.add.reduceat(table[code[a:b]] * value[a:b, None], new[low:high] - a, axis=0)
+        low = high
+    return out**POWER
+
+
 class Model:
-    """Landmark features, what each weighs in a unit's score, and the logistic curve."""
+    """Landmarks, what each weighs in a sentence's score, and the logistic curve."""
 
-    def __init__(self, table: np.ndarray, weights: np.ndarray, bias: float, curve: tuple[float, float]):
-        self.table, self.weights, self.bias, self.curve = table, weights, bias, curve
+    def __init__(self, marks: list[bytes], weights: np.ndarray, bias: float, curve: tuple[float, float]):
+        self.marks, self.weights, self.bias, self.curve = marks, weights, bias, curve
+        self.table = dense(*_flat(marks))
 
     def state(self) -> tuple:
         """What makes the model, without its code."""
-        return self.table, self.weights, self.bias, self.curve
+        return self.marks, self.weights, self.bias, self.curve
 
     def of_documents(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         begin, end, sentence, document = units(raw, at)
         best = np.full(len(at) - 1, self.bias, np.float64)
-        if len(begin):
+        if len(begin) and self.marks:
             each = sentences(raw, begin, end, sentence, self.table) @ self.weights + self.bias
             some = np.flatnonzero(np.diff(document))
             best[some] = np.maximum.reduceat(each, document[:-1][some])
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * best + self.curve[1], -40, 40)))
 
 
+def different(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different unit, and which of them each unit is."""
+    _, first, which = np.unique(hashed(LOWER[raw], begin, end), return_index=True, return_inverse=True)
+    return first, which
+
+
 def sentences(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, sentence: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The kernel of each sentence with each landmark; equal units are computed once."""
-    key = Rolling(BYTE[LOWER[raw]]).of(begin, end)
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
-    k = features(raw, begin[first], end[first], table) ** POWER
+    first, which = different(raw, begin, end)
+    near = reachable(raw, begin[first], end[first], table)
+    k = np.zeros((len(first) + 1, table.shape[1]), np.float32)
+    k[near] = kernel(raw, begin[first[near]], end[first[near]], table)
     out = np.zeros((len(sentence) - 1, table.shape[1]), np.float32)
     some = np.flatnonzero(k.any(1)[which])
     if len(some):
@@ -188,49 +203,49 @@ def _chunks(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, np.
         low = high
 
 
-def _landmarks(texts: list[bytes], toxic: np.ndarray, count: int, common: int) -> tuple[list[bytes], int]:
-    """N-grams that tell toxic texts best, unlike each other, then some common ones; how many are of the first kind."""
-    found: list[tuple[float, bytes]] = []
+def _flat(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in strings], np.int64)
+    ends = np.cumsum(sizes)
+    return np.frombuffer(b"".join(strings), np.uint8), ends - sizes, ends
+
+
+def _landmarks(texts: list[bytes], toxic: np.ndarray, count: int, candidates: int = 300) -> list[bytes]:
+    """Units around which toxic texts exceed clean ones most, unlike each other."""
+    owners: dict[bytes, list[int]] = {}
+    for first, raw, at in _chunks(texts):
+        begin, end, sentence, document = units(raw, at)
+        of = np.searchsorted(sentence[document], np.arange(len(begin)), "right") - 1 if len(begin) else begin
+        pair = np.unique(np.stack((of, different(raw, begin, end)[1])), axis=1) if len(begin) else np.zeros((2, 0), np.int64)
+        one = different(raw, begin, end)[0] if len(begin) else begin
+        for o, u in pair.T.tolist():
+            owners.setdefault(LOWER[raw[begin[one[u]] : end[one[u]]]].tobytes(), []).append(first + o)
+    names = sorted(x for x in owners if (CLASS[np.frombuffer(x, np.uint8)] != GAP).sum() >= 3)
+    hits = np.array([toxic[owners[x]].sum() for x in names], float)
+    seen = np.array([len(owners[x]) for x in names], float)
     n1, n0 = max(toxic.sum(), 1), max((~toxic).sum(), 1)
-    for size in (4, 5, 6, 8):
-        hashes, bad, places = [], [], []
-        for first, raw, at in _chunks(texts):
-            if len(raw) < size:
-                continue
-            owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            inside = np.concatenate(([0], np.cumsum(SPACE[raw])))
-            h = Rolling(BYTE[LOWER[raw]]).grams(size)
-            where = np.flatnonzero((inside[size:] == inside[:-size]) & (owner[size - 1 :] == owner[: len(owner) - size + 1]))
-            where = where[np.lexsort((owner[where], h[where]))]
-            if len(where):
-                new = np.concatenate(([True], (h[where][1:] != h[where][:-1]) | (owner[where][1:] != owner[where][:-1])))
-                where = where[new]  # each n-gram once a document
-                hashes.append(h[where])
-                bad.append(toxic[first + owner[where]])
-                places.append((first + owner[where]) * (1 << 32) + where - at[owner[where]])
-        if not hashes:
-            continue
-        h, bad_, place = np.concatenate(hashes), np.concatenate(bad), np.concatenate(places)
-        _, start, which, seen = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        hits = np.bincount(which, bad_)
-        p, q = (hits + 0.5) / (n1 + 1), (seen - hits + 0.5) / (n0 + 1)
-        gain = np.where((p > q) & (hits >= 4), p * np.log(p / q), 0)
-        gram = lambda i: texts[place[start[i]] >> 32][(x := int(place[start[i]] & (1 << 32) - 1)) : x + size].lower()  # noqa: B023, E731
-        found += [(float(gain[i]) * (1 + size / 100), gram(i)) for i in np.argsort(-gain, kind="stable")[:400] if gain[i] > 0]
-        found += [(0.0, gram(i)) for i in np.argsort(-seen, kind="stable")[: common if size == 5 else 0]]
-    found.sort(key=lambda x: (-x[0], x[1]))
-    table = spectrum([s for _, s in found])
-    norm = (table**2).sum(0) + 1e-9
+    gain = (hits + 0.5) / (n1 + 1) - (seen - hits + 0.5) / (n0 + 1)
+    likely = [names[i] for i in np.lexsort((np.arange(len(names)), -gain))[:candidates] if gain[i] > 0 and hits[i] > 1]
+    raw, begin, end = _flat(names)
+    score = np.zeros(len(likely))
+    if likely:
+        table = dense(*_flat(likely))
+        best = np.zeros((len(texts), len(likely)), np.float32)
+        close = reachable(raw, begin, end, table)
+        for low in range(0, len(close), 1000):
+            part = close[low : low + 1000]
+            for u, near in zip(part.tolist(), kernel(raw, begin[part], end[part], table), strict=True):
+                own = owners[names[u]]
+                best[own] = np.maximum(best[own], near)
+        p, q = (best[toxic].sum(0) + 0.5) / (n1 + 1), (best[~toxic].sum(0) + 0.5) / (n0 + 1)
+        score = p * np.log(p / q)  # how far toxic documents exceed clean ones around each unit
+    order = [likely[i] for i in np.lexsort((np.arange(len(likely)), -score)) if score[i] > 0]
     chosen: list[int] = []
-    plain = 0
-    for i, (gain, _) in enumerate(found):
-        if gain and len(chosen) >= count:
-            continue
-        inside = (table[:, chosen].T @ table[:, i]) / norm[i] if chosen else np.zeros(1)  # how much of it others hold
-        if inside.max() < 0.4 and (gain or plain < common):
+    near = dense(*_flat(order)) if order else np.zeros((CLASSES**3, 0), np.float32)
+    alike = (near.T @ near) ** POWER
+    for i in range(len(order)):
+        if len(chosen) < count and alike[i, chosen].max(initial=0) < 0.3:
             chosen.append(i)
-            plain += not gain
-    return [found[i][1] for i in chosen], len(chosen) - plain
+    return [order[i] for i in chosen]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30, ridge: float = 1e-3) -> np.ndarray:
@@ -247,14 +262,13 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30, rid
     return w
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, count: int = 32, common: int = 8, rounds: int = 5) -> Model:
+def fit(texts: list[bytes], toxic: np.ndarray, count: int = 32, rounds: int = 5) -> Model:
     """A model of labelled documents, trained on their sentences."""
-    marks, tells = _landmarks(texts, toxic, count, common) if len(texts) and 0 < toxic.sum() < len(texts) else ([], 0)
+    marks = _landmarks(texts, toxic, count) if len(texts) and 0 < toxic.sum() < len(texts) else []
     if not marks:
         rate = (float(toxic.sum()) + 0.5) / (len(texts) + 1)
-        return Model(np.zeros((CLASSES**3, 1), np.float32), np.zeros(1), 0.0, (0.0, float(np.log(rate / (1 - rate)))))
-    table = spectrum(marks)
-    table /= (table**2).sum(0)  # a landmark's kernel with itself is 1
+        return Model([], np.zeros(0), 0.0, (0.0, float(np.log(rate / (1 - rate)))))
+    table = dense(*_flat(marks))
     parts, counts = [], []
     for _, raw, at in _chunks(texts):
         begin, end, sentence, document = units(raw, at)
@@ -263,21 +277,14 @@ def fit(texts: list[bytes], toxic: np.ndarray, count: int = 32, common: int = 8,
             parts.append(sentences(raw, begin, end, sentence, table).astype(np.float64))
     by_sentence = np.concatenate(parts)
     document = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-
-    def kernel(strings: list[bytes]) -> np.ndarray:
-        ends = np.cumsum([len(m) for m in strings])
-        return features(np.frombuffer(b"".join(strings), np.uint8), np.concatenate(([0], ends[:-1])), ends, table).astype(np.float64) ** POWER
-
-    own = kernel(marks)
-    values, vectors = np.linalg.eigh((own + own.T) / 2)
-    root = vectors / np.sqrt(np.maximum(values, 1e-2)) @ vectors.T
+    values, vectors = np.linalg.eigh(kernel(*_flat(marks), table).astype(np.float64))
+    real = values > 1e-4 * values.max()
+    root = vectors[:, real] / np.sqrt(values[real])
     x = np.concatenate((by_sentence @ root, np.ones((len(by_sentence), 1))), 1)
-    spread = kernel([m[:i] + b"x" + m[i:] for m in marks[: tells] for i in range(1, len(m))])
-    put_in = np.concatenate((spread @ root, np.ones((len(spread), 1))), 1)
     owner = np.repeat(np.arange(len(texts)), np.diff(document))
     bad = toxic[owner]
-    score = by_sentence[:, : max(1, tells)].max(1)
     some = np.flatnonzero(np.diff(document))
+    score = by_sentence @ _contrast(by_sentence, owner, toxic)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         top = np.zeros(len(x), bool)
@@ -286,8 +293,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, count: int = 32, common: int = 8,
         use = ~bad | top
         y = np.where(bad[use], 1.0, -1.0)
         weight = np.where(y > 0, 1 / max((y > 0).sum(), 1), 1 / max((y < 0).sum(), 1))
-        extra = np.full(len(put_in), 0.2 / max(len(put_in), 1))
-        w = _svm(np.concatenate((x[use], put_in)), np.concatenate((y, np.ones(len(put_in)))), np.concatenate((weight, extra)))
+        w = _svm(x[use], y, weight)
         score = x @ w
     best = np.full(len(texts), w[-1])
     best[some] = np.maximum.reduceat(score, document[:-1][some])
@@ -299,23 +305,29 @@ def fit(texts: list[bytes], toxic: np.ndarray, count: int = 32, common: int = 8,
         h = np.array([[(v * best * best).sum() + 1e-3, (v * best).sum()], [(v * best).sum(), v.sum()]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
-    return Model(table, (root @ w[:-1]).astype(np.float32), float(w[-1]), (max(float(a), 0.0), float(b)))
+    return Model(marks, (root @ w[:-1]).astype(np.float32), float(w[-1]), (max(float(a), 0.0), float(b)))
+
+
+def _contrast(by_sentence: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """What to begin with: by how much documents of both classes differ in each landmark."""
+    best = np.zeros((len(toxic), by_sentence.shape[1]))
+    np.maximum.at(best, owner, by_sentence)
+    return np.maximum(best[toxic].mean(0) - best[~toxic].mean(0), 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", out_of: tuple[int, int] | None = (4, 2), per_class: int = 1000, longest: int = 6_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", out_of: tuple[int, int] | None = (4, 2), per_class: int = 1500, longest: int = 20_000) -> Model:
     """Fit on a bounded sample of labelled rows; ``out_of`` names the part of ids that is not looked at."""
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
+    known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("toxic")).where("toxic IS NOT NULL AND id IS NOT NULL")
     if out_of:
-        known = known.where(~held_out(doc_id, *out_of))
-    known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max((F.col(label) == 1).cast("int")).alias("bad")).withColumn("draw", F.md5(F.col("id").cast("string")))
-    # Twice the sample is looked up, as some ids have no text or a long one; both lists are of fixed size.
-    sample = [known.where(F.col("bad") == y).orderBy("draw").limit(2 * per_class) for y in (0, 1)]
-    sample = F.broadcast(sample[0].unionByName(sample[1]))
+        known = known.where(~held_out("id", *out_of))
+    known = known.groupBy("id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("bad"))
     own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= longest)
+    there = known.join(own.select("id").distinct(), "id").withColumn("draw", F.md5(F.col("id").cast("string")))
+    sample = [there.where(F.col("bad") == y).orderBy("draw").limit(per_class) for y in (0, 1)]
+    sample = F.broadcast(sample[0].unionByName(sample[1]))  # of fixed size
     rows = own.join(sample, "id").groupBy("id", "bad", "draw").agg(F.min("text").alias("text"))
-    taken = [rows.where(F.col("bad") == y).orderBy("draw").limit(per_class) for y in (0, 1)]
     # The sample is bounded, so one task can fit the model; the driver only carries it on.
-    fitted = taken[0].unionByName(taken[1]).select("bad", "draw", "text").coalesce(1).mapInArrow(_fitted, "model binary").head()
+    fitted = rows.select("bad", "draw", "text").coalesce(1).mapInArrow(_fitted, "model binary").head()
     return Model(*pickle.loads(fitted["model"])) if fitted else fit([], np.empty(0, bool))
 
 
@@ -326,14 +338,21 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([pickle.dumps(model.state())], pa.binary())], names=["model"])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
-    """``docs`` with one more column, the score from 0 to 1."""
+def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(row, score): each row of ``docs`` as one column, and its score from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for batch in batches:
-            out = [model.of_documents(raw, at) for _, _, raw, at in pieces(batch.column(text), 1 << 21)]
-            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(out) if out else np.empty(0))], names=[*batch.schema.names, name])
+            out = [model.of_documents(raw, at) for _, _, raw, at in pieces(batch.column("row").field(text))]
+            yield pa.record_batch([batch.column("row"), pa.array(np.concatenate(out) if out else np.empty(0))], names=["row", "score"])
+
+    own = docs.select(F.struct("*").alias("row"))
+    return own.mapInArrow(run, f"row {own.schema['row'].dataType.simpleString()}, score double")
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """``docs`` with one more column, the score; a column of its name is replaced."""
+    same = [c for c in docs.columns if c.lower() != name.lower()]
+    return scored(docs, model, text).select(*[F.col("row")[c].alias(c) for c in same], F.col("score").alias(name))
