@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a machine trained on all labels does not find toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, out_of=None)
-    return toxicity.score(docs, model, name="toxicity").where(F.col("toxicity") < TOXIC).drop("toxicity")
+    return toxicity.scored(docs, model).where(F.col("score") < TOXIC).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
