@@ -6,18 +6,21 @@ space. Its units are its words; three or more single characters in a row
 
 *Kernel.* Two units are compared by their common subsequences of three
 characters: the gap-weighted subsequence kernel, in which every occurrence of a
-subsequence counts with ``DECAY`` for each place it spans (up to ``SPAN``), scaled to
-1 for a unit with itself and taken to the power ``POWER``, which is a kernel again.
-Letters put in between (``idxiot``) only weaken a match; other characters inside a
-unit (``i.d.i.o.t``) count as nothing. As few classes of characters make a small,
-fixed set of subsequences (``CLASSES**3``), it is computed through its explicit
-features. A sentence is compared by its nearest unit.
-
-*Nyström landmarks.* The kernel with some dozens of landmark units, times the
-inverse root of the landmarks' own kernel matrix, stands for the kernel's feature
-space. Landmarks are units of labelled sentences: those in whose neighbourhood, as
-the kernel sees it, toxic documents exceed clean ones most, taken greedily so that
-they differ. Values that cannot reach ``FLOOR`` count as 0.
+subsequence counts with ``DECAY`` for each place it spans (up to ``SPAN``), to the
+power ``POWER``, which is a kernel again. Units of more than ``LENGTH`` in its feature
+space (about 12 letters) are scaled down to that length, so that long ones do not
+match by chance. Letters put in between (``idxiot``) only weaken a match, letters
+around it (``idiotic``) do not; other characters inside a unit (``i.d.i.o.t``) count as
+nothing. As few classes of characters make a small, fixed set of subsequences
+(``CLASSES**3``), it is computed through its explicit features. A sentence is
+compared by its nearest unit.
+
+*Nyström landmarks.* The kernel with some dozens of landmarks, times the inverse
+root of the landmarks' own kernel matrix, stands for the kernel's feature space.
+Landmarks are strings of four to eight bytes out of labelled sentences: those in
+whose neighbourhood, as the kernel sees it, toxic documents exceed clean ones most,
+taken greedily so that they differ. They are scaled to the kernel 1 with
+themselves; values that cannot reach ``FLOOR`` then count as 0.
 
 *Training.* A linear machine (squared hinge, L2) is trained on sentences. Labels
 are given by document: all sentences of a clean one are clean; of a toxic one, the
@@ -55,8 +58,8 @@ CLASS[:] = 27 + np.arange(256) % 5
 GAP = 26
 CLASS[:128] = GAP
 CLASS[0x61:0x7B] = np.arange(26)
-#: Weight of each place a subsequence spans, the places it may span, and the power of the scaled kernel.
-DECAY, SPAN, POWER = 0.7, 5, 6
+#: Weight of each place a subsequence spans, the places it may span, the power of the kernel, and the length units have at most.
+DECAY, SPAN, POWER, LENGTH = 0.7, 5, 4, 1.7
 #: Units whose kernel with all landmarks is bound to stay under this are not compared with them.
 FLOOR = 0.01
 #: Places of the second and third character from the first one on.
@@ -107,8 +110,8 @@ def occurrences(text: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarra
         yield owner[on], (text[on] * CLASSES + text[on + i]) * CLASSES + text[on + j], DECAY ** (j + 1)
 
 
-def spectra(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The explicit features of units, scaled to length 1: unit, subsequence and value, by unit."""
+def spectra(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, most: float = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The explicit features of units: unit, subsequence and value, by unit."""
     keys, weights = [], []
     for unit, code, weight in occurrences(*letters(raw, begin, end)):
         keys.append(unit * CLASSES**3 + code)
@@ -117,24 +120,23 @@ def spectra(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     value = np.bincount(which, np.concatenate(weights), len(keys))
     unit = keys // CLASSES**3
     norm = np.sqrt(np.bincount(unit, value * value, len(begin)))
-    return unit, keys % CLASSES**3, (value / norm[unit]).astype(np.float32)
+    return unit, keys % CLASSES**3, (value * np.minimum(1, most / np.maximum(norm, 1e-9))[unit]).astype(np.float32)
 
 
 def reachable(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Units whose kernel with some landmark can reach ``FLOOR``: a bound that needs no sorting."""
-    best, most, size = table.max(1), np.zeros(len(begin)), np.zeros(len(begin))
+    best, most = table.max(1), np.zeros(len(begin))
     for unit, code, weight in occurrences(*letters(raw, begin, end)):
         most += np.bincount(unit, best[code] * weight, len(begin))
-        size += np.bincount(unit, minlength=len(begin)) * weight**2  # the squared length is no less
-    return np.flatnonzero(most >= FLOOR ** (1 / POWER) * np.sqrt(size + 1e-12))
+    return np.flatnonzero(most >= FLOOR ** (1 / POWER))
 
 
 def dense(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """(CLASSES**3, units): the same as a table."""
-    unit, code, value = spectra(raw, begin, end)
+    """(CLASSES**3, landmarks): their features, scaled so that a unit that holds one has the kernel 1 with it."""
+    unit, code, value = spectra(raw, begin, end, np.inf)
     out = np.zeros((CLASSES**3, len(begin)), np.float32)
     out[code, unit] = value
-    return out
+    return out / np.maximum((out**2).sum(0), 1e-9)
 
 
 def kernel(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
@@ -209,43 +211,66 @@ def _flat(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(strings), np.uint8), ends - sizes, ends
 
 
-def _landmarks(texts: list[bytes], toxic: np.ndarray, count: int, candidates: int = 300) -> list[bytes]:
-    """Units around which toxic texts exceed clean ones most, unlike each other."""
-    owners: dict[bytes, list[int]] = {}
-    for first, raw, at in _chunks(texts):
-        begin, end, sentence, document = units(raw, at)
-        of = np.searchsorted(sentence[document], np.arange(len(begin)), "right") - 1 if len(begin) else begin
-        pair = np.unique(np.stack((of, different(raw, begin, end)[1])), axis=1) if len(begin) else np.zeros((2, 0), np.int64)
-        one = different(raw, begin, end)[0] if len(begin) else begin
-        for o, u in pair.T.tolist():
-            owners.setdefault(LOWER[raw[begin[one[u]] : end[one[u]]]].tobytes(), []).append(first + o)
-    names = sorted(x for x in owners if (CLASS[np.frombuffer(x, np.uint8)] != GAP).sum() >= 3)
-    hits = np.array([toxic[owners[x]].sum() for x in names], float)
-    seen = np.array([len(owners[x]) for x in names], float)
+def _landmarks(texts: list[bytes], toxic: np.ndarray, count: int, candidates: int = 400) -> list[bytes]:
+    """Strings around which toxic texts exceed clean ones most, unlike each other."""
     n1, n0 = max(toxic.sum(), 1), max((~toxic).sum(), 1)
-    gain = (hits + 0.5) / (n1 + 1) - (seen - hits + 0.5) / (n0 + 1)
-    likely = [names[i] for i in np.lexsort((np.arange(len(names)), -gain))[:candidates] if gain[i] > 0 and hits[i] > 1]
-    raw, begin, end = _flat(names)
-    score = np.zeros(len(likely))
-    if likely:
-        table = dense(*_flat(likely))
-        best = np.zeros((len(texts), len(likely)), np.float32)
-        close = reachable(raw, begin, end, table)
-        for low in range(0, len(close), 1000):
-            part = close[low : low + 1000]
-            for u, near in zip(part.tolist(), kernel(raw, begin[part], end[part], table), strict=True):
-                own = owners[names[u]]
-                best[own] = np.maximum(best[own], near)
-        p, q = (best[toxic].sum(0) + 0.5) / (n1 + 1), (best[~toxic].sum(0) + 0.5) / (n0 + 1)
-        score = p * np.log(p / q)  # how far toxic documents exceed clean ones around each unit
-    order = [likely[i] for i in np.lexsort((np.arange(len(likely)), -score)) if score[i] > 0]
+    likely: list[tuple[float, bytes]] = []
+    for size in (4, 5, 6, 8):
+        hashes, owners, places = [], [], []
+        for first, raw, at in _chunks(texts):
+            at_most = np.maximum(len(raw) - size + 1, 0)
+            start = np.arange(at_most)
+            owner = np.searchsorted(at, start, "right") - 1
+            inside = np.concatenate(([0], np.cumsum(CLASS[LOWER[raw]] == GAP)))
+            start = start[(inside[size:] == inside[:at_most]) & (start + size <= at[owner + 1])]
+            owner = owner[start]
+            h = hashed(LOWER[raw], start, start + size)
+            order = np.lexsort((owner, h))
+            h, owner, start = h[order], owner[order], start[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])  # each once a document
+            hashes.append(h[new])
+            owners.append(first + owner[new])
+            places.append(start[new] - at[owner[new]])
+        h, owner, place = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
+        _, one, which, seen = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        hits = np.bincount(which, toxic[owner], len(seen))
+        gain = (hits + 0.5) / (n1 + 1) * np.log((hits + 0.5) * (n0 + 1) / ((seen - hits + 0.5) * (n1 + 1)))
+        string = lambda i: texts[owner[one[i]]][place[one[i]] :][:size].lower()  # noqa: B023, E731
+        likely += [(float(gain[i]), string(i)) for i in np.argsort(-gain, kind="stable")[: candidates // 4] if gain[i] > 0 and hits[i] > 1]
+    likely = sorted(set(likely), key=lambda x: (-x[0], x[1]))
+    if not likely:
+        return []
+    names = [x for _, x in likely]
+    table = dense(*_flat(names))
+    best = np.zeros((len(texts), len(names)), np.float32)
+    for first, raw, at in _chunks(texts):
+        begin, end, _, document = units(raw, at)
+        if len(begin):
+            some = np.flatnonzero(np.diff(document))
+            k = sentences(raw, begin, end, units(raw, at)[2], table)
+            best[first + some] = np.maximum.reduceat(k, document[:-1][some], axis=0)
+    q = (best[~toxic].sum(0) + 0.5) / (n0 + 1)
+    alike, open_, bad = likeness(table), np.ones(len(names), bool), best[toxic]
+    rest = np.ones(len(bad), np.float32)  # half of a toxic document counts no more once a landmark is near it
     chosen: list[int] = []
-    near = dense(*_flat(order)) if order else np.zeros((CLASSES**3, 0), np.float32)
-    alike = (near.T @ near) ** POWER
-    for i in range(len(order)):
-        if len(chosen) < count and alike[i, chosen].max(initial=0) < 0.3:
-            chosen.append(i)
-    return [order[i] for i in chosen]
+    while open_.any() and len(chosen) < count:
+        p = (rest @ bad + 0.5) / (n1 + 1)
+        score = np.where(open_, p * np.log(p / q), 0)  # how far toxic documents exceed clean ones around each string
+        i = int(score.argmax())
+        if score[i] <= 0:
+            break
+        chosen.append(i)
+        open_ &= alike[i] < 0.2
+        rest = np.minimum(rest, 1 - 0.5 * np.minimum(bad[:, i], 1))
+    return [names[i] for i in chosen]
+
+
+def likeness(table: np.ndarray) -> np.ndarray:
+    """The landmarks' own kernel matrix, each scaled to 1 with itself."""
+    near = table.astype(np.float64)
+    near /= np.sqrt(np.maximum((near**2).sum(0), 1e-18))
+    return (near.T @ near) ** POWER
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30, ridge: float = 1e-3) -> np.ndarray:
@@ -277,8 +302,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, count: int = 32, rounds: int = 5)
             parts.append(sentences(raw, begin, end, sentence, table).astype(np.float64))
     by_sentence = np.concatenate(parts)
     document = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-    values, vectors = np.linalg.eigh(kernel(*_flat(marks), table).astype(np.float64))
-    real = values > 1e-4 * values.max()
+    values, vectors = np.linalg.eigh(likeness(table))
+    real = values > 1e-3
     root = vectors[:, real] / np.sqrt(values[real])
     x = np.concatenate((by_sentence @ root, np.ones((len(by_sentence), 1))), 1)
     owner = np.repeat(np.arange(len(texts)), np.diff(document))
