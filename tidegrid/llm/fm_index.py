@@ -230,8 +230,12 @@ def _searched(width: int):
             ends[which] = high
             cuts = np.stack((low, ends), 1).ravel()
             least[found] = np.minimum.reduceat(np.append(of_suffix, np.iinfo(np.int64).max), cuts)[::2][which]
-        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-        return pa.table({"g": group.column("g"), "s": group.column("s"), "least": pa.ListArray.from_arrays(pa.array(offsets), pa.array(least))})
+        # Only segments that some document has to lose words of are told.
+        told = np.flatnonzero(np.minimum.reduceat(least, np.cumsum(counts) - counts) < group.column("last").to_numpy())
+        least = least[ranges((np.cumsum(counts) - counts)[told], counts[told])]
+        offsets = np.concatenate(([0], np.cumsum(counts[told]))).astype(np.int32)
+        pick = pa.array(told)
+        return pa.table({"g": group.column("g").take(pick), "s": group.column("s").take(pick), "least": pa.ListArray.from_arrays(pa.array(offsets), pa.array(least))})
 
     return run
 
@@ -278,7 +282,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shards = max(1, math.ceil(size / shard))
 
     cut = own.join(chosen, ["doc_id", "key"]).select("doc_id", "key", "text", "chosen").mapInArrow(_cut_out(width), "d long, g long, s long, doc_id long, key long, start int, words binary")
-    once = cut.groupBy("d", "g", "s", "words").agg(F.min("doc_id").alias("doc_id"))
+    once = cut.groupBy("d", "g", "s", "words").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
     found = once.withColumn("shard", F.pmod("d", F.lit(shards))).groupBy("shard").applyInArrow(_searched(width), "g long, s long, least array<long>")
     found = written(found, "found")
     hit = cut.select("g", "s", "doc_id", "key", "start").join(found, ["g", "s"])
