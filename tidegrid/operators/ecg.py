@@ -53,6 +53,12 @@ def local_maxima(df: DataFrame, x: str, start: int) -> DataFrame:
     return df.withColumns({"_a": F.lag(x).over(w), "_b": F.lead(x).over(w)}).where((F.col("i") >= start) & (F.col(x) > F.col("_a")) & (F.col(x) > F.col("_b"))).drop("_a", "_b")
 
 
+def raised(df: DataFrame, peak: str, x: str, reach: int) -> DataFrame:
+    """For each sample marked by ``peak``, the place of the greatest value from ``reach`` before to just under ``reach`` after it, the first of equal ones."""
+    best = F.max(F.struct(F.col(x), -F.col("i"))).over(_w().rowsBetween(-reach, reach - 1))
+    return df.withColumn("_m", best).where(F.col(peak) == 1).select("record_id", "i", (-F.col("_m").getField("col2")).alias("raised"))
+
+
 def snapped(df: DataFrame, peak: str, x: str, reach: int) -> DataFrame:
     """For each sample marked by ``peak``, the place of the greatest value within ``reach``, the first of equal ones."""
     best = F.max(F.struct(F.col(x), -F.col("i"))).over(_w().rowsBetween(-reach, reach))
@@ -105,6 +111,6 @@ def i_score(correlations: DataFrame, group: str, beat: str) -> DataFrame:
     return row.groupBy(group).agg(F.avg("g").alias("i_score"), F.max(F.struct(F.round("g", 9), -F.col(beat))).alias("_m")).select(group, "i_score", (-F.col("_m").getField("col2")).alias("best"))
 
 
-def acceptable(flat_share: Column, crossings: Column, rate: Column, amplitude: Column, score: Column) -> Column:
+def acceptable(flat_share: Column, crossings: Column, rate: Column, amplitude: Column, score: Column, most_crossings: int = 200, rates: tuple[float, float] = (24, 240), most_amplitude: float = 1500, least_score: float = 0.5) -> Column:
     """The quality rules of an ECG window as one flag."""
-    return ((flat_share <= 0.8) & (crossings <= 200) & rate.between(24, 240) & (amplitude <= 1500) & (score >= 0.5)).cast("int")
+    return ((flat_share <= 0.8) & (crossings <= most_crossings) & rate.between(*rates) & (amplitude <= most_amplitude) & (score >= least_score)).cast("int")

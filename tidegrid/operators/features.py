@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import quantiles
+
 
 def moments(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """Mean, biased skewness and excess kurtosis."""
@@ -31,11 +33,14 @@ def eda_flags(eda: Column, slope: Column, temperature: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), 0).otherwise(1)
 
 
-def bcea(keys: Sequence[str], df: DataFrame, x: str, y: str, p: float = 0.68) -> DataFrame:
-    """Bivariate contour ellipse area that holds the share ``p`` of a normal distribution."""
-    k = -F.log(F.lit(1 - p))
+def bcea_of(x: str, y: str, p: float = 0.68) -> Column:
+    """Bivariate contour ellipse area that holds the share ``p`` of a normal distribution, as an aggregate."""
     r = F.coalesce(F.corr(x, y), F.lit(0.0))
-    return df.groupBy(*keys).agg((2 * k * F.lit(3.141592653589793) * F.stddev_pop(x) * F.stddev_pop(y) * F.sqrt(F.greatest(1 - r * r, F.lit(0.0)))).alias("bcea"))
+    return 2 * -F.log(F.lit(1 - p)) * F.lit(3.141592653589793) * F.stddev_pop(x) * F.stddev_pop(y) * F.sqrt(F.greatest(1 - r * r, F.lit(0.0)))
+
+
+def bcea(keys: Sequence[str], df: DataFrame, x: str, y: str, p: float = 0.68) -> DataFrame:
+    return df.groupBy(*keys).agg(bcea_of(x, y, p).alias("bcea"))
 
 
 def path_length(df: DataFrame, keys: Sequence[str], x: str, y: str, order: str) -> DataFrame:
@@ -74,8 +79,11 @@ def histogram(df: DataFrame, x: str, low: float, high: float, bins: int) -> Data
 
 
 def quartiles(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    q = F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")
-    return df.groupBy(*keys).agg(F.min(x).alias("low"), q, F.max(x).alias("high")).select(*keys, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
+    """The five numbers of each group, exact; no task sees a whole group."""
+    at = quantiles(df, keys, x, (0.25, 0.5, 0.75))
+    q = lambda p, name: F.max(F.when(F.col("share") == p, F.col("value"))).alias(name)
+    ends = df.groupBy(*keys).agg(F.min(x).alias("low"), F.max(x).alias("high"))
+    return ends.join(at.groupBy(*keys).agg(q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3")), list(keys), "left").select(*keys, "low", "q1", "median", "q3", "high")
 
 
 def annotator_distance(a: DataFrame, b: DataFrame, key: str, width: float = 600, height: float = 450, limit: float = 0.06) -> DataFrame:

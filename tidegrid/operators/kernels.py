@@ -148,11 +148,11 @@ def welch(df: DataFrame, x: str, rate: float, key: str = "record_id") -> DataFra
 
 
 def suppressed(x: np.ndarray, distance: int, share: float) -> np.ndarray:
-    """Local maxima by falling height, none within ``distance`` of a higher one, of at least ``share`` of the highest."""
+    """Local maxima by falling height, none nearer than ``distance`` to a higher one, of at least ``share`` of the highest."""
     at = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:])) + 1 if len(x) > 2 else np.empty(0, int)
     kept: list[int] = []
     for p in at[np.argsort(-x[at], kind="stable")]:
-        if all(abs(p - q) > distance for q in kept):
+        if all(abs(p - q) >= distance for q in kept):
             kept.append(int(p))
     top = x[kept].max() if kept else 0
     return np.array(sorted(p for p in kept if x[p] >= share * top), int)

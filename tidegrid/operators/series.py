@@ -26,11 +26,6 @@ def valid_flag(value: Column, low: float, high: float, when_null: bool = False)
     return F.coalesce(value.between(low, high), F.lit(when_null)).cast("int")
 
 
-def clip_to_null(value: Column, high: float) -> Column:
-    """Values over an upper bound become null; there is no lower bound."""
-    return F.when(value <= high, value)
-
-
 def dedupe_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The last row by ``order`` of each key."""
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
@@ -208,8 +203,34 @@ def frame_means(df: DataFrame, frame: str, values: Sequence[str], frames: int) -
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows without replacement, the same in every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows without replacement, the same in every run: those whose key has the least MD5 with the seed."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], x: str, shares: Sequence[float], bins: int = 4096) -> DataFrame:
+    """(keys, share, value): exact quantiles with linear interpolation.
+
+    A histogram of each group tells which bins hold the wanted ranks; only the
+    values of these are counted and ordered, so no task sees a whole group.
+    """
+    own = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
+    ends = own.groupBy(*keys).agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.count("*").alias("_n"))
+    place = F.when(F.col("_b") > F.col("_a"), F.least(F.floor((F.col("_x") - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    binned = own.join(ends, list(keys)).withColumn("_bin", place)
+    counted = binned.groupBy(*keys, "_bin", "_n").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    rank = [F.floor((F.col("_n") - 1) * q).cast("long") for q in shares]
+    wanted = F.array(*[F.struct(F.lit(float(q)).alias("share"), (r + d).alias("rank"), F.lit(d).alias("upper")) for q, r in zip(shares, rank, strict=True) for d in (0, 1)])
+    hit = counted.select(*keys, "_bin", "_n", "_before", "_c", F.explode(wanted).alias("_w")).where("_w.rank >= _before AND _w.rank < _before + _c")
+    values = binned.join(hit.select(*keys, "_bin").distinct(), [*keys, "_bin"]).groupBy(*keys, "_bin", "_x").agg(F.count("*").alias("_m"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_less", F.coalesce(F.sum("_m").over(inside), F.lit(0)))
+    found = hit.drop("_n", "_c").join(values, [*keys, "_bin"]).where("_w.rank - _before >= _less AND _w.rank - _before < _less + _m")
+    both = found.groupBy(*keys, F.col("_w.share").alias("share")).agg(F.max(F.when(F.col("_w.upper") == 0, F.col("_x"))).alias("_lo"), F.max(F.when(F.col("_w.upper") == 1, F.col("_x"))).alias("_hi"))
+    both = both.join(ends.select(*keys, "_n"), list(keys))
+    part = (F.col("_n") - 1) * F.col("share") - F.floor((F.col("_n") - 1) * F.col("share"))
+    return both.select(*keys, "share", (F.col("_lo") + (F.coalesce("_hi", "_lo") - F.col("_lo")) * part).alias("value"))
 
 
 def middle(df: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:

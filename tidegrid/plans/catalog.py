@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ecg, features, kernels, series
+from ..operators import ecg, features, gaze, kernels, series
 
 H6, HOUR = 6 * 3600 * 10**9, 3600 * 10**9
 QUERIES: dict = {}
@@ -181,13 +181,12 @@ def interval_mask(spark, sf_dir):
     return series.interval_mask(own.select("record_id", "ts_ns"), spans)
 
 
-@query("""WITH l AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 3 <> 0),
-r AS (SELECT o_orderkey AS k, 0.0::DOUBLE AS price, o_orderpriority AS prio FROM orders WHERE o_orderkey % 2 = 0)
-SELECT coalesce(l.k, r.k) AS k, coalesce(l.price, r.price) AS price, r.prio FROM l FULL JOIN r ON l.k = r.k""")
+@query("""WITH l AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS price FROM orders),
+r AS (SELECT l_orderkey AS k, max(l_extendedprice) AS price, count(*) AS lines FROM lineitem GROUP BY l_orderkey)
+SELECT coalesce(l.k, r.k) AS k, coalesce(l.price, r.price) AS price, r.lines FROM l FULL JOIN r ON l.k = r.k""")
 def coalescing_join(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    left = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("price"))
-    right = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.lit(0.0).alias("price"), F.col("o_orderpriority").alias("prio"))
+    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("price"))
+    right = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_extendedprice").alias("price"), F.count("*").alias("lines"))
     return series.coalescing_join(left, right, "k")
 
 
@@ -238,12 +237,27 @@ def local_maxima(spark, sf_dir):
     return ecg.local_maxima(waves(spark, sf_dir), "x", 4).select("record_id", "i")
 
 
-@query("""m AS (SELECT a.record_id, a.i, arg_min(b.i, b.i) FILTER (b.x = t.top) AS snapped FROM wave a
-  JOIN (SELECT record_id, i, max(x) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS top FROM wave) t ON a.record_id = t.record_id AND a.i = t.i
-  JOIN wave b ON a.record_id = b.record_id AND b.i BETWEEN a.i - 5 AND a.i + 5 WHERE a.i % 16 = 8 GROUP BY a.record_id, a.i)
-SELECT record_id, i, snapped FROM m, (SELECT 1 FROM series LIMIT 1)""")
+_TOPS = """, k AS (SELECT record_id, i FROM (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b FROM wave WINDOW w AS (PARTITION BY record_id ORDER BY i)) WHERE i >= 1 AND x > a AND x > b),
+m AS (SELECT k.record_id, k.i, b.i AS j, b.x, max(b.x) OVER (PARTITION BY k.record_id, k.i) AS top FROM k JOIN wave b ON k.record_id = b.record_id AND b.i BETWEEN k.i - 5 AND k.i + {up})
+SELECT record_id, i, min(j) FILTER (x = top) AS {name} FROM m, (SELECT 1 FROM series LIMIT 1) GROUP BY record_id, i"""
+
+
+def _tops(spark, sf_dir):
+    own = waves(spark, sf_dir)
+    tops = ecg.local_maxima(own, "x", 1).select("record_id", "i", F.lit(1).alias("peak"))
+    return own.join(tops, ["record_id", "i"], "left")
+
+
+@query("one AS (SELECT 1)" + _TOPS.format(up=5, name="snapped"))
 def peak_snap(spark, sf_dir):
-    return ecg.snapped(waves(spark, sf_dir).withColumn("peak", (F.col("i") % 16 == 8).cast("int")), "peak", "x", 5)
+    """Each local maximum moved to the highest sample around it."""
+    return ecg.snapped(_tops(spark, sf_dir), "peak", "x", 5)
+
+
+@query("one AS (SELECT 1)" + _TOPS.format(up=4, name="raised"))
+def local_argmax(spark, sf_dir):
+    """The same with a half-open window."""
+    return ecg.raised(_tops(spark, sf_dir), "peak", "x", 5)
 
 
 @query("""q AS (SELECT record_id, ts_ns // 3600000000000 AS t, lead(ts_ns // 3600000000000) OVER (PARTITION BY record_id ORDER BY ts_ns) - ts_ns // 3600000000000 AS nn FROM series),
@@ -306,28 +320,42 @@ def eda_range_slope(spark, sf_dir):
     return d.select("record_id", "ts_ns", features.eda_flags(F.col("v"), F.col("s"), F.lit(30.0)).alias("bad"))
 
 
-_POINTS = "p AS (SELECT vec_id, label, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings), one AS (SELECT 1 FROM series LIMIT 1)"
+#: Embeddings as scanpaths: their values two by two.
+_POINTS = "p AS (SELECT vec_id AS record_id, i, embedding[2 * i + 1]::DOUBLE * 100 AS x, embedding[2 * i + 2]::DOUBLE * 100 AS y FROM embeddings, (SELECT unnest(range(32)) AS i)), one AS (SELECT 1 FROM series LIMIT 1)"
 
 
-def _points(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.get("embedding", F.lit(0)).cast("double") * 100).alias("x"), (F.get("embedding", F.lit(1)).cast("double") * 100).alias("y"))
+def points(spark, sf_dir):
+    two = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(F.get("embedding", 2 * k).alias("x"), F.get("embedding", 2 * k + 1).alias("y")))
+    out = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), F.posexplode(two).alias("i", "p"))
+    return out.select("record_id", F.col("i").cast("long").alias("i"), (F.col("p.x").cast("double") * 100).alias("x"), (F.col("p.y").cast("double") * 100).alias("y"))
 
 
-@query(_POINTS + " SELECT label, round(2 * -ln(1 - 0.68) * 3.141592653589793 * stddev_pop(x) * stddev_pop(y) * sqrt(greatest(1 - corr(x, y) ** 2, 0)), 4) AS bcea FROM p, one GROUP BY label")
+@query(_POINTS + " SELECT record_id, round(2 * -ln(1 - 0.68) * 3.141592653589793 * stddev_pop(x) * stddev_pop(y) * sqrt(greatest(1 - corr(x, y) ** 2, 0)), 4) AS bcea FROM p, one GROUP BY record_id")
 def bcea(spark, sf_dir):
-    return rounded(features.bcea(["label"], _points(spark, sf_dir), "x", "y"), "bcea", digits=4)
+    return rounded(features.bcea(["record_id"], points(spark, sf_dir), "x", "y"), "bcea", digits=4)
 
 
-@query(_POINTS + """, s AS (SELECT label, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS s FROM p WINDOW w AS (PARTITION BY label ORDER BY vec_id))
-SELECT label, round(coalesce(sum(s), 0), 4) AS path_length, round(max(s), 6) AS longest_step FROM s, one GROUP BY label""")
+@query(_POINTS + """, s AS (SELECT record_id, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS s FROM p WINDOW w AS (PARTITION BY record_id ORDER BY i))
+SELECT record_id, round(coalesce(sum(s), 0), 4) AS path_length, round(max(s), 6) AS longest_step FROM s, one GROUP BY record_id""")
 def path_length(spark, sf_dir):
-    return rounded(rounded(features.path_length(_points(spark, sf_dir), ["label"], "x", "y", "vec_id"), "path_length", digits=4), "longest_step")
+    return rounded(rounded(features.path_length(points(spark, sf_dir), ["record_id"], "x", "y", "i"), "path_length", digits=4), "longest_step")
 
 
-@query(_POINTS + """ SELECT win, round(avg((sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 20)::INT), 6) AS recurrence FROM (SELECT *, vec_id // 20 AS win FROM p) a JOIN (SELECT *, vec_id // 20 AS win FROM p) b USING (win), one WHERE a.vec_id < b.vec_id GROUP BY win""")
+@query(_POINTS + """, m AS (SELECT a.record_id, a.i, b.i AS j FROM p a JOIN p b USING (record_id) WHERE a.i < b.i AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 12),
+d AS (SELECT record_id, count(*) AS c FROM (SELECT record_id, j - i AS l, i - row_number() OVER (PARTITION BY record_id, j - i ORDER BY i) AS g FROM m) GROUP BY record_id, l, g),
+v AS (SELECT record_id, count(*) AS c FROM (SELECT record_id, i AS l, j - row_number() OVER (PARTITION BY record_id, i ORDER BY j) AS g FROM m) GROUP BY record_id, l, g),
+r AS (SELECT record_id, count(*) AS n FROM p GROUP BY record_id)
+SELECT r.record_id, round(coalesce((SELECT count(*) FROM m WHERE m.record_id = r.record_id), 0) / (n * (n - 1) / 2), 6) AS recurrence,
+  round((SELECT coalesce(sum(c) FILTER (c >= 2), 0) / sum(c) FROM d WHERE d.record_id = r.record_id), 6) AS determinism,
+  round((SELECT coalesce(sum(c) FILTER (c >= 2), 0) / sum(c) FROM v WHERE v.record_id = r.record_id), 6) AS laminarity FROM r, one""")
+def recurrence_lines(spark, sf_dir):
+    """Recurrence, determinism and laminarity of each scanpath."""
+    return rounded(gaze.recurrence_lines(points(spark, sf_dir), 12), "recurrence", "determinism", "laminarity")
+
+
+@query(_POINTS + """ SELECT record_id, round(avg((sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 20)::INT), 6) AS recurrence FROM p a JOIN p b USING (record_id), one WHERE a.i < b.i GROUP BY record_id""")
 def recurrence_rate(spark, sf_dir):
-    out = features.recurrence_rate(_points(spark, sf_dir).withColumn("win", F.expr("vec_id div 20")), "win", "x", "y", "vec_id", 20)
-    return rounded(out, "recurrence")
+    return rounded(features.recurrence_rate(points(spark, sf_dir), "record_id", "x", "y", "i", 20), "recurrence")
 
 
 @query("""q AS (SELECT record_id, event_type AS e, lag(event_type) OVER (PARTITION BY record_id ORDER BY ts_ns) AS p FROM series),
@@ -339,10 +367,10 @@ def transition_entropy(spark, sf_dir):
     return rounded(features.transition_entropies(events(spark, sf_dir), "record_id", "event_type", "ts_ns"), "stationary", "joint")
 
 
-@query("""q AS (SELECT least(floor((v - 0) / (300 / 30.0::DOUBLE)), 29)::BIGINT AS bin FROM series WHERE v BETWEEN 0 AND 300)
+@query("""q AS (SELECT least(floor((v - 0) / (600 / 30.0::DOUBLE)), 29)::BIGINT AS bin FROM series WHERE v BETWEEN 0 AND 600)
 SELECT bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS proportion FROM q GROUP BY bin""")
 def hist_proportion(spark, sf_dir):
-    return rounded(features.histogram(events(spark, sf_dir), "v", 0, 300, 30), "proportion")
+    return rounded(features.histogram(events(spark, sf_dir), "v", 0, 600, 30), "proportion")
 
 
 @query("""x AS (SELECT 1) SELECT event_type, round(min(v), 6) AS low, round(quantile_cont(v, 0.25), 6) AS q1, round(median(v), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS high FROM series GROUP BY event_type""")
@@ -369,7 +397,7 @@ def frame_mean_lookup(spark, sf_dir):
     return rounded(series.frame_means(own, "frame", ["v"], 120), "v")
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(o_orderkey::VARCHAR || ':1'), o_orderkey LIMIT 20")
 def sample_topk_hash(spark, sf_dir):
     """Twenty rows without replacement: the limit is the operator."""
     return series.hash_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 20, 1)
@@ -446,7 +474,12 @@ def hrv_nonlinear(spark, sf_dir):
     return kernels.nonlinear(ecg.intervals(own), order="t_ms")
 
 
-@query()
+@query("""k AS (SELECT record_id, i, x FROM (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b FROM wave WINDOW w AS (PARTITION BY record_id ORDER BY i)) WHERE x > a AND x > b),
+l AS (SELECT record_id, list(i ORDER BY x DESC, i) AS ps FROM k GROUP BY record_id),
+r AS (WITH RECURSIVE t AS (SELECT record_id, ps, 0 AS k, []::BIGINT[] AS kept FROM l
+  UNION ALL SELECT record_id, ps, k + 1, CASE WHEN len(kept) = 0 OR list_min(list_transform(kept, lambda q: abs(q - ps[k + 1]))) >= 5 THEN list_append(kept, ps[k + 1]) ELSE kept END FROM t WHERE k < len(ps))
+  SELECT record_id, unnest(kept) AS i FROM t WHERE k = len(ps))
+SELECT record_id, i FROM (SELECT r.record_id, r.i, x, max(x) OVER (PARTITION BY r.record_id) AS top FROM r JOIN k USING (record_id, i)), (SELECT 1 FROM series LIMIT 1) WHERE x >= 0.005 * top""")
 def peak_suppression(spark, sf_dir):
     return kernels.suppressed_peaks(waves(spark, sf_dir), "x", distance=5, share=0.005)
 
@@ -454,13 +487,13 @@ def peak_suppression(spark, sf_dir):
 @query()
 def scanpath_kernels(spark, sf_dir):
     """Lempel-Ziv complexity, fractal dimension, hull area and areas of interest."""
-    return kernels.scanpaths(_points(spark, sf_dir), "label", "vec_id", bandwidth=25.0)
+    return kernels.scanpaths(points(spark, sf_dir), "record_id", "i", bandwidth=25.0)
 
 
 @query()
 def fixations(spark, sf_dir):
     """Two-state labels of gaze speed, and what each fixation is like."""
-    return kernels.fixations(_points(spark, sf_dir), "label", "vec_id", rate=200.0)
+    return kernels.fixations(points(spark, sf_dir), "record_id", "i", rate=200.0)
 
 
 @query()
@@ -469,6 +502,11 @@ def sparse_decomposition(spark, sf_dir):
     return kernels.sparse_drivers(waves(spark, sf_dir), "x", rate=4.0)
 
 
-@query()
+@query("""m AS (SELECT record_id, i, (x - avg(x) OVER (PARTITION BY record_id)) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS y FROM wave),
+f AS (SELECT record_id, k, (sum(y * cos(2 * pi() * i * k / 64)) ** 2 + sum(y * sin(2 * pi() * i * k / 64)) ** 2) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END / (64 * 24.0) AS p FROM m, (SELECT unnest(range(33)) AS k) GROUP BY record_id, k)
+SELECT record_id, round(sum(p), 6) AS power, arg_max(k, round(p, 9))::DOUBLE AS peak_hz FROM f, (SELECT 1 FROM series LIMIT 1) GROUP BY record_id""")
 def spectrum_bands(spark, sf_dir):
-    return kernels.welch(waves(spark, sf_dir), "x", rate=64.0)
+    return rounded(kernels.welch(waves(spark, sf_dir), "x", rate=64.0), "power")
+
+
+from . import signals  # noqa: E402,F401  registers its queries here

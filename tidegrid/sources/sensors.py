@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 GAZE = "`timestamp [ns]` LONG, `gaze x [px]` DOUBLE, `gaze y [px]` DOUBLE"
+MAPPED = "`timestamp [ns]` LONG, worldFrame INT, world_gazeX DOUBLE, world_gazeY DOUBLE, ref_gazeX DOUBLE, ref_gazeY DOUBLE, number_point_matches DOUBLE"
 BLINKS = "`start timestamp [ns]` LONG, `end timestamp [ns]` LONG"
 
 
@@ -45,6 +46,48 @@ def read_micros(spark: SparkSession, glob: str, value: str) -> DataFrame:
     return raw.select("record_id", (F.col("unix_timestamp") * 1000).alias("ts_ns"), value)
 
 
+def read_mapped_gaze(spark: SparkSession, glob: str) -> DataFrame:
+    """record_id, ts_ns, frame, gaze in the world and in the reference image, point matches; unreadable fields are null."""
+    raw = read_csv(spark, glob, MAPPED)
+    return raw.toDF("ts_ns", "frame", "worldX", "worldY", "refX", "refY", "matches", "record_id")
+
+
+def read_after_preamble(spark: SparkSession, glob: str, schema: str) -> DataFrame:
+    """CSV files with a line before their header: rows that do not start with a number are no data."""
+    return spark.read.text(glob).where(F.col("value").rlike(r"^\s*-?[0-9]")).select(F.from_csv("value", schema).alias("r"), record_of(F.col("_metadata.file_path")).alias("record_id")).select("r.*", "record_id")
+
+
+def read_columns(spark: SparkSession, glob: str, schema: str, columns: list[str]) -> DataFrame:
+    """Some columns of CSV files; no rows at all is an error."""
+    out = read_csv(spark, glob, schema).select(*columns)
+    if out.isEmpty():
+        raise ValueError(f"no rows in {glob}")
+    return out
+
+
+def first_files(spark: SparkSession, glob: str) -> DataFrame:
+    """(record_id, path): of each record's matching files the first by name."""
+    return spark.read.format("binaryFile").load(glob).select("path").groupBy(record_of(F.col("path")).alias("record_id")).agg(F.min("path").alias("path"))
+
+
+def read_sidecars(spark: SparkSession, glob: str) -> DataFrame:
+    """(record_id, line, subject, start_ns, end_ns) from YAML files of plain ``key: value`` lines; a key that is missing is null."""
+    lines = spark.read.text(glob).select(record_of(F.col("_metadata.file_path")).alias("record_id"), F.regexp_extract("value", r"^(\w+)\s*:", 1).alias("k"), F.regexp_extract("value", r"^\w+\s*:\s*[\"']?([^\"'#]*?)[\"']?\s*(#.*)?$", 1).alias("v"))
+    get = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
+    return lines.groupBy("record_id").agg(get("railway_line").alias("line"), get("driver").alias("subject"), mmss(get("start_offset")).alias("start_ns"), mmss(get("end_offset")).alias("end_ns"))
+
+
+def read_spectra(spark: SparkSession, glob: str) -> DataFrame:
+    """(record_id, sensor, axis, hz, density) from files named like ``Acc_X_psd.csv``."""
+    raw = read_csv(spark, glob, "Frequency_Hz DOUBLE, Normalized_PSD DOUBLE").withColumn("f", F.col("_metadata.file_name"))
+    return raw.select("record_id", F.split("f", "_")[0].alias("sensor"), F.split("f", "_")[1].alias("axis"), F.col("Frequency_Hz").alias("hz"), F.col("Normalized_PSD").alias("density"))
+
+
+def write_features(df: DataFrame, path: str, family: str) -> None:
+    """One folder of CSV with a header for each record."""
+    df.write.partitionBy("record_id").mode("overwrite").csv(f"{path}/{family}", header=True)
+
+
 def paris_to_ns(day: Column, time: Column, zone: str = "Europe/Paris") -> Column:
     """dd/MM/yyyy and HH:mm:ss.SSS of a wall clock to UTC nanoseconds, whatever the session's zone."""
     local = F.to_timestamp_ntz(F.concat_ws(" ", day, time), F.lit("dd/MM/yyyy HH:mm:ss.SSS"))
