@@ -42,10 +42,12 @@ def unescape(text: Column) -> Column:
     return reduce(lambda t, e: F.replace(t, F.lit(e[1]), F.lit(e[0])), ESCAPES[::-1], text)
 
 
-def _parts(content: Column, typed: bool) -> Column:
-    """Content as an array of (kind, text, ref, tokens); kind is null for text."""
-    if not typed:
-        return F.array(F.struct(F.lit(None).cast("string").alias("kind"), escape(F.coalesce(content, F.lit(""))).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("long").alias("tokens")))
+#: What the visitor reads.
+_PARTS = "array<struct<type:string,text:string,ref:string,amount:double>>"
+
+
+def _parts(content: Column) -> Column:
+    """Visits typed parts: an array of (kind, text, ref, tokens); kind is null for text."""
 
     def visit(p: Column) -> Column:
         kind = F.when(p["type"].isin(*TOKENS), p["type"])
@@ -53,31 +55,28 @@ def _parts(content: Column, typed: bool) -> Column:
         units = F.greatest(F.ceil(F.coalesce(p["amount"].cast("double"), F.lit(1.0))), F.lit(1))
         return F.struct(kind.alias("kind"), escape(F.coalesce(p["text"], F.lit(""))).alias("text"), p["ref"].cast("string").alias("ref"), (each * units).cast("long").alias("tokens"))
 
-    return F.transform(F.filter(F.coalesce(content, F.array().cast("array<struct<type:string,text:string,ref:string,amount:double>>")), lambda p: p.isNotNull()), visit)
+    return F.transform(F.filter(F.coalesce(content, F.array().cast(_PARTS)), lambda p: p.isNotNull()), visit)
 
 
 def format_chat(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text") -> DataFrame:
     """Per conversation: conv_id, n_turns, formatted, loss_spans, attachments (index, kind, ref, tokens)."""
-    typed = isinstance(turns.schema[content].dataType, ArrayType)
-    body = F.col(content).cast("array<struct<type:string,text:string,ref:string,amount:double>>") if typed else F.col(content)
+    body = F.col(content)
+    if not isinstance(turns.schema[content].dataType, ArrayType):  # a text is its only part
+        body = F.array(F.struct(F.lit("text").alias("type"), body.cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("amount")))
+    body = body.cast(_PARTS)
     rows = turns.select(
         F.col(conv_id).alias("conv_id"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), _parts(body, typed).alias("parts")).alias("row"),
+        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), _parts(body).alias("parts")).alias("row"),
     )
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     # Number the attachments: each turn's parts start after those of the turns before.
     counted = whole.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["parts"].alias("parts"), F.size(F.filter(r["parts"], lambda p: p["kind"].isNotNull())).alias("n"))).alias("rows"))
-    if typed:
-        flat = F.filter(F.flatten(F.transform("rows", lambda r: r["parts"])), lambda p: p["kind"].isNotNull())
-        first = F.aggregate("rows", F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["n"])))
-        counted = counted.select("conv_id", "rows", F.transform(flat, lambda p, i: F.struct(i.alias("index"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"))).alias("attachments"), first.alias("first"))
-    else:
-        counted = counted.withColumns({"attachments": F.array().cast("array<struct<index:int,kind:string,ref:string,tokens:bigint>>"), "first": F.array().cast("array<int>")})
+    flat = F.filter(F.flatten(F.transform("rows", lambda r: r["parts"])), lambda p: p["kind"].isNotNull())
+    first = F.aggregate("rows", F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["n"])))
+    counted = counted.select("conv_id", "rows", F.transform(flat, lambda p, i: F.struct(i.alias("index"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"))).alias("attachments"), first.alias("first"))
 
     def written(r: Column, i: Column) -> Column:
         """The content of a turn, placeholders in."""
-        if not typed:
-            return r["parts"][0]["text"]
         start = F.aggregate(  # (text so far, attachments so far)
             r["parts"],
             F.struct(F.lit("").alias("text"), F.get(F.col("first"), i).alias("n")),

@@ -70,7 +70,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", (F.floor(rate) + extra.cast("long")).alias("copies"), "row")
 
 
-def repeat(docs: DataFrame, **settings) -> DataFrame:
-    """The mixed corpus itself: each row of ``docs`` as often as the mix takes it, with a column ``copy`` from 1."""
-    taken = mix(docs, **settings).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "copy"], "copy")
+def repeat(docs: DataFrame, name: str = "copy", **settings) -> DataFrame:
+    """The mixed corpus itself: each row of ``docs`` as often as the mix takes it, with a column that counts from 1.
+
+    The column is called ``name``, with underscores before it as long as ``docs`` has one of that name.
+    """
+    taken_names = {c.lower() for c in docs.columns}
+    while name.lower() in taken_names:
+        name = f"_{name}"
+    taken = mix(docs, **settings).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n"))
+    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("n").alias(name))

@@ -253,16 +253,19 @@ def _escapes(order: int):
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "log10_probability") -> DataFrame:
-    """``docs`` with one more column, the log10 probability of each text."""
+    """``docs`` with one more column, the log10 probability of each text; a column of its name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Model(*shared.value)
         for batch in batches:
-            out = [trie.of_documents(raw, at) for _, _, raw, at in pieces(batch.column(text))]
-            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(out) if out else np.empty(0))], names=[*batch.schema.names, name])
+            out = [trie.of_documents(raw, at) for _, _, raw, at in pieces(batch.column("row").field(text))]
+            yield pa.record_batch([batch.column("row"), pa.array(np.concatenate(out) if out else np.empty(0))], names=["row", "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    own = docs.select(F.struct("*").alias("row"))
+    same = [c for c in docs.columns if c.lower() != name.lower()]
+    out = own.mapInArrow(run, StructType([*own.schema.fields, StructField("score", DoubleType())]))
+    return out.select(*[F.col("row")[c].alias(c) for c in same], F.col("score").alias(name))
 
 
 def _by_word(batch: pa.RecordBatch, known: np.ndarray) -> Iterator[tuple]:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .text import BYTE, BYTE2, Rolling, flat, lowest, merged, mix, pieces, ranges
+from .text import BYTE, Rolling, flat, hashed, lowest, merged, mix, pieces, ranges
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -125,7 +125,7 @@ def _windows(length: int):
                 yield pa.record_batch(
                     [
                         Rolling(BYTE[raw]).of(p, p + length).view(np.int64),
-                        Rolling(BYTE2[raw]).of(p, p + length, 2).view(np.int64),
+                        hashed(raw, p, p + length, 2).view(np.int64),
                         keys[low + who],
                         (p - at[who]).astype(np.int32),
                     ],

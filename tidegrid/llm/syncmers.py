@@ -67,9 +67,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """``docs`` with the fingerprint of each text."""
+    """``docs`` with the fingerprint of each text; a column of its name is replaced."""
     own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return with_anchors(own, anchors="text").select("row.*", shown(F.col("anchors")).alias(name))
+    same = [c for c in docs.columns if c.lower() != name.lower()]
+    return with_anchors(own, anchors="text").select(*[F.col("row")[c].alias(c) for c in same], shown(F.col("anchors")).alias(name))
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:

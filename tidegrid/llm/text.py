@@ -105,8 +105,6 @@ class Rolling:
 
 #: A random 64-bit value for each byte.
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-#: Another one, for a second, independent hash.
-BYTE2 = mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

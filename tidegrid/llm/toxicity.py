@@ -48,6 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .text import LOWER, SPACE, hashed, pieces, ranges, spans
 
@@ -374,7 +375,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.record_batch([batch.column("row"), pa.array(np.concatenate(out) if out else np.empty(0))], names=["row", "score"])
 
     own = docs.select(F.struct("*").alias("row"))
-    return own.mapInArrow(run, f"row {own.schema['row'].dataType.simpleString()}, score double")
+    return own.mapInArrow(run, StructType([*own.schema.fields, StructField("score", DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
