@@ -19,9 +19,12 @@ groups of two or more; a suffix alone in its group repeats nothing and leaves:
 4. The rest, and one step of each group that pass 3 found equal, goes suffix by
    suffix through a last pass over all ``length`` bytes, under a 128-bit hash.
 
+A sort by the first byte on would deal out a row for each byte, some ten times the
+input; by anchors the same equal groups come of one row in 75 bytes.
+
 Counts are aggregated before they are shuffled, and the joins back have a
-unique right side, so a passage that a third of the documents share makes no
-hot task.
+unique, written right side, so where a passage is in a third of all documents
+adaptive execution splits its rows.
 
 Cases: a null text is empty; texts under ``length`` bytes have no suffix and
 stay; exact copies cover each other, the first one too; two equal rows are two
@@ -139,18 +142,21 @@ def repeated_spans(docs: DataFrame, length: int = 200, block: int = 48) -> DataF
     """(key, spans) of the rows of ``docs(key, text)`` in which some string of ``length`` bytes repeats."""
     runs = docs.mapInArrow(_runs(length, block), "h long, ctx long, key long, start int, n int")
     shared = runs.groupBy("h").agg(F.count("*").alias("c"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("c > 1")
-    second = written(runs.join(shared.select("h", (F.col("lo") == F.col("hi")).alias("same")), "h"), "suffix-runs")
+    # What is looked up is written first: then a hot key is a plain join side, which adaptive execution splits.
+    shared = written(shared.select("h", (F.col("lo") == F.col("hi")).alias("same")), "suffix-anchors", free=False)
+    second = written(runs.join(shared, "h"), "suffix-runs")
 
     third = written(_told(second.where("NOT same"), "h", "ctx"), "suffix-rest")
 
     rest = third.where("sorted_on").groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     steps = docs.join(rest, "key").select("key", "text", "runs").mapInArrow(_steps(length, block), "core long, cover long, key long, start int, n int")
     twice = steps.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+    twice = written(twice, "suffix-cores", free=False)
     fourth = written(_told(written(steps.join(twice, "core"), "suffix-steps"), "core", "cover"), "suffix-steps-rest")
 
     rest = fourth.where("sorted_on").groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     windows = docs.join(rest, "key").select("key", "text", "runs").mapInArrow(_windows(length), "w1 long, w2 long, key long, start int")
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
+    again = written(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"), "suffix-repeats", free=False)
 
     end = (F.col("start") + F.col("n") - 1 + length).alias("end")
     return (
@@ -165,6 +171,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, block: int = 48) -> DataF
 def _told(rows: DataFrame, group: str, digit: str) -> DataFrame:
     """Of rows in one group: ``equal`` if others have its digit too, and ``sorted_on`` but for all but one of those."""
     equal = rows.groupBy(group, digit).agg(F.count("*").alias("c"), F.min(F.struct("key", "start")).alias("first")).where("c > 1")
+    equal = written(equal, "suffix-equal", free=False)
     return rows.join(equal, [group, digit], "left").select(
         "key", "start", "n", F.col("c").isNotNull().alias("equal"), F.coalesce(F.col("first") == F.struct("key", "start"), F.lit(True)).alias("sorted_on")
     )
