@@ -24,11 +24,14 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a machine trained on all labels does not find toxic.
 
-    Null and empty texts stay; equal texts share their fate; without labels of both
-    classes all stay, or none if nearly all labels are toxic; all columns pass.
+    Equal texts share their fate, null and empty ones stay as long as most sentences
+    are clean; where nothing tells toxic documents from clean ones (no labels of both
+    classes among them), all stay; all columns pass.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, out_of=None)
+    if not model.marks:
+        return docs
     return toxicity.scored(docs, model).where(F.col("score") < TOXIC).select("row.*")
 
 
