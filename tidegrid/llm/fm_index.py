@@ -282,12 +282,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shards = max(1, math.ceil(size / shard))
 
     cut = own.join(chosen, ["doc_id", "key"]).select("doc_id", "key", "text", "chosen").mapInArrow(_cut_out(width), "d long, g long, s long, doc_id long, key long, start int, words binary")
-    once = cut.groupBy("d", "g", "s", "words").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-    found = once.withColumn("shard", F.pmod("d", F.lit(shards))).groupBy("shard").applyInArrow(_searched(width), "g long, s long, least array<long>")
+    once = cut.select(F.pmod("d", F.lit(shards)).cast("int").alias("shard"), "g", "s", "words", "doc_id").groupBy("shard", "g", "s", "words").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    found = once.groupBy("shard").applyInArrow(_searched(width), "g long, s long, least array<long>")
     found = written(found, "found")
     hit = cut.select("g", "s", "doc_id", "key", "start").join(found, ["g", "s"])
     places = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     by_key = hit.select("doc_id", "key", places.alias("places")).where(F.size("places") > 0).groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("hits"))
+    by_key = written(by_key, "hits")  # before the texts are shuffled once more
     whole = own.join(by_key, ["doc_id", "key"], "left").select("doc_id", "text", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
     out = whole.mapInArrow(_without(width), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
