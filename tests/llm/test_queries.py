@@ -1,4 +1,4 @@
-"""The ten queries and the pipeline themselves on the driver's smallest tables: contracts, SQL and plain Python."""
+"""The queries and the pipeline themselves on the driver's smallest tables: contracts, SQL and plain Python."""
 
 import hashlib
 import math
@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidegrid.llm import queries
@@ -136,11 +137,29 @@ def test_substrings_by_brute_force(spark, docs):
         assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == (len(b), sum(gone), spans, sha(kept))
 
 
+def test_whitening_contract(spark):
+    con = duckdb.connect()
+    rows = con.execute(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    x = np.floor(1024 * np.array([r[1] for r in rows], float)).astype(np.int64) + 100000
+    n, s = len(x), x.sum(0)
+    values, vectors = np.linalg.eigh(np.cov(x.T.astype(float), bias=True))
+    values, vectors = values[::-1][:8], vectors[:, ::-1][:, :8]
+    white = np.abs((x - s / n) @ vectors / np.sqrt(values))
+    far = ((n * x - s) ** 2).sum(1)
+    place = {r[0]: k for k, r in enumerate(rows)}
+    out = queries.op13_whitening(spark, SF).collect()
+    assert len(out) == 8 * n
+    for o in out:
+        k = place[o.vec_id]
+        assert (o.n, o.deviation) == (n, far[k]) and abs(o.whitened) == pytest.approx(white[k, o.component - 1], abs=1e-6) and o.identity_error < 1e-9
+
+
 def test_empty_tables(spark, tmp_path):
     import corpus_pipeline
 
     shapes = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int",
-              "benchmark": "item_id long, text string", "conversations": "conv_id long, turn long, role string, text string"}
+              "benchmark": "item_id long, text string", "conversations": "conv_id long, turn long, role string, text string",
+              "embeddings": "vec_id long, embedding array<float>, label int"}
     for name, schema in shapes.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in queries.QUERIES.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fm_index, line_windows, mixing, near_dup, ppm, suffix_sort, syncmers, toxicity
+from . import chat, decontaminate, exact, fm_index, lexical, line_windows, mixing, near_dup, ppm, suffix_sort, syncmers, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +111,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of each document and the row of it that stays."""
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of each embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
 OP3_SQL = r"""
 WITH split AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -223,6 +238,37 @@ whole AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole
 """
 
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+counted AS (
+  SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sized AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id),
+whole AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sized),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weighed AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counted, whole WHERE term IN (SELECT term FROM asked) GROUP BY term),
+marked AS (
+  SELECT doc_id, 100 - 50 + ((50 * n * n_docs) // n_terms) AS m FROM sized, whole),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN weighed USING (term) JOIN counted USING (term) JOIN marked USING (doc_id) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+OP12_SQL = r"""
+WITH own AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1 AS kept, sha256(text) AS text_sha256
+FROM own WINDOW w AS (PARTITION BY text)
+"""
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_string_kernel": op2_string_kernel,
@@ -234,6 +280,9 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,
+    "op11_bucket_search": op11_bucket_search,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -242,4 +291,6 @@ ORACLES: dict[str, str] = {
     "op8_source_mix": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_chat": OP10_SQL,
+    "op11_bucket_search": OP11_SQL,
+    "op12_exact_dedup": OP12_SQL,
 }
