@@ -7,7 +7,6 @@ the recordings out. Definitions are those of the published methods.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -276,97 +275,3 @@ def fixations(df: DataFrame, key: str, order: str, rate: float) -> DataFrame:
         return out
 
     return _grouped(df.select(key, order, "x", "y"), key, "first long, last long, duration_s double, x double, y double, drift double, mean_speed double", one)
-
-
-def positive_pursuit(y: np.ndarray, atoms: np.ndarray, gram: np.ndarray, most: int = 50, stop: float = 1e-3) -> np.ndarray:
-    """Non-negative sparse weights of unit atoms: the one that fits the rest best is added, all chosen ones are fitted anew."""
-    weights, chosen, barred = np.zeros(atoms.shape[1]), [], []
-    along = atoms.T @ y
-    fitted = lambda: np.linalg.solve(gram[np.ix_(chosen, chosen)] + 1e-10 * np.eye(len(chosen)), along[chosen])
-    for _ in range(min(most, atoms.shape[1])):
-        gain = along - gram[:, chosen] @ weights[chosen]
-        gain[chosen + barred] = -np.inf
-        k = int(gain.argmax())
-        if gain[k] <= stop * (np.linalg.norm(y) + 1e-12):
-            break
-        chosen.append(k)
-        w = fitted()
-        while (w < 0).any() and len(chosen) > 1:
-            del chosen[int(w.argmin())]
-            w = fitted()
-        if k not in chosen:
-            barred.append(k)
-        weights[:] = 0
-        weights[chosen] = np.maximum(w, 0)
-    return weights
-
-
-@cache
-def responses(rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Unit atoms of a 120 s window, and their products: six ramps, then biexponential responses from each sample of its first 60 s, in five time scales."""
-    n, reach = round(120 * rate), round(60 * rate)
-    ramps = np.zeros((n, 6))
-    for j in range(3):
-        begin = j * reach // 3
-        ramps[begin:reach, 2 * j] = np.linspace(0, 1 - j / 3, reach - begin)
-        ramps[:, 2 * j + 1] = -ramps[:, 2 * j]
-    parts = [ramps / np.linalg.norm(ramps[:, 0])]
-    for scale in (0.5, 0.75, 1, 1.25, 1.5):
-        t = np.arange(0, 10 + 1e-10, 1 / (rate * scale))
-        response = np.exp(-t / 2) - np.exp(-t / 0.5)
-        response /= np.linalg.norm(response)
-        shifted = np.zeros((n + len(response), reach))
-        for k in range(reach):
-            shifted[k : k + len(response), k] = response
-        parts.append(shifted[:n])
-    atoms = np.concatenate(parts, 1)
-    return atoms, atoms.T @ atoms
-
-
-def sparse_fit(y: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Driver, tonic level and squared error of each sample, by windows of 120 s that overlap.
-
-    20 s of the first value go before the record. Of each window the first 20 s
-    are kept, and the 20 s after them, or 40, where the fit is good; the next
-    window starts there, from the tonic level that was reached. The last value
-    goes on after the record, so its end is fitted too.
-    """
-    atoms, gram = responses(rate)
-    n, reach, step = round(120 * rate), round(60 * rate), round(20 * rate)
-    padded = np.concatenate((np.full(step, y[0]), y, np.full(n, y[-1])))
-    driver, tonic, error = np.zeros((3, len(padded)))
-    cut, level, end = 0, y[0], step + len(y)
-    while cut < end:
-        part = padded[cut : cut + n]
-        w = positive_pursuit(part - level, atoms, gram)
-        slow = atoms[:, :6] @ w[:6] + level
-        rest = (part - slow - atoms[:, 6:] @ w[6:]) ** 2
-        keep = step
-        if rest[step : 2 * step].sum() < 1:
-            keep = 3 * step if rest[2 * step : 3 * step].sum() < 1 else 2 * step
-        here = slice(cut, cut + keep)
-        driver[here], tonic[here], error[here] = w[6:].reshape(5, reach).sum(0)[:keep], slow[:keep], rest[:keep]
-        level = slow[keep - 1]
-        cut += keep
-    return driver[step:end], tonic[step:end], error[step:end]
-
-
-def apart(driver: np.ndarray, distance: int, share: float) -> list[int]:
-    """Places of a driver by falling height, each ``distance`` from higher ones at least, of at least ``share`` of the highest."""
-    kept, near = [], np.zeros(len(driver), bool)
-    at = np.flatnonzero(driver > 0)
-    for p in at[np.argsort(-driver[at], kind="stable")].tolist():
-        if not near[p]:
-            kept.append(p)
-            near[max(0, p - distance + 1) : p + distance] = True
-    return sorted(p for p in kept if driver[p] >= share * driver[kept[0]])
-
-
-def sparse_drivers(df: DataFrame, x: str, rate: float, key: str = "record_id") -> DataFrame:
-    """Mean tonic level, number of driver events a second apart, sum of the driver, and the error of a sparse fit by biexponential responses."""
-
-    def one(pdf: pd.DataFrame) -> dict:
-        driver, tonic, error = sparse_fit(pdf.sort_values("i")[x].to_numpy(float), rate)
-        return {"tonic": float(tonic.mean()), "n_events": len(apart(driver, max(1, round(rate)), 0.005)), "driver": float(driver.sum()), "mse": float(error.mean())}
-
-    return _grouped(df.select(key, "i", x), key, "tonic double, n_events long, driver double, mse double", one)

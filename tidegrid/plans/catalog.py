@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ecg, features, gaze, kernels, series
+from ..operators import ecg, features, gaze, kernels, series, skin
 
 H6, HOUR = 6 * 3600 * 10**9, 3600 * 10**9
 QUERIES: dict = {}
@@ -16,7 +16,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = SERIES + sql if "series" in sql or "beats" in sql else sql
+            ORACLES[f.__name__] = SERIES + sql if ("series" in sql or "beats" in sql) and not sql.startswith("WITH") else sql
         return f
 
     return add
@@ -50,6 +50,16 @@ def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"x": F.col("x").cast("double"), "i": F.col("i").cast("long"), "ts_ns": F.col("i").cast("long")})
 
 
+#: Ten embeddings one after the other as a strip of 640 samples, long enough for beats.
+STRIPS = "strip AS (SELECT vec_id // 10 AS record_id, (vec_id % 10) * 64 + unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+
+
+def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings ten by ten as one signal each."""
+    out = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
+    return out.select(F.expr("vec_id div 10").alias("record_id"), (F.col("vec_id") % 10 * 64 + F.col("k")).alias("i"), F.col("x").cast("double").alias("x"))
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -461,10 +471,57 @@ def record_bundle(spark, sf_dir):
     return out.groupBy("record_id").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
 
 
-@query()
+#: R peaks of the strips at 40 samples a second: filters, candidates, the decision by recursion over them, the highest sample around.
+BEATS = STRIPS + """,
+bs1 AS (SELECT record_id, i, x, sum(x) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS s FROM strip),
+blo AS (SELECT record_id, i, sum(s) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS low FROM bs1),
+bu AS (SELECT *, (CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS sg, 32 * coalesce(lag(low, 16) OVER w, 0) + coalesce(lag(low, 32) OVER w, 0) - low AS uu FROM blo WINDOW w AS (PARTITION BY record_id ORDER BY i)),
+bhi AS (SELECT *, sg * sum(sg * uu) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high FROM bu),
+bba AS (SELECT record_id, i, high / greatest(max(high) OVER w, -min(high) OVER w) AS band FROM bhi WINDOW w AS (PARTITION BY record_id)),
+bde AS (SELECT *, (CASE WHEN i >= 2 THEN -2 * lag(band) OVER w - lag(band, 2) OVER w WHEN i = 1 THEN -2 * lag(band) OVER w ELSE 0 END + 2 * coalesce(lead(band) OVER w, 0) + coalesce(lead(band, 2) OVER w, 0)) * 40 / 8 AS de FROM bba WINDOW w AS (PARTITION BY record_id ORDER BY i)),
+bit AS (SELECT record_id, i, band, sum(de * de) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) / 6 AS g FROM bde),
+bsm AS (SELECT *, sum(g) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) / 25 AS sm FROM bit),
+bpk AS (SELECT *, coalesce(i >= 21 AND sm > lag(sm) OVER w AND sm > lead(sm) OVER w, false)::INT AS peak, CASE WHEN lead(i) OVER w IS NOT NULL THEN band END AS inner_band, g - lag(g) OVER w AS d FROM bsm WINDOW w AS (PARTITION BY record_id ORDER BY i)),
+bfr AS (SELECT *, max(d) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS slope,
+  coalesce(sum(peak) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM bpk),
+bgx AS (SELECT record_id, gap, max(g) AS bx, arg_max(i, (g, -i)) AS x FROM bfr GROUP BY record_id, gap),
+bca AS (SELECT f.record_id, f.gap AS k, f.i AS p, f.g AS m, f.slope, x.bx, x.x,
+    (SELECT max(band) FROM bit a WHERE a.record_id = f.record_id AND a.i BETWEEN f.i - 6 AND f.i + 5 AND a.i < n.last) AS b,
+    (SELECT arg_max(i, (band, -i)) FROM bit a WHERE a.record_id = f.record_id AND a.i BETWEEN f.i - 6 AND f.i + 5 AND a.i < n.last) AS r,
+    (SELECT max(band) FROM bit a WHERE a.record_id = f.record_id AND a.i BETWEEN x.x - 6 AND x.x - 1) AS bb,
+    (SELECT arg_max(i, (band, -i)) FROM bit a WHERE a.record_id = f.record_id AND a.i BETWEEN x.x - 6 AND x.x - 1) AS bp
+  FROM bfr f JOIN bgx x USING (record_id, gap) JOIN (SELECT record_id, max(i) AS last FROM strip GROUP BY record_id) n USING (record_id) WHERE peak = 1),
+bdc AS (WITH RECURSIVE t AS (
+  SELECT record_id, -1::BIGINT AS k, 0::BIGINT AS prev, 0::DOUBLE AS ps, 0::DOUBLE AS low, 0::DOUBLE AS high, 0::DOUBLE AS missed, 0::DOUBLE AS spki, 0::DOUBLE AS npki, 0::DOUBLE AS spkf, 0::DOUBLE AS npkf,
+    0::DOUBLE AS i1, 0::DOUBLE AS f1, 0::DOUBLE AS f2, []::DOUBLE[] AS rr, []::DOUBLE[] AS rr2, []::BIGINT[] AS found FROM (SELECT DISTINCT record_id FROM bca)
+  UNION ALL
+  SELECT record_id, k, p, slope, low, high, missed, spki, npki, spkf, npkf, npki + 0.25 * (spki - npki), npkf + 0.25 * (spkf - npkf), 0.5 * (npkf + 0.25 * (spkf - npkf)), rr, rr2, found FROM (
+  SELECT record_id, k, p, slope, low, high, missed, rr, rr2, CASE WHEN strong THEN 0.125 * m + 0.875 * spki ELSE spki END AS spki, CASE WHEN NOT strong THEN 0.125 * m + 0.875 * npki ELSE npki END AS npki,
+    CASE WHEN strong AND hf THEN 0.125 * b + 0.875 * spkf ELSE spkf END AS spkf, CASE WHEN (NOT strong AND NOT wave) OR (strong AND NOT hf) THEN 0.125 * b + 0.875 * npkf ELSE npkf END AS npkf,
+    CASE WHEN strong AND hf THEN list_append(found, r) ELSE found END AS found FROM (
+  SELECT *, over1 AND NOT wave AS strong FROM (
+  SELECT *, m >= i1 AS over1, m >= i1 AND coalesce(rrn > 0.2 AND rrn < 0.36 AND slope < 0.5 * ps, false) AS wave, b > f1 AS hf FROM (
+  SELECT * REPLACE (CASE WHEN back THEN npki + 0.25 * (spki - npki) ELSE i1 END AS i1, CASE WHEN deep THEN npkf + 0.25 * (spkf - npkf) ELSE f1 END AS f1, CASE WHEN deep THEN list_append(found, bp) ELSE found END AS found) FROM (
+  SELECT * REPLACE (CASE WHEN back THEN 0.25 * bx + 0.75 * spki ELSE spki END AS spki, CASE WHEN deep THEN 0.25 * bb + 0.75 * spkf ELSE spkf END AS spkf) FROM (
+  SELECT *, back AND coalesce(bb > f1 AND bb > f2, false) AS deep FROM (
+  SELECT *, coalesce(rrn > missed AND bx > i1, false) AS back FROM (
+  SELECT * REPLACE (i1 / CASE WHEN coalesce(mean1 < low OR mean1 > missed, false) THEN 2 ELSE 1 END AS i1, f1 / CASE WHEN coalesce(mean1 < low OR mean1 > missed, false) THEN 2 ELSE 1 END AS f1) FROM (
+  SELECT * REPLACE (CASE WHEN moves THEN 0.92 * mean2 ELSE low END AS low, CASE WHEN moves THEN 1.16 * mean2 ELSE high END AS high, CASE WHEN moves THEN 1.66 * mean2 ELSE missed END AS missed) FROM (
+  SELECT *, k > 0 AND (len(rr2) > 7 OR k < 8) AS moves FROM (
+  SELECT * REPLACE (both_[-8:] AS rr2), CASE WHEN len(fits) > 0 AND len(both_) > 8 THEN list_avg(both_[-8:]) ELSE mean1 END AS mean2 FROM (
+  SELECT *, list_concat(rr2, fits) AS both_, CASE WHEN k > 0 THEN list_avg(rr) END AS mean1 FROM (
+  SELECT *, CASE WHEN k >= 8 THEN list_filter(rr, lambda v: v > low AND v < high) ELSE []::DOUBLE[] END AS fits FROM (
+  SELECT * REPLACE (CASE WHEN k > 0 THEN list_append(rr, rrn)[-8:] ELSE rr END AS rr) FROM (
+  SELECT t.* EXCLUDE (k), c.* EXCLUDE (record_id), CASE WHEN c.k > 0 THEN (c.p - t.prev) / 40.0::DOUBLE END AS rrn FROM t JOIN bca c ON c.record_id = t.record_id AND c.k = t.k + 1
+  ))))))))))))))))
+  SELECT record_id, found FROM t QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY k DESC) = 1),
+beat AS (SELECT DISTINCT record_id, (SELECT arg_max(s.i, (s.x, -s.i)) FROM strip s WHERE s.record_id = f.record_id AND s.i BETWEEN f.r - 8 AND f.r + 8) AS i FROM (SELECT record_id, unnest(found) AS r FROM bdc) f)"""
+
+
+@query("WITH " + BEATS + " SELECT record_id, i FROM beat")
 def qrs_peaks(spark, sf_dir):
-    """Beats found in each wave."""
-    return kernels.qrs_peaks(ecg.front_end(waves(spark, sf_dir), "x", 64), 64)
+    """R peaks of each strip."""
+    return ecg.r_peaks(strips(spark, sf_dir), "x", 40)
 
 
 @query()
@@ -499,7 +556,29 @@ def fixations(spark, sf_dir):
 @query()
 def sparse_decomposition(spark, sf_dir):
     """Tonic level and sparse driver of each wave."""
-    return kernels.sparse_drivers(waves(spark, sf_dir), "x", rate=4.0)
+    return skin.totals(waves(spark, sf_dir), "x", rate=4.0)
+
+
+@query()
+def skin_series(spark, sf_dir):
+    """Tonic and phasic part, driver and squared rest of each sample of the strips, the phasic part over its 0.995 quantile too."""
+    return skin.scaled(skin.series(strips(spark, sf_dir), "x", 4.0))
+
+
+@query("WITH " + STRIPS + """,
+k AS (SELECT record_id, i, x - 0.15 AS d FROM strip WHERE x > 0.15),
+l AS (SELECT record_id, list(i ORDER BY d DESC, i) AS ps FROM k GROUP BY record_id),
+r AS (WITH RECURSIVE t AS (SELECT record_id, ps, 0 AS k, []::BIGINT[] AS kept FROM l
+  UNION ALL SELECT record_id, ps, k + 1, CASE WHEN len(kept) = 0 OR list_min(list_transform(kept, lambda q: abs(q - ps[k + 1]))) >= 8 THEN list_append(kept, ps[k + 1]) ELSE kept END FROM t WHERE k < len(ps))
+  SELECT record_id, unnest(kept) AS i FROM t WHERE k = len(ps)),
+e AS (SELECT record_id, i FROM (SELECT r.record_id, r.i, d, max(d) OVER (PARTITION BY r.record_id) AS top FROM r JOIN k USING (record_id, i)) WHERE d >= 0.2 * top),
+b AS (SELECT record_id, i // 480 AS block, count(*) AS n FROM strip GROUP BY ALL),
+c AS (SELECT record_id, i // 480 AS block, count(*) AS n FROM e GROUP BY ALL)
+SELECT b.record_id, b.block, round(coalesce(c.n, 0) / 120.0, 6) AS frequency FROM b LEFT JOIN c ON b.record_id = c.record_id AND b.block = c.block WHERE b.n = 480""")
+def driver_rates(spark, sf_dir):
+    """Events a second in each 120 s of a driver, two seconds apart and at least a fifth of the highest."""
+    own = strips(spark, sf_dir).withColumn("driver", F.greatest(F.col("x") - 0.15, F.lit(0.0)))
+    return rounded(skin.event_rates(own, skin.events(own, 8, 0.2), 4.0), "frequency")
 
 
 @query("""m AS (SELECT record_id, i, (x - avg(x) OVER (PARTITION BY record_id)) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS y FROM wave),

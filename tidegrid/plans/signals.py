@@ -10,7 +10,7 @@ from ..functions import all_of, clip_to_null, enough, finite, in_bounds, inside_
 from ..operators import ecg, features, gaze, quality, series
 from ..session import shared_dir
 from ..sources import sensors
-from .catalog import _POINTS, HOUR, _correlations, events, points, query, rounded, table, waves
+from .catalog import _POINTS, BEATS, HOUR, _correlations, events, points, query, rounded, strips, table, waves
 
 #: Events as mapped gaze: coordinates beyond the frame, missing mappings and few matches included.
 _GAZE = """gz AS (SELECT record_id, ts_ns, i, seq, v * 10 AS gx, (seq * 37 % 1500)::DOUBLE AS gy, CASE WHEN seq % 11 <> 0 THEN v * 2 END AS rx, (seq * 13 % 500)::DOUBLE AS ry,
@@ -178,31 +178,32 @@ def hrv_segments(spark, sf_dir):
     return rounded(ecg.variability(nn, ["record_id", "segment"], "i"), "mean_nn", "sdnn", "rmssd", "tri_index")
 
 
-_HEART = """ra AS (SELECT *, min(x) OVER (PARTITION BY record_id) AS lo, max(x) OVER (PARTITION BY record_id) AS hi FROM wave),
+_HEART = "WITH " + BEATS + """,
+ra AS (SELECT *, min(x) OVER (PARTITION BY record_id) AS lo, max(x) OVER (PARTITION BY record_id) AS hi FROM strip),
 sc AS (SELECT record_id, i, x, (x - lo) / (hi - lo) AS s FROM ra),
 df AS (SELECT record_id, i, abs(lead(s) OVER (PARTITION BY record_id ORDER BY i) - s) * 1000 < 60 AS small, (s - 0.5) * (lag(s) OVER (PARTITION BY record_id ORDER BY i) - 0.5) < 0 AS cross_ FROM sc),
 fl AS (SELECT record_id, max(share) AS flat_share FROM (SELECT record_id, i, sum(small::INT) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 20 PRECEDING AND 2 PRECEDING) / 20.0 AS share FROM df) WHERE i >= 20 AND (i - 20) % 5 = 0 GROUP BY record_id),
 cr AS (SELECT record_id, coalesce(sum(cross_::INT), 0)::BIGINT AS crossings FROM df GROUP BY record_id),
-pk AS (SELECT record_id, i FROM (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b FROM wave WINDOW w AS (PARTITION BY record_id ORDER BY i)) WHERE i >= 1 AND x > a AND x > b AND x > 0.1),
+pk AS (SELECT record_id, i FROM beat WHERE i > 0),
 be AS (SELECT record_id, avg(d) AS mean, median(d) AS med FROM (SELECT record_id, i - lag(i) OVER (PARTITION BY record_id ORDER BY i) AS d FROM pk) GROUP BY record_id),
-am AS (SELECT record_id, max(x) AS amplitude FROM pk JOIN wave USING (record_id, i) GROUP BY record_id),
-ha AS (SELECT record_id, 60 * 8.0 / mean AS heart_rate, round_even(least(mean, med) / 2, 0)::INT AS half FROM be),
-pa AS (SELECT p.record_id, p.i AS beat, w.i - p.i AS o, w.x, ha.half, count(*) OVER (PARTITION BY p.record_id, p.i) AS n FROM pk p JOIN ha USING (record_id) JOIN wave w ON w.record_id = p.record_id AND w.i BETWEEN p.i - half AND p.i + half WHERE half > 0),
+am AS (SELECT record_id, max(x) AS amplitude FROM pk JOIN strip USING (record_id, i) GROUP BY record_id),
+ha AS (SELECT record_id, 60 * 40.0 / mean AS heart_rate, round_even(least(mean, med) / 2, 0)::INT AS half FROM be),
+pa AS (SELECT p.record_id, p.i AS beat, w.i - p.i AS o, w.x, ha.half, count(*) OVER (PARTITION BY p.record_id, p.i) AS n FROM pk p JOIN ha USING (record_id) JOIN strip w ON w.record_id = p.record_id AND w.i BETWEEN p.i - half AND p.i + half WHERE half > 0),
 fu AS (SELECT * FROM pa WHERE n = 2 * half + 1),
 co AS (SELECT a.record_id, a.beat, b.beat AS other, corr(a.x, b.x) AS r FROM fu a JOIN fu b ON a.record_id = b.record_id AND a.o = b.o GROUP BY ALL),
 sr AS (SELECT record_id, avg(r) AS i_score FROM co GROUP BY record_id),
-al AS (SELECT DISTINCT record_id FROM wave, (SELECT 1 FROM series LIMIT 1))
+al AS (SELECT DISTINCT record_id FROM strip)
 SELECT record_id, round(flat_share, 6) AS flat_share, crossings, round(heart_rate, 6) AS heart_rate, round(amplitude, 6) AS amplitude, round(i_score, 6) AS i_score,
-  coalesce((coalesce(flat_share, 0) <= 0.8 AND crossings <= 40 AND heart_rate BETWEEN 24 AND 240 AND amplitude <= 0.35 AND i_score >= 0.1), false)::INT AS acceptable
+  coalesce((coalesce(flat_share, 0) <= 0.8 AND crossings <= 330 AND heart_rate BETWEEN 24 AND 240 AND amplitude <= 0.45 AND i_score >= 0.15), false)::INT AS acceptable
 FROM al LEFT JOIN fl USING (record_id) LEFT JOIN cr USING (record_id) LEFT JOIN ha USING (record_id) LEFT JOIN am USING (record_id) LEFT JOIN sr USING (record_id)"""
 
 
 @query(_HEART)
 def heart_quality(spark, sf_dir):
-    """The quality decision on each wave with its figures."""
-    own = waves(spark, sf_dir)
-    peaks = ecg.local_maxima(own, "x", 1).where("x > 0.1").select("record_id", "i")
-    out = quality.heart_quality(own, peaks, "x", 8.0, width=20, hop=5, flat_step=60, most_crossings=40, most_amplitude=0.35, least_score=0.1)
+    """The quality decision on each strip with its figures, from the R peaks found in it."""
+    own = strips(spark, sf_dir)
+    peaks = ecg.r_peaks(own, "x", 40).where("i > 0")
+    out = quality.heart_quality(own, peaks, "x", 40.0, width=20, hop=5, flat_step=60, most_crossings=330, most_amplitude=0.45, least_score=0.15)
     return rounded(out, "flat_share", "heart_rate", "amplitude", "i_score")
 
 
