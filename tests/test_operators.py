@@ -58,14 +58,8 @@ def test_kernels():
     x = np.sin(np.arange(512) * 2 * np.pi * 8 / 64)
     f, p = kernels.power_spectrum(x, 64.0)
     assert f[p.argmax()] == pytest.approx(8, abs=0.3)
-    assert kernels.lempel_ziv(list("aaaaaaaa")) < kernels.lempel_ziv(list("abcadbca"))
-    assert kernels.higuchi(np.arange(200.0)) == pytest.approx(1, abs=0.01)
-    noise = np.random.default_rng(1).normal(size=4000)
-    assert kernels.fluctuation(noise, 4, 16) == pytest.approx(0.5, abs=0.15) and kernels.higuchi(noise) == pytest.approx(2, abs=0.1)
     assert kernels.hull_area(np.array([[0, 0], [2, 0], [2, 3], [0, 3], [1, 1]])) == pytest.approx(6)
-    assert kernels.mean_shift(np.array([[0, 0], [1, 0], [50, 50], [51, 50]]), 10).tolist() == [0, 0, 1, 1]
     assert kernels.suppressed(np.array([0, 5, 0, 6, 0, 0, 0, 0, 3, 0.0]), 3, 0.1).tolist() == [3, 8]
-    assert kernels.two_states(np.array([1, 1.1, 0.9, 1, 50, 55, 52, 1, 1.2, 1]), 20).tolist() == [1, 1, 1, 1, 0, 0, 0, 1, 1, 1]
 
 
 def test_sources(spark, tmp_path):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import features
 from .series import quantiles
 
@@ -60,6 +64,40 @@ def saccade_features(df: DataFrame, label: str, rate: float) -> DataFrame:
     return out.withColumns({"efficiency": F.try_divide("amplitude", "_way"), "ratio": ratio}).drop("_way", "run")
 
 
+def saccade_shape(df: DataFrame, label: str) -> DataFrame:
+    """Of each run of label 0: greatest distance to its chord, area between path and chord, angle to the saccade before, skewness of its speed.
+
+    Distances are signed (left of the chord is positive), the one of greatest size is told, over the chord's length. The
+    area is what the path and the chord enclose (parts on either side of it cancel). The angle, in degrees from 0 to 180, is
+    between the chords of two successive saccades. Skewness is the third moment of time under the speed profile over its second
+    one to the power 1.5, positive if the speed falls off slowly. Null where a chord has no length or a saccade too few samples.
+    """
+    own = runs(df, label).where(F.col(label) == 0)
+    w, s = _w("run"), Window.partitionBy("record_id", "run")
+    ends = own.withColumns({"_a": F.min(F.struct("i", "x", "y")).over(s), "_z": F.max(F.struct("i", "x", "y")).over(s)})
+    cx, cy = F.col("_z.x") - F.col("_a.x"), F.col("_z.y") - F.col("_a.y")
+    px, py = F.col("x") - F.col("_a.x"), F.col("y") - F.col("_a.y")
+    at = ends.select("record_id", "run", "i", "x", "y", cx.alias("cx"), cy.alias("cy"), F.sqrt(cx * cx + cy * cy).alias("chord"), px.alias("px"), py.alias("py"))
+    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
+    cross = F.try_divide(F.col("cx") * F.col("py") - F.col("cy") * F.col("px"), "chord")
+    turn = F.lag("px").over(w) * F.col("py") - F.col("px") * F.lag("py").over(w)
+    at = at.withColumns({"d": cross, "t": turn, "v": step, "m": F.col("i") - 0.5})
+    mean = F.try_divide(F.sum(F.col("v") * F.col("m")).over(s), F.sum("v").over(s))
+    at = at.withColumn("c", F.col("m") - mean)
+    moment = lambda k: F.try_divide(F.sum(F.col("v") * F.pow(F.col("c"), k)), F.sum("v"))
+    out = at.groupBy("record_id", "run").agg(
+        F.min("i").alias("first"), F.max("chord").alias("chord"), F.max("cx").alias("cx"), F.max("cy").alias("cy"), F.max_by("d", F.struct(F.abs("d"), -F.col("i"))).alias("d"),
+        F.abs(F.sum("t") / 2).alias("_area"), moment(2).alias("_two"), moment(3).alias("_three"),
+    )
+    before = Window.partitionBy("record_id").orderBy("run")
+    bx, by, bc = (F.lag(c).over(before) for c in ("cx", "cy", "chord"))
+    cosine = F.try_divide(F.col("cx") * bx + F.col("cy") * by, F.col("chord") * bc)
+    return out.select(
+        "record_id", "first", F.when(F.col("chord") > 0, F.try_divide("d", "chord")).alias("deviation"), F.when(F.col("chord") > 0, F.col("_area")).alias("curvature_area"),
+        F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0))))).alias("successive_deviation"), F.when(F.col("_two") > 1e-12, F.col("_three") / F.pow("_two", 1.5)).alias("skewness_exponent"),
+    )
+
+
 def saccade_rate(df: DataFrame, label: str, rate: float) -> DataFrame:
     """Runs of label 0 a second in each record."""
     own = runs(df, label)
@@ -104,11 +142,105 @@ def symbols(df: DataFrame, family: str, value: str, order: str, bins: int = 20)
     return own.groupBy(family, "record_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "_s"))), lambda s: s["_s"]), "").alias("word"))
 
 
-def word_clusters(words: DataFrame, medoids: int = 8, seed: int = 1) -> DataFrame:
-    """Each record's nearest of ``medoids`` words (those of least MD5) by edit distance over the longer length; ties go to the lower id."""
-    draw = F.md5(F.concat(F.col("record_id").cast("string"), F.lit(f":{seed}")))
-    heads = words.orderBy(draw).limit(medoids).select(F.col("record_id").alias("medoid"), F.col("word").alias("_m"))
-    far = F.levenshtein("word", "_m") / F.greatest(F.length("word"), F.length("_m"), F.lit(1))
-    held = heads.agg(F.sort_array(F.collect_list(F.struct("medoid", "_m"))).alias("_h"))  # as many as asked for
-    each = words.join(F.broadcast(held)).select("record_id", "word", F.explode("_h").alias("h")).select("record_id", "word", "h.*")
-    return each.groupBy("record_id").agg(F.min(F.struct(far.alias("distance"), "medoid")).alias("b")).select("record_id", "b.medoid", "b.distance")
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def decoded(speeds: Column, slow: Column, stay: float) -> Column:
+    """The likeliest sequence of two states, 1 the slow one, for an array of speeds and the states (0 or 1) that its parameters come from.
+
+    Both states are normal, with the mean and the variance (and 1e-9) of their speeds in ``slow``; a state stays with
+    chance ``stay``. All that the past has to say is by how much the best way into the slow state costs more than that into the
+    other: d. Going on it is held between -L and L, L = ln(stay / (1 - stay)), and the difference of both costs is added. Backwards,
+    the state before a slow one is slow if d < L, that before another one if d < -L; the last state is slow if d < 0. So the fast one wins ties.
+    """
+    limit = math.log(stay / (1 - stay))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    pairs = F.zip_with(speeds, slow, lambda v, s: F.struct(v.alias("v"), s.alias("s")))
+    part = lambda k: F.transform(F.filter(pairs, lambda p: p["s"] == k), lambda p: p["v"])
+    stats = lambda a: _let(a, lambda v: _let(total(v) / F.size(v), lambda m: F.struct(m.alias("m"), (total(F.transform(v, lambda x: (x - m) * (x - m))) / F.size(v) + 1e-9).alias("s"))))
+    cost = lambda x, g: (x - g["m"]) * (x - g["m"]) / (2 * g["s"]) + 0.5 * F.log(g["s"])
+    none = F.array().cast("array<double>")
+
+    def way(g: Column) -> Column:
+        gain = lambda x: cost(x, g["slow"]) - cost(x, g["fast"])
+        held = lambda ds: F.greatest(F.least(F.coalesce(F.try_element_at(ds, F.lit(-1)), F.lit(0.0)), F.lit(limit)), F.lit(-limit))
+        return F.aggregate(speeds, none, lambda ds, x: F.concat(ds, F.array(F.when(F.size(ds) == 0, gain(x)).otherwise(held(ds) + gain(x)))))
+
+    def back(ds: Column) -> Column:
+        bound = lambda states: F.when(F.size(states) == 0, 0.0).when(F.try_element_at(states, F.lit(-1)) == 1, limit).otherwise(-limit)
+        return F.reverse(F.aggregate(F.reverse(ds), F.array().cast("array<int>"), lambda states, d: F.concat(states, F.array((d < bound(states)).cast("int")))))
+
+    return _let(F.struct(stats(part(1)).alias("slow"), stats(part(0)).alias("fast")), lambda g: _let(way(g), back))
+
+
+def slow_states(df: DataFrame, key: str, order: str, speed: str, rounds: int = 20, stay: float = 0.95) -> DataFrame:
+    """(key, i, slow): 1 where a two-state hidden Markov model of speed is in its slow state, i counted from 0.
+
+    At first speeds up to the median are slow; states are decoded with what they tell of both, again and again until
+    they stay, one of them has no sample, or ``rounds`` are over. All folds over one record's (a segment's) array.
+    """
+    own = df.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, speed))), lambda s: s[speed].cast("double")).alias("v"), F.median(speed).alias("_m"))
+    first = F.transform("v", lambda x: (x <= F.col("_m")).cast("int"))
+    both = lambda s: F.exists(s, lambda k: k == 1) & F.exists(s, lambda k: k == 0)
+    start = F.struct(first.alias("s"), F.lit(False).alias("done"))
+
+    def again(state: Column, _: Column) -> Column:
+        new = lambda s: F.struct(s.alias("s"), (s == state["s"]).alias("done"))
+        return F.when(state["done"] | ~both(state["s"]), state).otherwise(_let(decoded(F.col("v"), state["s"], stay), new))
+
+    states = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, again, lambda s: s["s"])
+    return own.select(key, F.posexplode(states).alias("i", "slow")).withColumn("i", F.col("i").cast("long"))
+
+
+def fixations(df: DataFrame, key: str, order: str, rate: float) -> DataFrame:
+    """Fixations of each gaze record: first and last sample, duration, centroid, drift and mean speed.
+
+    A sample's speed is that of the way to the next one (0 for the last). Records of fewer than three samples have none.
+    """
+    w, s = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)
+    own = df.select(key, (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.count("*").over(s).alias("_n")).where("_n > 2")
+    o = Window.partitionBy(key).orderBy("i")
+    ahead = F.sqrt(F.pow(F.lead("x").over(o) - F.col("x"), 2) + F.pow(F.lead("y").over(o) - F.col("y"), 2)) * rate
+    own = own.withColumn("speed", F.coalesce(ahead, F.lit(0.0)))
+    slow = own.join(slow_states(own, key, "i", "speed"), [key, "i"]).where("slow = 1")
+    slow = slow.withColumn("_run", F.col("i") - F.row_number().over(o))
+    out = slow.groupBy(key, "_run").agg(F.min("i").alias("first"), F.max("i").alias("last"), (F.count("*") / rate).alias("duration_s"), F.avg("x").alias("x"), F.avg("y").alias("y"), _ends().alias("drift"), F.avg("speed").alias("mean_speed"))
+    return out.drop("_run")
+
+
+def word_clusters(words: DataFrame, medoids: int = 8, seed: int = 1, tries: int = 8, rounds: int = 30) -> DataFrame:
+    """(record_id, medoid, distance): clusters of words around ``medoids`` of them, by edit distance over the longer length.
+
+    Words start with the nearest of those of least MD5 (ties go to the lower id). Then in each cluster the medoid and the ``tries``
+    members of least MD5 in that round are tried, the one of least sum of distances to all members becomes the medoid (the old one, then the lower
+    id, win ties), and words go over to a medoid nearer than their own, the nearest. It ends when neither changes, so the
+    sum of distances never rises. A round compares each word with ``tries`` + 1 and with ``medoids`` others, which are a broadcast table of
+    ``medoids`` (``tries`` + 1) words; there is no pair within a cluster but these. Each round is a written table.
+    """
+    draw = lambda k: F.md5(F.concat(F.col("record_id").cast("string"), F.lit(f":{k}")))
+    own = written(words.select("record_id", "word"), "words", free=False)
+    far = F.levenshtein("word", "m") / F.greatest(F.length("word"), F.length("m"), F.lit(1))
+    heads = own.orderBy(draw(seed), "record_id").limit(medoids).select(F.col("record_id").alias("medoid"), F.col("word").alias("m"))
+
+    def nearest(rows: DataFrame, heads: DataFrame, *more: str) -> DataFrame:
+        held = heads.agg(F.sort_array(F.collect_list(F.struct("medoid", "m"))).alias("_h"))  # as many as asked for
+        each = rows.join(F.broadcast(held)).select("record_id", "word", *more, F.explode("_h").alias("h")).select("record_id", "word", *more, "h.*")
+        stays = F.lit(0) if not more else (F.col("medoid") != F.col("was")).cast("int")
+        return each.groupBy("record_id", "word").agg(F.min(F.struct(far.alias("distance"), stays.alias("n"), "medoid")).alias("b")).select("record_id", "word", "b.medoid", "b.distance")
+
+    now = written(nearest(own, heads), "clusters", free=False)
+    for k in range(1, rounds + 1):
+        rank = F.row_number().over(Window.partitionBy("medoid").orderBy("_old", draw(seed + k), "record_id"))
+        drawn = now.withColumn("_old", (F.col("record_id") != F.col("medoid")).cast("int")).withColumn("_r", rank).where(F.col("_r") <= tries + 1)
+        tried = drawn.groupBy("medoid").agg(F.collect_list(F.struct(F.col("record_id").alias("id"), F.col("word").alias("m"), F.col("_old").alias("new"))).alias("c"))
+        sums = now.join(F.broadcast(tried), "medoid").select("medoid", "word", F.inline("c")).groupBy("medoid", "id", "m", "new").agg(F.round(F.sum(far), 9).alias("cost"))
+        heads = written(sums.groupBy("medoid").agg(F.min(F.struct("cost", "new", "id", "m")).alias("b")).select(F.col("medoid").alias("old"), F.col("b.id").alias("medoid"), F.col("b.m").alias("m")), "medoids", free=False)
+        own = now.join(F.broadcast(heads.select(F.col("old").alias("medoid"), F.col("medoid").alias("was"))), "medoid").select("record_id", "word", "was")
+        new = written(nearest(own, heads.select("medoid", "m"), "was"), "clusters", free=False)
+        changed = not heads.where("old <> medoid").isEmpty() or not new.join(now.select("record_id", F.col("medoid").alias("before")), "record_id").where("medoid <> before").isEmpty()
+        now = new
+        if not changed:
+            break
+    return now.select("record_id", "medoid", "distance")

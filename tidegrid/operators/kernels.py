@@ -81,33 +81,6 @@ def qrs_peaks(df: DataFrame, fs: float) -> DataFrame:
     return _grouped(df.select("record_id", "i", "integrated", "band"), "record_id", "i long", one)
 
 
-def approximate_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    """Pincus, 1991, with self-matches; tolerance ``r`` standard deviations."""
-    tolerance = r * x.std()
-
-    def phi(k: int) -> float:
-        rows = np.lib.stride_tricks.sliding_window_view(x, k)
-        share = [(np.abs(rows - row).max(1) <= tolerance).mean() for row in rows]
-        return float(np.log(share).mean())
-
-    return phi(m) - phi(m + 1) if len(x) > m + 1 else np.nan
-
-
-def fluctuation(x: np.ndarray, low: int, high: int) -> float:
-    """Slope of detrended fluctuations over box sizes ``low`` to ``high`` (Peng, 1994)."""
-    y = np.cumsum(x - x.mean())
-    sizes = [s for s in range(low, high + 1) if len(y) >= s]
-    if len(sizes) < 2:
-        return np.nan
-    logs = []
-    for s in sizes:
-        boxes = y[: len(y) // s * s].reshape(-1, s)
-        t = np.arange(s) - (s - 1) / 2
-        trend = boxes.mean(1, keepdims=True) + (boxes @ t / (t @ t))[:, None] * t
-        logs.append(0.5 * np.log(((boxes - trend) ** 2).mean() + 1e-300))
-    return float(np.polyfit(np.log(sizes), logs, 1)[0])
-
-
 def power_spectrum(x: np.ndarray, rate: float, size: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Welch's density with Hann windows that overlap by half."""
     size = min(size, len(x))
@@ -122,20 +95,6 @@ def band_power(f: np.ndarray, p: np.ndarray, low: float, high: float) -> float:
     return float(p[(f >= low) & (f < high)].sum() * (f[1] - f[0])) if len(f) > 1 else np.nan
 
 
-def nonlinear(df: DataFrame, order: str, key: str = "record_id") -> DataFrame:
-    """Approximate entropy, both fluctuation slopes and LF/HF of the intervals ``nn`` (ms)."""
-
-    def one(pdf: pd.DataFrame) -> dict:
-        x = pdf.sort_values(order)["nn"].to_numpy(float)
-        t = np.cumsum(x) / 1000
-        even = np.interp(np.linspace(t[0], t[-1], max(8, 4 * len(x))), t, x)
-        f, p = power_spectrum(even, 4.0)
-        lf, hf = band_power(f, p, 0.04, 0.15), band_power(f, p, 0.15, 0.4)
-        return {"apen": approximate_entropy(x), "alpha1": fluctuation(x, 4, 16), "alpha2": fluctuation(x, 17, 64), "lf": lf, "hf": hf, "ratio": lf / hf if hf else None}
-
-    return _grouped(df.select(key, order, "nn"), key, "apen double, alpha1 double, alpha2 double, lf double, hf double, ratio double", one)
-
-
 def welch(df: DataFrame, x: str, rate: float, key: str = "record_id") -> DataFrame:
     """Total power and the frequency of most power of each record."""
 
@@ -165,30 +124,6 @@ def suppressed_peaks(df: DataFrame, x: str, distance: int, share: float, key: st
     return _grouped(df.select(key, "i", x), key, "i long", one)
 
 
-def lempel_ziv(s: list) -> int:
-    """Distinct phrases of the 1976 parsing."""
-    n, i, count = len(s), 0, 0
-    while i < n:
-        size = 1
-        while i + size <= n and any(s[j : j + size] == s[i : i + size] for j in range(i)):
-            size += 1
-        count += 1
-        i += size
-    return count
-
-
-def higuchi(x: np.ndarray, kmax: int = 10) -> float:
-    """Fractal dimension from curve lengths at steps 1 to ``kmax``."""
-    ks = [k for k in range(1, kmax + 1) if len(x) > 2 * k]
-    if len(ks) < 2:
-        return np.nan
-    lengths = []
-    for k in ks:
-        each = [np.abs(np.diff(x[m::k])).sum() * (len(x) - 1) / (((len(x) - 1 - m) // k) * k) / k for m in range(k)]
-        lengths.append(np.mean(each) + 1e-300)
-    return float(np.polyfit(-np.log(ks), np.log(lengths), 1)[0])
-
-
 def hull_area(points: np.ndarray) -> float:
     """Area of the convex hull by monotone chains."""
     p = sorted(set(map(tuple, points.tolist())))
@@ -207,71 +142,6 @@ def hull_area(points: np.ndarray) -> float:
     return float(abs(h[:, 0] @ np.roll(h[:, 1], -1) - h[:, 1] @ np.roll(h[:, 0], -1)) / 2)
 
 
-def mean_shift(points: np.ndarray, bandwidth: float, rounds: int = 50) -> np.ndarray:
-    """Area of interest of each fixation: flat-kernel mean shift, modes closer than the bandwidth being one."""
-    modes = points.astype(float).copy()
-    for _ in range(rounds):
-        near = ((modes[:, None] - points[None]) ** 2).sum(2) <= bandwidth**2
-        new = (near[..., None] * points[None]).sum(1) / near.sum(1)[:, None]
-        if np.abs(new - modes).max() < 1e-6:
-            break
-        modes = new
-    label, centres = np.zeros(len(points), int), []
-    for i, m in enumerate(modes):
-        hit = next((k for k, c in enumerate(centres) if ((c - m) ** 2).sum() <= bandwidth**2), None)
-        if hit is None:
-            centres.append(m)
-        label[i] = len(centres) - 1 if hit is None else hit
-    return label
-
-
-def scanpaths(df: DataFrame, key: str, order: str, bandwidth: float) -> DataFrame:
-    """Hull area, fractal dimension, number of areas of interest and their Lempel-Ziv complexity."""
-
-    def one(pdf: pd.DataFrame) -> dict:
-        p = pdf.sort_values(order)[["x", "y"]].to_numpy(float)
-        areas = mean_shift(p, bandwidth)
-        return {"hull_area": hull_area(p), "fractal_dimension": higuchi(p[:, 0]), "n_areas": int(areas.max()) + 1, "lempel_ziv": lempel_ziv(areas.tolist())}
-
-    return _grouped(df.select(key, order, "x", "y"), key, "hull_area double, fractal_dimension double, n_areas long, lempel_ziv long", one)
-
-
-def two_states(speed: np.ndarray, rounds: int = 20, stay: float = 0.95) -> np.ndarray:
-    """1 where a two-state Gaussian hidden Markov model of speed is in its slow state (Viterbi training)."""
-    cut = np.median(speed)
-    slow = speed <= cut
-    for _ in range(rounds):
-        if slow.all() or not slow.any():
-            break
-        cost = [((speed - speed[s].mean()) ** 2 / (2 * (v := speed[s].var() + 1e-9)) + 0.5 * np.log(v)) for s in (~slow, slow)]
-        total, back = np.array([cost[0][0], cost[1][0]]), np.zeros((len(speed), 2), int)
-        for t in range(1, len(speed)):
-            step = total[:, None] - np.log(np.array([[stay, 1 - stay], [1 - stay, stay]]))
-            back[t] = step.argmin(0)
-            total = step.min(0) + np.array([cost[0][t], cost[1][t]])
-        path = np.zeros(len(speed), int)
-        path[-1] = total.argmin()
-        for t in range(len(speed) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        if (path == 1).tolist() == slow.tolist():
-            break
-        slow = path == 1
-    return slow.astype(int)
-
-
-def fixations(df: DataFrame, key: str, order: str, rate: float) -> DataFrame:
-    """Fixations of each gaze record: first and last sample, duration, centroid, drift and mean speed."""
-
-    def one(pdf: pd.DataFrame) -> list[dict]:
-        p = pdf.sort_values(order)[["x", "y"]].to_numpy(float)
-        if len(p) < 3:
-            return []
-        speed = np.append(np.hypot(*np.diff(p, axis=0).T), 0.0) * rate
-        slow = np.concatenate(([0], two_states(speed), [0]))
-        out = []
-        for a, b in zip(np.flatnonzero(np.diff(slow) == 1).tolist(), np.flatnonzero(np.diff(slow) == -1).tolist(), strict=True):
-            q = p[a:b]
-            out.append({"first": a, "last": b - 1, "duration_s": (b - a) / rate, "x": q[:, 0].mean(), "y": q[:, 1].mean(), "drift": float(np.hypot(*(q[-1] - q[0]))), "mean_speed": speed[a:b].mean()})
-        return out
-
-    return _grouped(df.select(key, order, "x", "y"), key, "first long, last long, duration_s double, x double, y double, drift double, mean_speed double", one)
+def hulls(df: DataFrame, key: str) -> DataFrame:
+    """(key, hull_area): the convex hull of each scanpath."""
+    return _grouped(df.select(key, "x", "y"), key, "hull_area double", lambda pdf: {"hull_area": hull_area(pdf[["x", "y"]].to_numpy(float))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ecg, features, gaze, kernels, series, skin
+from ..operators import ecg, features, gaze, hrv, kernels, scanpath, series, skin
 
 H6, HOUR = 6 * 3600 * 10**9, 3600 * 10**9
 QUERIES: dict = {}
@@ -524,11 +524,45 @@ def qrs_peaks(spark, sf_dir):
     return ecg.r_peaks(strips(spark, sf_dir), "x", 40)
 
 
-@query()
+_NN = """z AS (SELECT event_type || ':' || (ts_ns // 864000000000000)::VARCHAR AS record_id, ts_ns, 600 + v AS nn FROM series),
+cu AS (SELECT record_id, ts_ns, nn, floor(sum(nn) OVER (PARTITION BY record_id ORDER BY ts_ns ROWS UNBOUNDED PRECEDING) / 300000)::BIGINT AS segment FROM z),
+nn AS (SELECT record_id, segment, row_number() OVER (PARTITION BY record_id, segment ORDER BY ts_ns) - 1 AS k, nn FROM cu)"""
+
+
+def nn_series(spark, sf_dir):
+    """Events of one type and ten days as intervals of 600 ms and their value, by five minutes."""
+    own = events(spark, sf_dir)
+    record = F.concat_ws(":", "event_type", F.expr("ts_ns div 864000000000000").cast("string"))
+    return hrv.by_minutes(own.select(record.alias("record_id"), "ts_ns", (600 + F.col("v")).alias("nn")), "ts_ns")
+
+
+@query(_NN + """,
+ru AS (SELECT record_id, segment, k, nn AS a, lead(nn) OVER w AS b, lead(nn, 2) OVER w AS c, 0.2 * stddev_pop(nn) OVER (PARTITION BY record_id, segment) AS r FROM nn WINDOW w AS (PARTITION BY record_id, segment ORDER BY k)),
+me AS (SELECT x.record_id, x.segment, x.k, count(*) AS two, count(*) FILTER (abs(x.c - y.c) <= x.r) AS three, max((x.c IS NOT NULL)::INT) AS full_ FROM ru x JOIN ru y ON x.record_id = y.record_id AND x.segment = y.segment
+  WHERE x.b IS NOT NULL AND y.b IS NOT NULL AND abs(x.a - y.a) <= x.r AND abs(x.b - y.b) <= x.r GROUP BY ALL),
+m2 AS (SELECT *, count(*) OVER w AS n2, sum(full_) OVER w AS n3 FROM me WINDOW w AS (PARTITION BY record_id, segment)),
+ap AS (SELECT record_id, segment, CASE WHEN max(n3) > 0 THEN avg(ln(two / n2)) - avg(ln(three / n3)) FILTER (full_ = 1) END AS apen FROM m2 GROUP BY record_id, segment),
+yy AS (SELECT record_id, segment, k, n, sum(d) OVER (PARTITION BY record_id, segment ORDER BY k ROWS UNBOUNDED PRECEDING) AS y FROM (SELECT *, nn - avg(nn) OVER (PARTITION BY record_id, segment) AS d, count(*) OVER (PARTITION BY record_id, segment) AS n FROM nn)),
+bo AS (SELECT record_id, segment, size, k // size AS box, regr_syy(y, k) - regr_sxy(y, k) ** 2 / regr_sxx(y, k) AS sse FROM yy, (SELECT unnest(range(4, 65)) AS size) WHERE (k // size + 1) * size <= n GROUP BY ALL),
+fl AS (SELECT record_id, segment, size, 0.5 * ln(sum(greatest(sse, 0)) / (count(*) * size) + 1e-300) AS f FROM bo GROUP BY record_id, segment, size),
+al AS (SELECT record_id, segment, regr_slope(f, ln(size)) FILTER (size <= 16) AS alpha1, regr_slope(f, ln(size)) FILTER (size > 16) AS alpha2 FROM fl GROUP BY ALL),
+ti AS (SELECT record_id, segment, k, nn, round_even(sum(CASE WHEN k > 0 THEN nn ELSE 0 END) OVER (PARTITION BY record_id, segment ORDER BY k ROWS UNBOUNDED PRECEDING) * 1000, 0)::BIGINT AS t FROM nn),
+iv AS (SELECT *, lag(t) OVER w AS t0, lag(nn) OVER w AS y0 FROM ti WINDOW w AS (PARTITION BY record_id, segment ORDER BY k)),
+gr AS (SELECT record_id, segment, t, t0, nn, y0, unnest(range(coalesce(t0 // 250000 + 1, 0), t // 250000 + 1)) AS g FROM iv),
+ev AS (SELECT record_id, segment, g, CASE WHEN t0 IS NULL THEN nn ELSE y0 + (nn - y0) * (g * 250000 - t0) / (t - t0)::DOUBLE END AS y FROM gr),
+ec AS (SELECT record_id, segment, g, y, n, least(n, 256) AS size, least(n, 256) // 2 AS hop FROM (SELECT *, count(*) OVER (PARTITION BY record_id, segment) AS n FROM ev) WHERE n > 2),
+wi AS (SELECT record_id, segment, size, wd, g - wd * hop AS j, y - avg(y) OVER (PARTITION BY record_id, segment, wd) AS y, 0.5 - 0.5 * cos(2 * pi() * (g - wd * hop) / size) AS h
+  FROM (SELECT *, unnest(range(0, (n - size) // hop + 1)) AS wd FROM ec) WHERE g >= wd * hop AND g < wd * hop + size),
+sp AS (SELECT record_id, segment, size, wd, bin, 2 * (sum(y * h * cos(2 * pi() * j * bin / size)) ** 2 + sum(y * h * sin(2 * pi() * j * bin / size)) ** 2) / (4 * sum(h * h)) * 4 / size AS p
+  FROM (SELECT *, unnest(range((size * 4 + 399) // 400, (size * 40 + 399) // 400)) AS bin FROM wi) GROUP BY record_id, segment, size, wd, bin),
+pw AS (SELECT record_id, segment, sum(p) FILTER (bin * 400 < size * 15) AS lf, sum(p) FILTER (bin * 400 >= size * 15) AS hf FROM (SELECT record_id, segment, size, bin, avg(p) AS p FROM sp GROUP BY ALL) GROUP BY ALL),
+co AS (SELECT record_id, segment, count(*) AS n FROM nn GROUP BY ALL)
+SELECT record_id, segment, n, round(apen, 6) AS apen, round(alpha1, 6) AS alpha1, round(alpha2, 6) AS alpha2, round(lf, 4) AS lf, round(hf, 4) AS hf, round(lf / nullif(hf, 0), 6) AS ratio
+FROM co LEFT JOIN ap USING (record_id, segment) LEFT JOIN al USING (record_id, segment) LEFT JOIN pw USING (record_id, segment)""")
 def hrv_nonlinear(spark, sf_dir):
-    """Approximate entropy, detrended fluctuation and band powers of intervals."""
-    own = events(spark, sf_dir).select("record_id", F.expr("ts_ns div 1000000").alias("t_ms"))
-    return kernels.nonlinear(ecg.intervals(own), order="t_ms")
+    """Approximate entropy, detrended fluctuation and band powers of intervals, by five minutes."""
+    out = hrv.nonlinear(nn_series(spark, sf_dir))
+    return rounded(rounded(out, "apen", "alpha1", "alpha2", "ratio"), "lf", "hf", digits=4)
 
 
 @query("""k AS (SELECT record_id, i, x FROM (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b FROM wave WINDOW w AS (PARTITION BY record_id ORDER BY i)) WHERE x > a AND x > b),
@@ -541,16 +575,108 @@ def peak_suppression(spark, sf_dir):
     return kernels.suppressed_peaks(waves(spark, sf_dir), "x", distance=5, share=0.005)
 
 
-@query()
-def scanpath_kernels(spark, sf_dir):
-    """Lempel-Ziv complexity, fractal dimension, hull area and areas of interest."""
-    return kernels.scanpaths(points(spark, sf_dir), "record_id", "i", bandwidth=25.0)
+def _turned(before: str, bit: int, after: str) -> str:
+    """One step along a Hilbert curve of 16 cells a side."""
+    turn = lambda own, other: f"CASE WHEN (y & {bit}) > 0 THEN {own} WHEN (x & {bit}) > 0 THEN 15 - {other} ELSE {other} END AS {own}"
+    quarter = f"CASE WHEN (x & {bit}) > 0 THEN CASE WHEN (y & {bit}) > 0 THEN 2 ELSE 3 END ELSE CASE WHEN (y & {bit}) > 0 THEN 1 ELSE 0 END END"
+    return f"{after} AS (SELECT record_id, i, {turn('x', 'y')}, {turn('y', 'x')}, d + {bit * bit} * {quarter} AS d FROM {before})"
 
 
-@query()
+_HILBERT = _POINTS + """, h0 AS (SELECT record_id, i, greatest(least(floor((x + 60) / 120 * 16), 15), 0)::INT AS x, greatest(least(floor((y + 60) / 120 * 16), 15), 0)::INT AS y, 0 AS d FROM p),
+""" + ",\n".join(_turned(f"h{k}", 8 >> k, f"h{k + 1}") for k in range(4))
+
+
+def _placed(spark, sf_dir):
+    """Points with their place on the Hilbert curve."""
+    place = scanpath.hilbert(scanpath.on_grid(F.col("x"), -60, 60), scanpath.on_grid(F.col("y"), -60, 60))
+    return points(spark, sf_dir).withColumn("d", place)
+
+
+@query(_HILBERT + " SELECT record_id, i, d FROM h4, one")
+def hilbert_order(spark, sf_dir):
+    """Place of each fixation on a Hilbert curve of four iterations."""
+    return _placed(spark, sf_dir).select("record_id", "i", "d")
+
+
+_SHIFTED = """ms AS (WITH RECURSIVE t AS (
+  SELECT record_id, i, x AS mx, y AS my, 0 AS r, true AS moves FROM p
+  UNION ALL
+  SELECT record_id, i, nx, ny, r + 1, greatest(abs(nx - mx), abs(ny - my)) >= 1e-6 FROM (
+    SELECT t.record_id, t.i, any_value(t.mx) AS mx, any_value(t.my) AS my, any_value(t.r) AS r, avg(p.x) AS nx, avg(p.y) AS ny
+    FROM t JOIN p ON t.record_id = p.record_id AND (t.mx - p.x) ** 2 + (t.my - p.y) ** 2 <= 625 WHERE t.moves AND t.r < 50 GROUP BY t.record_id, t.i))
+  SELECT record_id, i, round(mx, 6) AS mx, round(my, 6) AS my FROM t QUALIFY row_number() OVER (PARTITION BY record_id, i ORDER BY r DESC) = 1),
+mo AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY first) AS k FROM (SELECT record_id, mx, my, min(i) AS first FROM ms GROUP BY ALL)),
+ce AS (WITH RECURSIVE c AS (
+  SELECT record_id, 0::BIGINT AS k, []::STRUCT(a DOUBLE, b DOUBLE)[] AS cs FROM (SELECT DISTINCT record_id FROM mo)
+  UNION ALL
+  SELECT c.record_id, c.k + 1, CASE WHEN len(list_filter(cs, lambda s: (s.a - mx) ** 2 + (s.b - my) ** 2 <= 625)) > 0 THEN cs ELSE list_append(cs, {'a': mx, 'b': my}) END FROM c JOIN mo ON mo.record_id = c.record_id AND mo.k = c.k + 1)
+  SELECT record_id, cs FROM c QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY k DESC) = 1),
+ar AS (SELECT ms.record_id, ms.i, list_position(list_transform(cs, lambda s: (s.a - mx) ** 2 + (s.b - my) ** 2 <= 625), true) - 1 AS area FROM ms JOIN ce USING (record_id))"""
+
+#: Phrases of the words wo(record_id, w).
+_PHRASES = """lz AS (WITH RECURSIVE z AS (
+  SELECT record_id, w, 0::BIGINT AS pos, 1::BIGINT AS size, 0::BIGINT AS n FROM wo
+  UNION ALL
+  SELECT record_id, w, CASE WHEN hit THEN pos ELSE pos + size END, CASE WHEN hit THEN size + 1 ELSE 1 END, CASE WHEN hit THEN n ELSE n + 1 END
+  FROM (SELECT *, pos + size <= length(w) AND strpos(substr(w, 1, pos + size - 1), substr(w, pos + 1, size)) > 0 AS hit FROM z WHERE pos < length(w)))
+  SELECT record_id, max(n) AS lempel_ziv FROM z GROUP BY record_id)"""
+
+
+@query(_POINTS + ", " + _SHIFTED + " SELECT record_id, i, area FROM ar, one")
+def gaze_areas(spark, sf_dir):
+    """Area of interest of each fixation, by mean shift."""
+    return scanpath.mean_shift(points(spark, sf_dir), ["record_id"], "i", 25.0).select("record_id", "i", "area")
+
+
+@query("wo AS (SELECT record_id, string_agg(substr(event_type, 1, 1), '' ORDER BY ts_ns) AS w FROM series GROUP BY record_id), " + _PHRASES + " SELECT record_id, lempel_ziv FROM lz")
+def sequence_complexity(spark, sf_dir):
+    """Phrases of each record's sequence of events (by their first letters)."""
+    own = events(spark, sf_dir).select("record_id", "ts_ns", F.substring("event_type", 1, 1).alias("letter"))
+    return scanpath.lempel_ziv(own, ["record_id"], "letter", "ts_ns")
+
+
+@query(_HILBERT + ", " + _SHIFTED + """, wo AS (SELECT record_id, string_agg(chr((97 + area)::INT), '' ORDER BY i) AS w FROM ar GROUP BY record_id), """ + _PHRASES + """,
+sa AS (SELECT a.record_id, k, a.i % k AS m, sum(abs(a.d - b.d)) AS s FROM h4 a, (SELECT unnest(range(1, 11)) AS k) JOIN h4 b ON b.record_id = a.record_id AND b.i = a.i - k WHERE 32 > 2 * k GROUP BY ALL),
+le AS (SELECT record_id, k, ln(avg(s * 31 / (((31 - m) // k) * k * k)) + 1e-300) AS l FROM sa GROUP BY record_id, k),
+fd AS (SELECT record_id, regr_slope(l, -ln(k)) AS fractal_dimension FROM le GROUP BY record_id),
+he AS (SELECT a.record_id, sum(a.x * b.y - b.x * a.y) / 2 AS hull_area FROM p a JOIN p b ON a.record_id = b.record_id AND a.i <> b.i
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.record_id = a.record_id AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-9) GROUP BY a.record_id),
+na AS (SELECT record_id, max(area) + 1 AS n_areas FROM ar GROUP BY record_id)
+SELECT record_id, round(hull_area, 4) AS hull_area, round(fractal_dimension, 6) AS fractal_dimension, n_areas, lempel_ziv FROM he JOIN fd USING (record_id) JOIN na USING (record_id) JOIN lz USING (record_id), one""")
+def scanpath_kernels(spark, sf_dir):
+    """Hull area, fractal dimension of the order along a Hilbert curve, areas of interest and the complexity of their sequence."""
+    own = _placed(spark, sf_dir)
+    areas = scanpath.mean_shift(own.select("record_id", "i", "x", "y"), ["record_id"], "i", 25.0)
+    out = areas.groupBy("record_id").agg((F.max("area") + 1).alias("n_areas"))
+    for more in (kernels.hulls(own, "record_id"), scanpath.higuchi(own, ["record_id"], "d", "i"), scanpath.lempel_ziv(areas, ["record_id"], "area", "i")):
+        out = out.join(more, "record_id")
+    return rounded(rounded(out, "fractal_dimension"), "hull_area", digits=4)
+
+
+_STATES = _POINTS + """, sp AS (SELECT record_id, i, x, y, coalesce(sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2) * 200, 0) AS v FROM p WINDOW w AS (PARTITION BY record_id ORDER BY i)),
+ve AS (SELECT record_id, list(v ORDER BY i) AS v, median(v) AS m FROM sp GROUP BY record_id),
+vi AS (WITH RECURSIVE t AS (
+  SELECT record_id, v, list_transform(v, lambda u: (u <= m)::INT) AS s, 0 AS r, false AS done FROM ve
+  UNION ALL
+  SELECT record_id, v, s2, r + 1, s2 = s FROM (
+  SELECT *, list_transform(list_reverse(list_reduce(list_concat([[(ds[-1] < 0)::INT::DOUBLE]], list_transform(list_reverse(ds)[2:], lambda d: [d])),
+      lambda a, b: list_append(a, (b[1] < CASE WHEN a[-1] = 1 THEN ln(0.95 / 0.05) ELSE -ln(0.95 / 0.05) END)::INT::DOUBLE))), lambda z: z::INT) AS s2 FROM (
+  SELECT *, list_reduce(list_transform(v, lambda u: [((u - m1) ** 2 / (2 * s1) + 0.5 * ln(s1)) - ((u - m0) ** 2 / (2 * s0) + 0.5 * ln(s0))]),
+      lambda a, b: list_append(a, greatest(least(a[-1], ln(0.95 / 0.05)), -ln(0.95 / 0.05)) + b[1])) AS ds FROM (
+  SELECT *, list_avg(list_transform(one_, lambda u: (u - m1) ** 2)) + 1e-9 AS s1, list_avg(list_transform(zero, lambda u: (u - m0) ** 2)) + 1e-9 AS s0 FROM (
+  SELECT *, list_avg(one_) AS m1, list_avg(zero) AS m0 FROM (
+  SELECT *, list_filter(v, lambda u, k: s[k] = 1) AS one_, list_filter(v, lambda u, k: s[k] = 0) AS zero FROM t WHERE NOT done AND r < 20 AND list_contains(s, 0) AND list_contains(s, 1)))))))
+  SELECT record_id, s FROM t QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY r DESC) = 1),
+la AS (SELECT sp.*, s[i + 1] AS slow FROM sp JOIN vi USING (record_id)),
+ru AS (SELECT *, i - row_number() OVER (PARTITION BY record_id ORDER BY i) AS g FROM la WHERE slow = 1)"""
+
+
+@query(_STATES + """ SELECT record_id, min(i) AS first, max(i) AS last, round(count(*) / 200.0, 6) AS duration_s, round(avg(x), 4) AS x, round(avg(y), 4) AS y,
+  round(sqrt((arg_max(x, i) - arg_min(x, i)) ** 2 + (arg_max(y, i) - arg_min(y, i)) ** 2), 4) AS drift, round(avg(v), 3) AS mean_speed FROM ru, one GROUP BY record_id, g""")
 def fixations(spark, sf_dir):
     """Two-state labels of gaze speed, and what each fixation is like."""
-    return kernels.fixations(points(spark, sf_dir), "record_id", "i", rate=200.0)
+    out = gaze.fixations(points(spark, sf_dir), "record_id", "i", rate=200.0)
+    return rounded(rounded(rounded(out, "duration_s"), "x", "y", "drift", digits=4), "mean_speed", digits=3)
 
 
 @query()

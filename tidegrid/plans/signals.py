@@ -256,6 +256,21 @@ def saccade_features(spark, sf_dir):
     return rounded(out, "efficiency", "ratio", digits=5)
 
 
+@query(_EYES + """, cd AS (SELECT record_id, run, i, x, y, first_value(x) OVER f AS ax, first_value(y) OVER f AS ay, last_value(x) OVER f AS bx, last_value(y) OVER f AS by_, lag(x) OVER o AS lx, lag(y) OVER o AS ly
+  FROM pl WHERE label = 0 WINDOW f AS (PARTITION BY record_id, run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), o AS (PARTITION BY record_id, run ORDER BY i)),
+sg AS (SELECT *, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS chord, sqrt((x - lx) ** 2 + (y - ly) ** 2) AS v, i - 0.5 AS m FROM cd),
+di AS (SELECT *, CASE WHEN chord > 0 THEN ((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) / chord END AS d, (lx - ax) * (y - ay) - (x - ax) * (ly - ay) AS tw, sum(v * m) OVER q / nullif(sum(v) OVER q, 0) AS mean FROM sg WINDOW q AS (PARTITION BY record_id, run)),
+ag AS (SELECT record_id, run, min(i) AS first, max(chord) AS chord, max(bx - ax) AS cx, max(by_ - ay) AS cy, arg_max(d, (abs(d), -i)) AS d, abs(sum(tw) / 2) AS area,
+  sum(v * (m - mean) ** 2) / nullif(sum(v), 0) AS two, sum(v * (m - mean) ** 3) / nullif(sum(v), 0) AS three FROM di GROUP BY record_id, run),
+pr AS (SELECT *, (cx * lag(cx) OVER w + cy * lag(cy) OVER w) / nullif(chord * lag(chord) OVER w, 0) AS cs FROM ag WINDOW w AS (PARTITION BY record_id ORDER BY run))
+SELECT record_id, first, round(CASE WHEN chord > 0 THEN d / chord END, 5) AS deviation, round(CASE WHEN chord > 0 THEN area END, 3) AS curvature_area, round(CASE WHEN cs IS NOT NULL THEN degrees(acos(greatest(least(cs, 1), -1))) END, 4) AS successive_deviation,
+  round(CASE WHEN two > 1e-12 THEN three / two ** 1.5 END, 5) AS skewness_exponent FROM pr, one""")
+def saccade_shape(spark, sf_dir):
+    """How saccades bend, turn from one to the next, and speed up."""
+    out = gaze.saccade_shape(_labelled(spark, sf_dir), "label")
+    return rounded(rounded(rounded(out, "deviation", "skewness_exponent", digits=5), "curvature_area", digits=3), "successive_deviation", digits=4)
+
+
 @query(_EYES + " SELECT record_id, round(count(DISTINCT run) FILTER (label = 0) / (count(*) / 50.0), 6) AS frequency FROM pl, one GROUP BY record_id")
 def saccade_rate(spark, sf_dir):
     return rounded(gaze.saccade_rate(_labelled(spark, sf_dir), "label", 50.0), "frequency")
@@ -279,14 +294,25 @@ def symbol_words(spark, sf_dir):
     return gaze.symbols(events(spark, sf_dir), "event_type", "v", "ts_ns", bins=8)
 
 
-@query(_WORDS + """, cl AS (SELECT record_id, word FROM wo WHERE event_type = 'click'),
-hd AS (SELECT record_id AS medoid, word AS m FROM cl ORDER BY md5(record_id::VARCHAR || ':1') LIMIT 8),
+@query(_WORDS + """, cl AS (SELECT event_type || ':' || record_id::VARCHAR AS record_id, word FROM wo),
+hd AS (SELECT record_id AS medoid, word AS m FROM cl ORDER BY md5(record_id || ':1'), record_id LIMIT 8),
 al AS (SELECT cl.record_id, medoid, levenshtein(word, m) / greatest(length(word), length(m), 1) AS d FROM cl, hd)
 SELECT record_id, arg_min(medoid, (d, medoid)) AS medoid, round(min(d), 6) AS distance FROM al GROUP BY record_id""")
 def word_clusters(spark, sf_dir):
-    """The nearest of eight words of each record's word: their number is the operator's."""
-    words = gaze.symbols(events(spark, sf_dir).where("event_type = 'click'"), "event_type", "v", "ts_ns", bins=8)
-    return rounded(gaze.word_clusters(words, 8), "distance")
+    """The nearest of eight words of each word of all families: their number is the operator's."""
+    return rounded(gaze.word_clusters(_words(spark, sf_dir), 8, rounds=0), "distance")
+
+
+def _words(spark, sf_dir):
+    """The words of all families, named by family and record."""
+    words = gaze.symbols(events(spark, sf_dir), "event_type", "v", "ts_ns", bins=8)
+    return words.select(F.concat_ws(":", "event_type", F.col("record_id").cast("string")).alias("record_id"), "word")
+
+
+@query()
+def word_medoids(spark, sf_dir):
+    """Clusters of those words around eight medoids that move until nothing changes."""
+    return rounded(gaze.word_clusters(_words(spark, sf_dir), 8), "distance")
 
 
 _LONG = """fe AS (SELECT record_id, i // 10 AS segment, avg(v) AS mean, CASE WHEN count(*) FILTER (ok = 1) > 2 THEN avg(v) FILTER (ok = 1) END AS valid_mean FROM series WHERE (i // 10 + 1) * 10 <= n GROUP BY record_id, i // 10)"""
