@@ -283,6 +283,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     cut = own.join(chosen, ["doc_id", "key"]).select("doc_id", "key", "text", "chosen").mapInArrow(_cut_out(width), "d long, g long, s long, doc_id long, key long, start int, words binary")
     once = cut.select(F.pmod("d", F.lit(shards)).cast("int").alias("shard"), "g", "s", "words", "doc_id").groupBy("shard", "g", "s", "words").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    once = written(once, "folded")  # the texts' shuffle goes before that of the shards comes
     found = once.groupBy("shard").applyInArrow(_searched(width), "g long, s long, least array<long>")
     found = written(found, "found")
     hit = cut.select("g", "s", "doc_id", "key", "start").join(found, ["g", "s"])
