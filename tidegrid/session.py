@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group of written tables: what each task buffers while it writes one.
+ROW_GROUP = 16 << 20
+
+
 def session(app: str = "tidegrid", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC times and adaptive execution; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -46,7 +50,7 @@ def written(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegrid-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     for _ in range(2 * free):  # the first pass frees what holds the others
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.1)
