@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidegrid import streaming
 from tidegrid.functions import finite, wall_clock
-from tidegrid.operators import gaze, kernels, quality, series
-from tidegrid.sources import sensors
+from tidegrid.operators import features, gaze, kernels, quality, series
+from tidegrid.sources import bundles, sensors
 
 
 def frame(spark, rows, schema):
@@ -130,6 +130,39 @@ def test_readers(spark, tmp_path):
         sensors.read_columns(spark, f"{tmp_path}/*/empty.csv", "a INT, b INT", ["a"])
 
 
+def test_settings_of_any_depth(spark, tmp_path):
+    rec = tmp_path / "r1"
+    rec.mkdir()
+    (rec / "info.yaml").write_text("driver: d 7\nrates:\n  gaze: 200\n  plan: !!float 1600\nlimits: [1, {low: 0.5}]\nbinning: True\nnone:\n")
+    got = {x.key: x.value for x in sensors.read_settings(spark, f"{tmp_path}/*/info.yaml").where("record_id = 'r1'").collect()}
+    assert got == {"driver": "d 7", "rates.gaze": "200", "rates.plan": "1600.0", "limits.0": "1", "limits.1.low": "0.5", "binning": "true", "none": None}
+
+
+def test_bundles_are_typed(spark, tmp_path):
+    df = frame(spark, [(1, 2, "a", "m", 0.5, "x"), (1, 2, "b", "m", None, "x")], "record_id int, segment int, family string, metric string, value float, more string")
+    bundles.write(df, str(tmp_path), "features")
+    out = bundles.read(spark, str(tmp_path), "features")
+    assert dict(out.dtypes) == {"record_id": "bigint", "segment": "bigint", "metric": "string", "value": "double", "family": "string"}
+    assert [tuple(x) for x in out.where("family = 'a'").collect()] == [(1, 2, "m", 0.5, "a")] and out.count() == 2
+    with pytest.raises(ValueError, match="needs"):
+        bundles.write(df.drop("value"), str(tmp_path), "features")
+
+
+def test_one_annotator_where_frames_differ(spark):
+    a = [(1, 5, 103.0, 104.0, 100.0, 100.0), (1, 6, 600.0, 100.0, 600.0, 100.0), (2, 7, 100.0, 110.0, 100.0, 100.0), (2, 8, 0.0, 0.0, 1.0, 1.0)]
+    b = [(1, 5, 100.0, 115.0, 100.0, 100.0), (1, 6, 600.0, 100.0, 600.0, 100.0), (2, 7, 100.0, 130.0, 100.0, 100.0)]
+    schema = "record int, frame int, x double, y double, mx double, my double"
+    got = sorted(tuple(x) for x in features.annotation_distances(frame(spark, a, schema), frame(spark, b, schema)).collect())
+    assert got == [(1, 5, True, pytest.approx(10 / 750)), (2, 7, False, pytest.approx(30 / 750))]
+
+
+def test_blink_intervals(spark, tmp_path):
+    (tmp_path / "r1").mkdir()
+    (tmp_path / "r1" / "blinks.csv").write_text("start timestamp [ns],end timestamp [ns]\n5,9\n1700000000000000001,1700000000000000002\n")
+    got = sorted((x.record_id, x.start_ns, x.end_ns) for x in sensors.read_blinks(spark, f"{tmp_path}/*/blinks.csv").collect())
+    assert got == [("r1", 5, 9), ("r1", 1700000000000000001, 1700000000000000002)]
+
+
 def test_suppression_keeps_a_peak_at_the_distance():
     assert kernels.suppressed(np.array([0, 9, 0, 0, 0, 5, 0.0]), 4, 0.005).tolist() == [1, 5]
     assert kernels.suppressed(np.array([0, 9, 0, 0, 5, 0.0]), 4, 0.005).tolist() == [1]

@@ -94,5 +94,21 @@ def annotator_distance(a: DataFrame, b: DataFrame, key: str, width: float = 600,
     return both.select(key, ((d("a") + d("b")) / 2).alias("distance")).where(F.col("distance") < limit).agg(F.count("*").alias("n"), F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("sd"))
 
 
+def annotation_distances(a: DataFrame, b: DataFrame, width: float = 600, height: float = 450, limit: float = 0.06) -> DataFrame:
+    """(record, frame, both, distance) of two annotators' points (record, frame, x, y, mx, my), over the image's diagonal and under ``limit``.
+
+    Only frames whose machine point (mx, my) is strictly inside the image count. Where both saw the same frames of a record, distances are
+    the mean of both; where they did not, the second one's alone. A record is some dozens of frames.
+    """
+    diagonal = (width**2 + height**2) ** 0.5
+    each = [d.select("record", "frame", F.struct("x", "y", "mx", "my").alias(n)) for d, n in ((a, "a"), (b, "b"))]
+    met = each[0].join(each[1], ["record", "frame"], "full_outer")
+    same = F.min((F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")).over(Window.partitionBy("record")) == 1
+    far = lambda s: F.sqrt(F.pow(F.col(f"{s}.x") - F.col("b.mx"), 2) + F.pow(F.col(f"{s}.y") - F.col("b.my"), 2))
+    inside = (F.col("b.mx") > 0) & (F.col("b.mx") < width) & (F.col("b.my") > 0) & (F.col("b.my") < height)
+    out = met.withColumn("both", same).where(F.col("b").isNotNull() & inside)
+    return out.select("record", "frame", "both", (F.when(F.col("both"), (far("a") + far("b")) / 2).otherwise(far("b")) / diagonal).alias("distance")).where(F.col("distance") < limit)
+
+
 def is_normalised(df: DataFrame, keys: Sequence[str], x: str, share: float = 0.95) -> DataFrame:
     return df.groupBy(*keys).agg((F.coalesce(F.avg(F.col(x).between(0, 1).cast("int")), F.lit(0.0)) >= share).alias("normalised"))

@@ -435,31 +435,46 @@ def cumulative_valid(spark, sf_dir):
     return day.select("record_id", "day", F.round(F.sum("k").over(w) / F.sum("n").over(w), 6).alias("cumulative"))
 
 
-@query("""SELECT n_nationkey, (date_diff('microsecond', TIMESTAMP '1970-01-01', (TIMESTAMP '2023-07-14 10:00:00.250' + to_days(n_nationkey) ) ) - 7200000000) * 1000 AS ts_ns FROM nation""")
+#: Orders at wall-clock times between one and three at night, and the nights on which Europe/Paris changes its clocks.
+NIGHTS = """WITH lo AS (SELECT o_orderkey, date_trunc('day', o_orderdate) + to_seconds(3600 + o_orderkey % 7200) AS t FROM orders),
+ye AS (SELECT *, make_date(year(t), 3, 31) AS m, CASE WHEN year(t) < 1996 THEN make_date(year(t), 9, 30) ELSE make_date(year(t), 10, 31) END AS o FROM lo),
+ch AS (SELECT o_orderkey, t, (m - (dayofweek(m))::INT)::TIMESTAMP AS spring, (o - (dayofweek(o))::INT)::TIMESTAMP AS autumn FROM ye)"""
+
+
+def _nights(spark, sf_dir):
+    """(o_orderkey, day, time) as text."""
+    second = F.col("o_orderkey") % 7200 + 3600
+    part = lambda e, n: F.lpad(F.expr(e).cast("string"), n, "0")
+    own = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), second.alias("s"))
+    time = F.concat(part("s div 3600", 2), F.lit(":"), part("s div 60 % 60", 2), F.lit(":"), part("s % 60", 2), F.lit(".000"))
+    return own.select("o_orderkey", "day", time.alias("time"))
+
+
+@query(NIGHTS + """ SELECT o_orderkey, (epoch_us(t) - CASE WHEN t >= spring + to_hours(3) AND t < autumn + to_hours(3) THEN 7200000000 ELSE 3600000000 END) * 1000 AS ts_ns FROM ch""")
 def local_time_to_utc(spark, sf_dir):
-    """dd/MM/yyyy and wall-clock time in Europe/Paris to UTC nanoseconds (all of these days are in summer time)."""
+    """dd/MM/yyyy and wall-clock time in Europe/Paris to UTC nanoseconds; a missing hour goes on from the one before, an ambiguous one is the first."""
     from ..sources.sensors import paris_to_ns
 
-    day = F.date_format(F.date_add(F.lit("2023-07-14").cast("date"), F.col("n_nationkey")), "dd/MM/yyyy")
-    return table(spark, sf_dir, "nation").select("n_nationkey", paris_to_ns(day, F.lit("10:00:00.250")).alias("ts_ns"))
+    return _nights(spark, sf_dir).select("o_orderkey", paris_to_ns(F.col("day"), F.col("time")).alias("ts_ns"))
 
 
-@query("""SELECT n_nationkey, (n_nationkey * 7 * 60 + n_nationkey) * 1000000000::BIGINT AS ns FROM nation""")
+@query("""SELECT event_id, (floor(value)::BIGINT * 60 + event_id % 60) * 1000000000::BIGINT AS ns FROM events""")
 def mmss_to_ns(spark, sf_dir):
+    """MM:SS texts of the events' values, minutes over 59 included."""
     from ..sources.sensors import mmss
 
-    text = F.concat(F.lpad((F.col("n_nationkey") * 7).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
-    text = F.when(F.col("n_nationkey") * 7 > 99, F.concat((F.col("n_nationkey") * 7).cast("string"), F.lit(":"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))).otherwise(text)
-    return table(spark, sf_dir, "nation").select("n_nationkey", mmss(text).alias("ns"))
+    own = table(spark, sf_dir, "events")
+    text = F.concat(F.floor("value").cast("string"), F.lit(":"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0"))
+    return own.select("event_id", mmss(text).alias("ns"))
 
 
-@query("""SELECT n_nationkey AS a, n_name AS b, n_regionkey AS c FROM nation""")
+@query("""SELECT c_custkey AS a, c_name AS b, c_nationkey AS c FROM customer""")
 def csv_repair(spark, sf_dir):
     """Doubled separators in CSV lines, mended while they are read."""
     from ..sources.sensors import repaired
 
-    lines = table(spark, sf_dir, "nation").select(F.concat_ws(",,", "n_nationkey", "n_name", "n_regionkey").alias("value"))
-    return repaired(lines, "a INT, b STRING, c INT")
+    lines = table(spark, sf_dir, "customer").select(F.concat_ws(",,", "c_custkey", "c_name", "c_nationkey").alias("value"))
+    return repaired(lines, "a BIGINT, b STRING, c BIGINT")
 
 
 @query("""x AS (SELECT 1) SELECT record_id, count(*) AS n, round(sum(v), 4) AS total FROM series GROUP BY record_id""")

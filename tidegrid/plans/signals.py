@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import all_of, clip_to_null, enough, finite, in_bounds, inside_open, present, rescaled, wall_clock
 from ..operators import ecg, features, gaze, quality, series
 from ..session import shared_dir
-from ..sources import sensors
-from .catalog import _POINTS, BEATS, HOUR, _correlations, events, points, query, rounded, strips, table, waves
+from ..sources import bundles, sensors
+from .catalog import _PAIRS, _POINTS, BEATS, HOUR, NIGHTS, _correlations, _nights, events, points, query, rounded, strips, table, waves
 
 #: Events as mapped gaze: coordinates beyond the frame, missing mappings and few matches included.
 _GAZE = """gz AS (SELECT record_id, ts_ns, i, seq, v * 10 AS gx, (seq * 37 % 1500)::DOUBLE AS gy, CASE WHEN seq % 11 <> 0 THEN v * 2 END AS rx, (seq * 13 % 500)::DOUBLE AS ry,
@@ -83,12 +83,10 @@ def span_overlap_check(spark, sf_dir):
     return quality.span_overlaps(own.where("event_type = 'click'"), own.where("event_type = 'error'"))
 
 
-@query("""SELECT n_nationkey, CASE WHEN n_nationkey = 2 THEN 'missing' ELSE 'ok' END AS spring, CASE WHEN n_nationkey = 2 THEN 'ambiguous' ELSE 'ok' END AS autumn FROM nation WHERE n_nationkey < 24""")
+@query(NIGHTS + """ SELECT o_orderkey, CASE WHEN t >= spring + to_hours(2) AND t < spring + to_hours(3) THEN 'missing' WHEN t >= autumn + to_hours(2) AND t < autumn + to_hours(3) THEN 'ambiguous' ELSE 'ok' END AS clock FROM ch""")
 def time_zone_check(spark, sf_dir):
-    """Every hour of the days on which Europe/Paris changes its clocks."""
-    hour = F.concat(F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit(":30:00.000"))
-    own = table(spark, sf_dir, "nation").where("n_nationkey < 24")
-    return own.select("n_nationkey", wall_clock(F.lit("31/03/2024"), hour, "Europe/Paris").alias("spring"), wall_clock(F.lit("27/10/2024"), hour, "Europe/Paris").alias("autumn"))
+    """Whether the wall-clock times of all orders, at night, are there once in Europe/Paris."""
+    return _nights(spark, sf_dir).select("o_orderkey", wall_clock(F.col("day"), F.col("time"), "Europe/Paris").alias("clock"))
 
 
 @query(_GAZE + """, o AS (SELECT record_id, ts_ns, CASE WHEN seq % 5 = 0 THEN 'nan'::DOUBLE ELSE rx END AS rx, ry FROM gz)
@@ -346,10 +344,59 @@ def feature_csv(spark, sf_dir):
     return out.groupBy("record_id").agg(F.count("*").alias("n"), F.round(F.sum("mean"), 4).alias("total"))
 
 
-@query()
+@query(_PAIRS + """, me AS (SELECT win, beat, avg(r) AS g, list(r ORDER BY other) AS rs FROM r GROUP BY win, beat),
+wi AS (SELECT win, avg(g) AS g, arg_max(beat, (g, -beat)) AS main, list(beat ORDER BY beat) AS bs FROM me GROUP BY win),
+ma AS (SELECT w.win, w.g, w.main, w.bs, m.rs, CASE WHEN w.g BETWEEN 0.05 AND 0.9 THEN list_filter(w.bs, lambda b, k: m.rs[k] < 0.05) ELSE [] END AS suspects, list_filter(w.bs, lambda b, k: m.rs[k] >= 0.05) AS good FROM wi w JOIN me m ON m.win = w.win AND m.beat = w.main),
+cl AS (WITH RECURSIVE t AS (
+  SELECT win, suspects AS rest, bs, 0 AS n_groups, 0 AS n_noise, 0::DOUBLE AS total FROM ma
+  UNION ALL
+  SELECT win, list_filter(rest, lambda b: NOT list_contains(near, b)), bs, n_groups + (len(near) > 1)::INT, n_noise + (len(near) = 1)::INT,
+    total + CASE WHEN len(near) = 1 THEN 1.6 * exp(-0.4 * (n_noise + 1)) - 0.01 ELSE (list_sum(list_transform(near, lambda b: rs[list_position(bs, b)])) - 1) / (len(near) - 1) * (1.7 * exp(-0.5 * (n_groups + 1)) - 0.005) END
+  FROM (SELECT t.*, m.rs, list_filter(rest, lambda b: b = rest[1] OR m.rs[list_position(bs, b)] > 0.9051) AS near FROM t JOIN me m ON m.win = t.win AND m.beat = t.rest[1] WHERE len(rest) > 0))
+  SELECT * FROM t WHERE len(rest) = 0),
+gd AS (SELECT m.win, avg(e.r) AS good FROM ma m JOIN r e ON e.win = m.win AND list_contains(m.good, e.beat) AND list_contains(m.good, e.other) GROUP BY m.win)
+SELECT m.win, len(m.suspects)::BIGINT AS n_suspects, c.n_groups::BIGINT AS n_groups, c.n_noise::BIGINT AS n_noise, round(CASE WHEN len(m.suspects) > 0 THEN (c.total / (c.n_groups + c.n_noise) + g.good) / 2 END, 6) AS a_score
+FROM ma m JOIN cl c USING (win) LEFT JOIN gd g USING (win)""")
 def beat_clusters(spark, sf_dir):
     """Suspect beats of each window by groups, and the score from them."""
-    return quality.beat_clusters(_correlations(spark, sf_dir), "win", "beat", low=0.05)
+    return rounded(quality.beat_clusters(_correlations(spark, sf_dir), "win", "beat", low=0.05), "a_score")
+
+
+@query("""WITH po AS (SELECT o_custkey AS record, o_orderkey AS frame, o_custkey % 700 AS mx, o_orderkey % 500 AS my, o_custkey % 700 + o_orderkey % 7 AS ax, o_orderkey % 500 + o_custkey % 5 AS ay, o_custkey % 700 - o_orderkey % 11 AS bx, o_orderkey % 500 - o_custkey % 90 AS by_ FROM orders),
+ok AS (SELECT record, bool_and((frame % 37 <> 5) = (frame % 41 <> 3)) AS same FROM po GROUP BY record),
+di AS (SELECT record, frame, frame % 37 <> 5 AS in_a, frame % 41 <> 3 AS in_b, same, sqrt((ax - mx) ** 2 + (ay - my) ** 2) AS da, sqrt((bx - mx) ** 2 + (by_ - my) ** 2) AS db FROM po JOIN ok USING (record) WHERE mx > 0 AND mx < 600 AND my > 0 AND my < 450)
+SELECT record, frame, same AS both, round(CASE WHEN same THEN (da + db) / 2 ELSE db END / 750, 6) AS distance FROM di WHERE in_b AND CASE WHEN same THEN (da + db) / 2 ELSE db END / 750 < 0.06""")
+def annotator_fallback(spark, sf_dir):
+    """Distances of two annotators' points, of one of them alone in records where they did not see the same frames."""
+    o = table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    base = [c.alias("record"), k.alias("frame"), (c % 700).alias("mx"), (k % 500).alias("my")]
+    a = o.where("o_orderkey % 37 <> 5").select(*base, (c % 700 + k % 7).alias("x"), (k % 500 + c % 5).alias("y"))
+    b = o.where("o_orderkey % 41 <> 3").select(*base, (c % 700 - k % 11).alias("x"), (k % 500 - c % 90).alias("y"))
+    return rounded(features.annotation_distances(a, b), "distance")
+
+
+_STATUS = """x AS (SELECT 1), qu AS (SELECT record_id, count(*) AS n, avg(ok) AS valid, min(CASE WHEN ok = 0 THEN i END) AS first_bad FROM series GROUP BY record_id)"""
+
+
+@query(_STATUS + """ SELECT record_id, n, round(valid, 6) AS valid, first_bad, CASE WHEN valid >= 0.5 THEN 1 ELSE 0 END AS usable FROM qu""")
+def quality_bundle(spark, sf_dir):
+    """Quality of records written as a typed bundle and read again."""
+    own = series.row_index(events(spark, sf_dir))
+    told = own.groupBy("record_id").agg(F.count("*").alias("n"), F.avg("ok").alias("valid"), F.min(F.when(F.col("ok") == 0, F.col("i"))).alias("first_bad"))
+    told = told.withColumn("usable", (F.col("valid") >= 0.5).cast("int"))
+    root = f"{shared_dir(spark)}/tidegrid-quality-{uuid.uuid4().hex}"
+    bundles.write(told, root, "quality")
+    return rounded(bundles.read(spark, root, "quality"), "valid")
+
+
+@query(_LONG + """ SELECT family, metric, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT 'skin' AS family, 'mean' AS metric, mean AS value FROM fe UNION ALL SELECT 'skin', 'valid_mean', valid_mean FROM fe) WHERE value IS NOT NULL GROUP BY family, metric""")
+def features_bundle(spark, sf_dir):
+    """Features of segments written as a typed bundle, by family, and summed up from it."""
+    told = quality.long_features(_segment_features(spark, sf_dir)[1], ["record_id", "segment"], "skin")
+    root = f"{shared_dir(spark)}/tidegrid-features-{uuid.uuid4().hex}"
+    bundles.write(told, root, "features")
+    return rounded(bundles.read(spark, root, "features").groupBy("family", "metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean")), "mean")
 
 
 @query("""x AS (SELECT 1), g AS (SELECT record_id, unnest(range(a, a + ((b - a) // 21600000000000) * 21600000000000 + 1, 21600000000000)) AS ts_ns FROM (SELECT record_id, min(ts_ns) AS a, max(ts_ns) AS b FROM series GROUP BY record_id)),

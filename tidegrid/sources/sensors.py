@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,30 @@ def read_sidecars(spark: SparkSession, glob: str) -> DataFrame:
     return lines.groupBy("record_id").agg(get("railway_line").alias("line"), get("driver").alias("subject"), mmss(get("start_offset")).alias("start_ns"), mmss(get("end_offset")).alias("end_ns"))
 
 
+def read_settings(spark: SparkSession, glob: str) -> DataFrame:
+    """(record_id, key, value) of YAML files of any depth: keys joined by dots, places in lists counted from 0, values as text (null stays null).
+
+    One file is one small document; a file that is no valid YAML is an error. Needs the yaml package.
+    """
+    files = spark.read.text(glob, wholetext=True).select(record_of(F.col("_metadata.file_path")).alias("record_id"), "value")
+
+    def flat(value: object, at: str) -> Iterator[tuple[str, str | None]]:
+        if isinstance(value, dict | list):
+            for k, v in value.items() if isinstance(value, dict) else enumerate(value):
+                yield from flat(v, f"{at}.{k}" if at else str(k))
+        else:
+            yield at, None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import yaml
+
+        for batch in batches:
+            rows = [(r, k, v) for r, text in zip(batch.column("record_id").to_pylist(), batch.column("value").to_pylist(), strict=True) for k, v in flat(yaml.safe_load(text), "")]
+            yield pa.record_batch([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], names=["record_id", "key", "value"])
+
+    return files.mapInArrow(run, "record_id string, key string, value string")
+
+
 def read_spectra(spark: SparkSession, glob: str) -> DataFrame:
     """(record_id, sensor, axis, hz, density) from files named like ``Acc_X_psd.csv``."""
     raw = read_csv(spark, glob, "Frequency_Hz DOUBLE, Normalized_PSD DOUBLE").withColumn("f", F.col("_metadata.file_name"))
