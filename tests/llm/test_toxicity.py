@@ -57,6 +57,17 @@ def test_kernel_equals_its_definition():
             assert own[i, j] == pytest.approx((sum(n * y[c] for c, n in x.items()) / size(x) / size(y)) ** T.POWER, abs=1e-4)
 
 
+def test_one_symmetric_kernel():
+    """What sentences are multiplied with is the kernel whose matrix is inverted."""
+    marks = [b"idiot", b"schuft", b"abcab", b"grobian", b"stup", b"stupid"]
+    table = T.dense(*T._flat(marks))
+    size = np.array([math.sqrt(sum(n * n for n in spectrum(m).values())) for m in marks])
+    assert np.allclose(T.lengths(table), size, rtol=1e-5)
+    got = T.kernel(*T._flat(marks), table) * T.lengths(table) ** T.POWER  # with landmarks of length 1
+    own = got / np.minimum(size, T.LENGTH)[:, None] ** T.POWER  # of units of length 1
+    assert np.allclose(own, own.T, rtol=1e-4, atol=1e-6) and np.allclose(own, T.likeness(table), rtol=1e-4, atol=1e-6)
+
+
 def test_units_and_sentences():
     text = b"One two. i d i o t x-y\nThree! four a b"
     begin, end, sentence, document = T.units(np.frombuffer(text, np.uint8), np.array([0, len(text)]))

@@ -15,12 +15,13 @@ nothing. As few classes of characters make a small, fixed set of subsequences
 (``CLASSES**3``), it is computed through its explicit features. A sentence is
 compared by its nearest unit.
 
-*Nyström landmarks.* The kernel with some dozens of landmarks, times the inverse
-root of the landmarks' own kernel matrix, stands for the kernel's feature space.
+*Nyström landmarks.* The kernel with some dozens of landmarks of length 1, times the
+inverse root of the kernel matrix of these, stands for the kernel's feature space.
 Landmarks are strings of four to eight bytes out of labelled sentences: those in
 whose neighbourhood, as the kernel sees it, toxic documents exceed clean ones most,
-taken greedily so that they differ. They are scaled to the kernel 1 with
-themselves; values that cannot reach ``FLOOR`` then count as 0.
+taken greedily so that they differ. When sentences are compared, landmarks are scaled so that
+a unit that holds one has the kernel 1 with it, which is undone before the inverse root is taken; units
+that cannot reach ``FLOOR`` with any of them are cut off, their values count as 0.
 
 *Training.* A linear machine (squared hinge, L2) is trained on sentences. Labels
 are given by document: all sentences of a clean one are clean; of a toxic one, the
@@ -267,14 +268,18 @@ def _landmarks(texts: list[bytes], toxic: np.ndarray, count: int, candidates: in
     return [names[i] for i in chosen]
 
 
+def lengths(table: np.ndarray) -> np.ndarray:
+    """The length of each landmark in feature space, which its column of ``table`` is divided by twice."""
+    return np.maximum((table.astype(np.float64) ** 2).sum(0), 1e-18) ** -0.5
+
+
 def likeness(table: np.ndarray) -> np.ndarray:
-    """The landmarks' own kernel matrix, each scaled to 1 with itself."""
-    near = table.astype(np.float64)
-    near /= np.sqrt(np.maximum((near**2).sum(0), 1e-18))
+    """The landmarks' own kernel matrix, each scaled to length 1."""
+    near = table.astype(np.float64) * lengths(table)
     return (near.T @ near) ** POWER
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30, ridge: float = 1e-3) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30, ridge: float = 1e-5) -> np.ndarray:
     """Squared-hinge machine by Newton steps; the last feature is the bias."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -306,7 +311,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, count: int = 32, rounds: int = 5)
     values, vectors = np.linalg.eigh(likeness(table))
     real = values > 1e-3
     root = vectors[:, real] / np.sqrt(values[real])
-    x = np.concatenate((by_sentence @ root, np.ones((len(by_sentence), 1))), 1)
+    size = lengths(table) ** POWER  # from landmarks scaled for sentences to those of length 1, whose matrix is inverted
+    x = np.concatenate((by_sentence * size @ root, np.ones((len(by_sentence), 1))), 1)
     owner = np.repeat(np.arange(len(texts)), np.diff(document))
     bad = toxic[owner]
     some = np.flatnonzero(np.diff(document))
@@ -331,7 +337,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, count: int = 32, rounds: int = 5)
         h = np.array([[(v * best * best).sum() + 1e-3, (v * best).sum()], [(v * best).sum(), v.sum()]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
-    return Model(marks, (root @ w[:-1]).astype(np.float32), float(w[-1]), (max(float(a), 0.0), float(b)))
+    return Model(marks, (size * (root @ w[:-1])).astype(np.float32), float(w[-1]), (max(float(a), 0.0), float(b)))
 
 
 def _contrast(by_sentence: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
