@@ -560,7 +560,7 @@ ap AS (SELECT record_id, segment, CASE WHEN max(n3) > 0 THEN avg(ln(two / n2)) -
 yy AS (SELECT record_id, segment, k, n, sum(d) OVER (PARTITION BY record_id, segment ORDER BY k ROWS UNBOUNDED PRECEDING) AS y FROM (SELECT *, nn - avg(nn) OVER (PARTITION BY record_id, segment) AS d, count(*) OVER (PARTITION BY record_id, segment) AS n FROM nn)),
 bo AS (SELECT record_id, segment, size, k // size AS box, regr_syy(y, k) - regr_sxy(y, k) ** 2 / regr_sxx(y, k) AS sse FROM yy, (SELECT unnest(range(4, 65)) AS size) WHERE (k // size + 1) * size <= n GROUP BY ALL),
 fl AS (SELECT record_id, segment, size, 0.5 * ln(sum(greatest(sse, 0)) / (count(*) * size) + 1e-300) AS f FROM bo GROUP BY record_id, segment, size),
-al AS (SELECT record_id, segment, regr_slope(f, ln(size)) FILTER (size <= 16) AS alpha1, regr_slope(f, ln(size)) FILTER (size > 16) AS alpha2 FROM fl GROUP BY ALL),
+al AS (SELECT record_id, segment, CASE WHEN count(*) FILTER (size <= 16) > 1 THEN regr_slope(f, ln(size)) FILTER (size <= 16) END AS alpha1, CASE WHEN count(*) FILTER (size > 16) > 1 THEN regr_slope(f, ln(size)) FILTER (size > 16) END AS alpha2 FROM fl GROUP BY ALL),
 ti AS (SELECT record_id, segment, k, nn, round_even(sum(CASE WHEN k > 0 THEN nn ELSE 0 END) OVER (PARTITION BY record_id, segment ORDER BY k ROWS UNBOUNDED PRECEDING) * 1000, 0)::BIGINT AS t FROM nn),
 iv AS (SELECT *, lag(t) OVER w AS t0, lag(nn) OVER w AS y0 FROM ti WINDOW w AS (PARTITION BY record_id, segment ORDER BY k)),
 gr AS (SELECT record_id, segment, t, t0, nn, y0, unnest(range(coalesce(t0 // 250000 + 1, 0), t // 250000 + 1)) AS g FROM iv),
