@@ -148,3 +148,27 @@ def test_scaled_by_the_quantile(spark):
     df = frame(spark, {"a": y, "z": np.zeros(5)}).withColumnRenamed("x", "phasic")
     got = {(x.record_id, x.i): x.scr for x in skin.scaled(df).collect()}
     assert got["a", 500] == pytest.approx(0.5 / 0.995) and got["z", 1] is None
+
+
+def test_each_record_is_fitted_once(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(8)
+    own = spark.createDataFrame([(k, i, float(v)) for k in range(6) for i, v in enumerate(r.normal(0, 1, 90))], "record_id long, i long, x double")
+    plain = skin._parts
+
+    def told(rate):
+        run = plain(rate)
+
+        def noted(batches):
+            for part in run(batches):
+                with open(tmp_path / "parts", "a") as f:
+                    f.write("".join(f"{k} {i}\n" for k, i in zip(part.column("record_id").to_pylist(), part.column("i").to_pylist(), strict=True)))
+                yield part
+
+        return noted
+
+    monkeypatch.setattr(skin, "_parts", told)
+    for name, rows in (("scaled", lambda: skin.scaled(skin.series(own, "x", 4.0)).count()), ("totals", lambda: len(skin.totals(own, "x", 4.0).collect()))):
+        assert rows() == {"scaled": 540, "totals": 6}[name]
+        lines = (tmp_path / "parts").read_text().split("\n")[:-1]
+        assert len(lines) == len(set(lines)) == 540, name
+        (tmp_path / "parts").write_text("")

@@ -10,7 +10,8 @@ biexponential responses from each sample of its first 60 s in five time scales.
 those of the positive lasso, along its homotopy path: from the penalty at which all are
 zero downwards, the active atoms' weights move so that all stay equally correlated with the rest; an
 atom joins when it gets as correlated as they are, and one whose weight falls to zero leaves. The
-Cholesky factor of the active atoms' products is updated for each that joins, downdated for each that leaves.
+Cholesky factor of the active atoms' products is updated for each that joins, downdated for each that leaves; its inverse
+goes with it, so that an event costs a few products with vectors.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Seconds of a window, of its atoms' onsets, and of the least part that is kept.
 SPAN, REACH, STEP = 120, 60, 20
 #: Time scales of the responses, and the ends of their rise and decay in seconds.
@@ -31,10 +34,13 @@ SCALES, RISE, DECAY, LASTS = (0.5, 0.75, 1.0, 1.25, 1.5), 0.5, 2.0, 10
 EVENTS, CLOSE = 50, 5e-4
 
 
-def joined(factor: np.ndarray, products: np.ndarray, own: float) -> np.ndarray | None:
+def joined(factor: np.ndarray, products: np.ndarray, own: float, inverse: np.ndarray | None = None) -> np.ndarray | None:
     """The lower Cholesky factor with one more row; None for an atom that depends on those before."""
     n = len(factor)
-    row = np.linalg.solve(factor, products) if n else products
+    if not n:
+        row = products
+    else:
+        row = np.linalg.solve(factor, products) if inverse is None else inverse @ products
     left = own - row @ row
     if left <= 1e-9 * own:
         return None
@@ -43,6 +49,14 @@ def joined(factor: np.ndarray, products: np.ndarray, own: float) -> np.ndarray |
     return out
 
 
+def inverted(inverse: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The inverse of a lower factor that has got ``row`` as its last one."""
+    n = len(inverse)
+    out = np.zeros((n + 1, n + 1))
+    out[:n, :n], out[n, :n], out[n, n] = inverse, -(row[:n] @ inverse) / row[n], 1 / row[n]
+    return out
+
+
 def left_out(factor: np.ndarray, k: int) -> np.ndarray:
     """The factor without row ``k``: plane rotations clear what then stands above the diagonal."""
     out = np.delete(factor, k, 0)
@@ -59,36 +73,44 @@ def path(gram: np.ndarray, along: np.ndarray) -> Iterator[tuple[float, np.ndarra
     ``gram`` has the atoms' products with each other, ``along`` those with the signal. At each corner
     no atom's product with the rest is over the penalty, and those of the atoms with weight equal it.
     """
-    weights, factor, active = np.zeros(len(along)), np.zeros((0, 0)), []
+    weights, factor, inverse, active = np.zeros(len(along)), np.zeros((0, 0)), np.zeros((0, 0)), []
+    rows = np.empty((16, len(along)))  # the active atoms' products, one after the other
     free = np.ones(len(along), bool)  # neither active nor dependent on those that are
     penalty, gone = float(along.max(initial=0.0)), -1
     if penalty <= 0:
         return
-    joins = int(along.argmax())
+    joins, rest = int(along.argmax()), along.astype(float)  # a copy
     yield penalty, weights.copy()
     while True:
         if joins >= 0:
             free[joins] = False
-            more = joined(factor, gram[joins, active], gram[joins, joins])
+            more = joined(factor, gram[joins, active], gram[joins, joins], inverse)
             if more is not None:
-                factor = more
+                factor, inverse = more, inverted(inverse, more[-1])
+                if len(active) == len(rows):
+                    rows = np.concatenate((rows, np.empty_like(rows)))
+                rows[len(active)] = gram[joins]
                 active.append(joins)
         if not active:
             return
-        pace = np.linalg.solve(factor.T, np.linalg.solve(factor, np.ones(len(active))))
-        rest, slope = along - gram[:, active] @ weights[active], gram[:, active] @ pace
-        with np.errstate(divide="ignore", invalid="ignore"):
-            until = np.where(free & (1 - slope > 1e-12), np.maximum(penalty - rest, 0) / (1 - slope), np.inf)
-            if gone >= 0:
-                until[gone] = np.inf
-            falls = np.where(pace < 0, -weights[active] / pace, np.inf)
+        pace = inverse.sum(1) @ inverse
+        slope = pace @ rows[: len(active)]
+        until = np.full(len(along), np.inf)
+        np.divide(np.maximum(penalty - rest, 0), 1 - slope, out=until, where=free & (1 - slope > 1e-12))
+        if gone >= 0:
+            until[gone] = np.inf
+        falls = np.full(len(active), np.inf)
+        np.divide(-weights[active], pace, out=falls, where=pace < 0)
         step = min(float(until.min()), float(falls.min()), penalty)
         weights[active] += step * pace
+        rest -= step * slope
         penalty, joins, gone = penalty - step, -1, -1
         if step == falls.min():
             k = int(falls.argmin())
             gone = active.pop(k)
             weights[gone], factor = 0.0, left_out(factor, k)
+            inverse = np.linalg.inv(factor)
+            rows[k : len(active)] = rows[k + 1 : len(active) + 1]
             free[:] = True
             free[active] = False
         elif step == until.min():
@@ -122,13 +144,21 @@ def atoms(rate: float) -> tuple[np.ndarray, np.ndarray]:
     return out, out.T @ out
 
 
+@cache
+def _begins(rate: float) -> np.ndarray:
+    """What each atom, a row, is in a window's first samples."""
+    return np.ascontiguousarray(atoms(rate)[0][: round(STEP * rate)].T)
+
+
 def fitted(y: np.ndarray, rate: float) -> np.ndarray:
     """The weights of a window at the last corner of its path that is looked at."""
     x, gram = atoms(rate)
-    first, weights = round(STEP * rate), np.zeros(x.shape[1])
+    begins, weights = _begins(rate), np.zeros(x.shape[1])
+    head = y[: begins.shape[1]]
     for k, (_, weights) in enumerate(path(gram, x.T @ y)):
         used = np.flatnonzero(weights)
-        if k >= EVENTS or np.linalg.norm(y[:first] - x[:first, used] @ weights[used]) <= CLOSE:
+        left = head - weights[used] @ begins[used]
+        if k >= EVENTS or left @ left <= CLOSE**2:
             break
     return weights
 
@@ -208,10 +238,11 @@ def series(df: DataFrame, x: str, rate: float) -> DataFrame:
     """(record_id, i, window, tonic, phasic, driver, error): tonic and phasic part and driver of each sample, and the squared rest.
 
     Null and NaN samples are left out, what is left of a record is taken as evenly sampled; null records are left out. A
-    record of any length passes, one of few samples too.
+    record of any length passes, one of few samples too. Fitting is what takes time, not the bytes of the samples, so
+    records are dealt to as many tasks as a shuffle has.
     """
     own = df.select("record_id", F.col("i").cast("long").alias("i"), F.col(x).cast("double").alias("x")).where("record_id IS NOT NULL AND x IS NOT NULL AND NOT isnan(x)")
-    rows = own.repartition("record_id").sortWithinPartitions("record_id", "i")
+    rows = own.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "record_id").sortWithinPartitions("record_id", "i")
     return rows.mapInArrow(_parts(rate), f"record_id {dict(df.dtypes)['record_id']}, i long, window long, tonic double, phasic double, driver double, error double")
 
 
@@ -233,7 +264,8 @@ def events(parts: DataFrame, distance: int, share: float = 0.005) -> DataFrame:
 
 
 def scaled(parts: DataFrame, share: float = 0.995) -> DataFrame:
-    """Adds ``scr``, the phasic part over its quantile in the record (null where that is 0)."""
+    """Adds ``scr``, the phasic part over its quantile in the record (null where that is 0). ``parts`` are written, so that they are fitted once."""
+    parts = written(parts, "skin", free=False)
     top = parts.groupBy("record_id").agg(F.percentile("phasic", share).alias("_q"))
     return parts.join(top, "record_id").withColumn("scr", F.try_divide("phasic", "_q")).drop("_q")
 
@@ -253,7 +285,7 @@ def event_rates(parts: DataFrame, found: DataFrame, rate: float) -> DataFrame:
 
 def totals(df: DataFrame, x: str, rate: float) -> DataFrame:
     """(record_id, tonic, n_events, driver, mse): mean tonic level, driver events a second apart, sum of the driver, mean squared rest."""
-    parts = series(df, x, rate)
+    parts = written(series(df, x, rate), "skin", free=False)  # both its events and its sums are looked at
     found = events(parts, max(1, round(rate))).groupBy("record_id").agg(F.count("*").alias("n_events"))
     each = parts.groupBy("record_id").agg(F.avg("tonic").alias("tonic"), F.sum("driver").alias("driver"), F.avg("error").alias("mse"))
     return each.join(found, "record_id", "left").select("record_id", "tonic", F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events"), "driver", "mse")
