@@ -194,3 +194,30 @@ def test_medoids_as_in_plain_python(spark):
         assert {x.record_id: x.medoid for x in got} == want
         assert all(x.distance == pytest.approx(distance(words[x.record_id], words[x.medoid])) for x in got)
         assert all(b <= a + 1e-9 for a, b in zip(costs, costs[1:], strict=False)) and (k == 3 or costs[-1] < costs[0])
+
+
+def test_mean_shift_shuffles_a_scanpath_once(spark):
+    r = np.random.default_rng(12)
+    rows = [(k, s, i, *(float(v) for v in r.normal(size=2) * 30), f"{k}{i}") for k, s, n in ((1, "a", 1), (1, "b", 40), (2, "a", 300), (3, None, 5)) for i in range(n)]
+    rows += [(4, "a", 0, float("nan"), 1.0, "n"), (4, "a", 1, float("nan"), 1.0, "m"), (4, "a", 2, 5.0, 1.0, "p"), (4, "a", 3, None, 1.0, "q")]
+    df = spark.createDataFrame(rows, "k int, s string, i int, x double, y double, note string").repartition(4)
+    out = scanpath.mean_shift(df, ["k", "s"], "i", 25.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+    got = {(x.k, x.s, x.i): x for x in out.collect()}
+    assert out.columns == [*df.columns, "area"] and all(tuple(x)[:-1] in rows or x.k == 4 for x in got.values())
+    assert {k: x.area for k, x in got.items() if k[0] == 4} == {(4, "a", 0): -1, (4, "a", 1): -1, (4, "a", 2): 1}
+    for key in ((1, "a"), (1, "b"), (2, "a")):
+        p = np.array([q[3:5] for q in rows if q[:2] == key])
+        modes, moves = p.copy(), np.ones(len(p), bool)
+        for _ in range(50):
+            to = np.array([p[((p - m) ** 2).sum(1) <= 625].mean(0) for m in modes])
+            far = np.abs(to - modes).max(1) >= 1e-6
+            modes[moves] = to[moves]
+            moves &= far
+        seen = []
+        for n, m in enumerate(modes.round(6)):
+            hit = [k for k, c in enumerate(seen) if ((c - m) ** 2).sum() <= 625]
+            if not hit:
+                seen.append(m)
+            assert got[(*key, n)].area == (hit[0] if hit else len(seen) - 1), (key, n)

@@ -5,16 +5,16 @@ A scanpath is what one segment of a record holds (some dozens of fixations), nam
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..session import written
-
-#: Rounds of mean shift in one plan.
-TOGETHER = 3
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def hilbert(x: Column, y: Column, iterations: int = 4) -> Column:
@@ -57,45 +57,82 @@ def higuchi(df: DataFrame, keys: Sequence[str], value: str, order: str, kmax: in
     return df.select(*keys).distinct().join(out, list(keys), "left")
 
 
+def shifted(at: np.ndarray, x: np.ndarray, y: np.ndarray, bandwidth: float, rounds: int, still: float, cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Where the points of some scanpaths, each from one of ``at`` to the next, have moved to; ``cells`` pairs of a point and another are looked at together."""
+    owner, many = np.repeat(np.arange(len(at) - 1), np.diff(at)), np.diff(at)
+    mx, my, moving = x.copy(), y.copy(), np.arange(len(x))
+    for _ in range(rounds):
+        ends, low = np.cumsum(many[owner[moving]]), 0
+        nx, ny = np.empty((2, len(moving)))
+        while low < len(moving):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + cells, "right")))
+            here = moving[low:high]
+            count = many[owner[here]]
+            one = np.repeat(np.arange(len(here)), count)
+            two = np.repeat(at[owner[here]] - (np.cumsum(count) - count), count) + np.arange(len(one))
+            with np.errstate(invalid="ignore"):
+                near = np.repeat(mx[here], count) - x[two]
+                near = near * near + (np.repeat(my[here], count) - y[two]) ** 2 <= bandwidth**2
+                one, two = one[near], two[near]
+                met = np.bincount(one, minlength=len(here))
+                nx[low:high], ny[low:high] = np.bincount(one, x[two], len(here)) / met, np.bincount(one, y[two], len(here)) / met
+            low = high
+        on = ~np.isnan(nx)  # a point that is nowhere meets none, not even itself
+        moving, nx, ny = moving[on], nx[on], ny[on]
+        far = np.maximum(np.abs(nx - mx[moving]), np.abs(ny - my[moving])) >= still
+        mx[moving], my[moving] = nx, ny
+        moving = moving[far]
+        if not len(moving):
+            break
+    return mx, my
+
+
+def areas(first: Sequence, mx: Sequence[float], my: Sequence[float], bandwidth: float) -> list[int]:
+    """The area of each point of one scanpath, from its place in the order and its mode; -1 if that is nowhere."""
+    order = sorted(range(len(first)), key=lambda k: (first[k], mx[k], my[k]))
+    seen: list[tuple[float, float]] = []
+    of: dict[tuple[float, float], int] = {}
+    for k in order:
+        a, b = mode = mx[k], my[k]
+        if mode not in of:
+            of[mode] = next((n for n, (u, v) in enumerate(seen) if (u - a) ** 2 + (v - b) ** 2 <= bandwidth**2), len(seen))
+            if of[mode] == len(seen):
+                seen.append(mode)
+                if a != a or b != b:
+                    of[mode] = -1
+    return [of[m] for m in zip(mx, my, strict=True)]
+
+
 def mean_shift(df: DataFrame, keys: Sequence[str], order: str, bandwidth: float, rounds: int = 50, still: float = 1e-6) -> DataFrame:
     """``df`` with ``area``, the area of interest of each point (x, y), from 0 in the order of their first points.
 
     Each point moves to the mean of all points within ``bandwidth`` (a flat kernel), until it moves by less than ``still``, or
-    ``rounds`` times. Points are dealt to cells as wide as the bandwidth, so a mode only meets those of its own and the eight
-    cells around it; equal points are one with a weight, and modes that have met go on as one. After each ``TOGETHER`` rounds
-    they are a written table. Of the modes, in the order of their first points, one within the bandwidth of an area's belongs to it, the first such one; another is a new area's.
+    ``rounds`` times. Of the modes, in the order of their first points, one within the bandwidth of an area's belongs to it, the first
+    such one; another is a new area's. A scanpath is shuffled once, as an array, and decided in its task; points without a key or a place are left out.
     """
     keys = list(keys)
-    cell = lambda c: F.floor(F.col(c) / bandwidth).cast("long")
-    around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    own = df.groupBy(*keys, "x", "y").agg(F.count("*").alias("weight"), F.min(order).alias("first"))
-    own = written(own, "points", free=False)
-    points = own.select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"), "weight", cell("x").alias("_i"), cell("y").alias("_j"))
-    modes = own.select(*keys, "x", "y", "first", F.col("x").alias("mx"), F.col("y").alias("my"), F.lit(True).alias("moves"))
-    for number in range(1, rounds + 1):
-        asked = modes.where("moves").select(*keys, "mx", "my").distinct()
-        asked = asked.withColumn("_a", F.explode(F.array(*around))).select(*keys, "mx", "my", (cell("mx") + F.col("_a.i")).alias("_i"), (cell("my") + F.col("_a.j")).alias("_j"))
-        near = asked.join(points, [*keys, "_i", "_j"]).where(F.pow(F.col("mx") - F.col("_x"), 2) + F.pow(F.col("my") - F.col("_y"), 2) <= bandwidth**2)
-        mean = lambda c: F.sum(F.col(c) * F.col("weight")) / F.sum("weight")
-        moved = near.groupBy(*keys, "mx", "my").agg(mean("_x").alias("nx"), mean("_y").alias("ny"))
-        out = modes.join(moved, [*keys, "mx", "my"], "left")
-        far = F.greatest(F.abs(F.col("nx") - F.col("mx")), F.abs(F.col("ny") - F.col("my"))) >= still
-        on = F.col("moves") & F.col("nx").isNotNull()
-        modes = out.select(*keys, "x", "y", "first", F.when(on, F.col("nx")).otherwise(F.col("mx")).alias("mx"), F.when(on, F.col("ny")).otherwise(F.col("my")).alias("my"), (on & F.coalesce(far, F.lit(False))).alias("moves"))
-        if number % TOGETHER == 0 or number == rounds:
-            modes = written(modes, "modes", free=False)
-            if modes.where("moves").isEmpty():
-                break
-    met = modes.withColumns({"mx": F.round("mx", 6), "my": F.round("my", 6)})
-    place = F.struct("first", "mx", "my")
-    each = met.groupBy(*keys, "mx", "my").agg(F.min("first").alias("first")).groupBy(*keys).agg(F.sort_array(F.collect_list(place)).alias("m"))
-    close = lambda a, b: F.pow(a["mx"] - b["mx"], 2) + F.pow(a["my"] - b["my"], 2) <= bandwidth**2
-    none = F.slice("m", 1, 0)
-    areas = each.select(*keys, F.aggregate("m", none, lambda seen, c: F.when(F.exists(seen, lambda s: close(s, c)), seen).otherwise(F.concat(seen, F.array(c)))).alias("areas"))
-    own_mode = F.struct("mx", "my")
-    label = met.join(areas, keys).select(*keys, "x", "y", own_mode.alias("c"), "areas")
-    label = label.select(*keys, "x", "y", (F.array_position(F.transform("areas", lambda s: close(s, F.col("c"))), True) - 1).alias("area"))
-    return df.join(label, [*keys, "x", "y"])
+    own = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "x", "y"))).groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c) for c in df.columns if c not in keys])).alias("_p"))
+    columns, names = df.columns, [c for c in df.columns if c not in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = np.diff(np.asarray(batch.column("_p").offsets).astype(np.int64))
+            work, low = np.cumsum(many**2), 0
+            while low < len(many):
+                high = max(low + 1, int(np.searchsorted(work, (work[low - 1] if low else 0) + (1 << 21), "right")))
+                part = batch.slice(low, high - low)
+                at = np.concatenate(([0], np.cumsum(many[low:high])))
+                fields = dict(zip(names, part.column("_p").flatten().flatten(), strict=True))
+                x, y = (fields[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "xy")
+                mx, my = ([v if v == v else math.nan for v in np.round(m, 6).tolist()] for m in shifted(at, x, y, bandwidth, rounds, still))
+                first = pc.rank(fields[order], tiebreaker="dense").to_numpy().tolist()
+                told = [areas(first[a:b], mx[a:b], my[a:b], bandwidth) for a, b in pairwise(at.tolist())]
+                owner = pa.array(np.repeat(np.arange(high - low), many[low:high]))
+                fields |= {k: part.column(k).take(owner) for k in keys} | {"area": pa.array(list(chain.from_iterable(told)), pa.int64())}
+                yield pa.record_batch([fields[c] for c in (*columns, "area")], names=[*columns, "area"])
+                low = high
+
+    return own.mapInArrow(run, StructType([*df.schema.fields, StructField("area", LongType())]))
 
 
 def phrases(symbols: Sequence) -> int:
