@@ -201,3 +201,15 @@ def test_streamed_shares(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(tuple(x) for x in spark.table("shares").collect()) == batch and len(batch) == 6
     assert [x.n for x in streaming.sessions(df, gap="5 seconds").collect()] == [30]
+
+
+def test_feature_files_hold_many_records(spark, tmp_path):
+    rows = [(f"a b={k}" if k else None, s, None if s == 2 else k + s / 3) for k in range(300) for s in range(4)]
+    sensors.write_features(frame(spark, rows, "record_id string, segment long, mean double"), str(tmp_path), "skin")
+    files = list((tmp_path / "skin").rglob("*.csv"))
+    assert 0 < len(files) <= 8
+    held = [[line.split(",")[0] for line in f.read_text().splitlines()[1:]] for f in files]
+    records = [r for f in held for n, r in enumerate(f) if not n or f[n - 1] != r]
+    assert len(records) == len(set(records)) == 300  # of each one run in one file
+    back = spark.read.schema("record_id string, segment long, mean double").csv(str(tmp_path / "skin"), header=True)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, frame(spark, rows, back.schema).collect()))

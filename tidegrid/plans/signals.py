@@ -340,7 +340,7 @@ def feature_csv(spark, sf_dir):
     """Features written as CSV by record and read again."""
     at = f"{shared_dir(spark)}/tidegrid-csv-{uuid.uuid4().hex}"
     sensors.write_features(_segment_features(spark, sf_dir)[1], at, "skin")
-    out = spark.read.schema("segment LONG, mean DOUBLE, valid_mean DOUBLE, record_id LONG").csv(f"{at}/skin", header=True)
+    out = spark.read.schema("record_id LONG, segment LONG, mean DOUBLE, valid_mean DOUBLE").csv(f"{at}/skin", header=True)
     return out.groupBy("record_id").agg(F.count("*").alias("n"), F.round(F.sum("mean"), 4).alias("total"))
 
 
