@@ -168,6 +168,33 @@ def test_families_without_rare_words(spark, monkeypatch):
     assert got == classes(rows)
 
 
+def test_partners_whose_only_common_keys_are_large(spark):
+    """A sketch by hand: near texts share one large key only, of few large ones, and neither is near its centre."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(45):
+        base = [word() for _ in range(30)]
+        texts += [" ".join(base), " ".join([*base[:25], *(word() for _ in range(5))])]
+    name = lambda k: f"{k:03d}".encode()
+    docs = spark.createDataFrame([(name(k), t) for k, t in enumerate(texts)], "node binary, text string")
+    sketches = spark.createDataFrame([(name(k), 30, [1, *range(100 * k + 100, 100 * k + 131)]) for k in range(90)], "node binary, n int, keys array<bigint>")
+    got = {(bytes(x.a), bytes(x.b)) for x in near_dup.links(docs, sketches, 0.8).collect()}
+    assert got == {(name(k), name(k + 1)) for k in range(0, 90, 2)}
+
+
+def test_first_words_of_near_texts_meet():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 50, 1 << 16)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 63, rng.integers(1, 40)).astype(np.uint64)
+        b = a.copy()
+        b[rng.permutation(len(a))[: int(len(a) * 0.2 + 1e-9)]] = rng.integers(0, 1 << 63)
+        bags = np.concatenate((a, b)), np.array([0, len(a), 2 * len(a)])
+        word, of = near_dup.first_words(*bags, counts, 0.8)
+        assert set(word[: of[1]].tolist()) & set(word[of[1] :].tolist())
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = [(3, "a b c", "x"), (3, "a b c", "x"), (4, "a b c", "y"), (None, "a b c", "z"), (None, None, "q"), (5, "d", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, copies string")

@@ -20,20 +20,16 @@ side by side. Texts of over 32 words are cut at shingles that stand once in both
 their parts aligned first; if that shows them near, it is the similarity told (a
 lower bound).
 
-*Keys that many share.* Members of a key are compared with its centre, the
-member that shares most keys; of a key of up to ``SMALL`` all others too, unless they
-are connected by then. A larger key's members, all that have its centre together, go through
+*Keys that many share.* A text is compared with the centre of its largest key, the
+member that shares most keys, first; then with those of its other keys that it is not connected
+with by then; of a key of up to ``SMALL`` all others too, unless they
+are connected. A larger key's members, all that have its centre together, go through
 an exact filter instead, where they are not connected already: near texts share at least
-``max(n, m) - edits`` words, so if each text's words are ordered by how many members
-have them, those of one component first, the first ``floor(n / 5) + 1`` of two near texts have one in common. Such
-lists of rare words are short; of those up to ``SMALL`` all pairs of different components are
-candidates. Members of longer ones, where all words are common, are dealt to blocks of about
-``BLOCK`` and each two blocks compared, by two bytes of each word first (words that are alike by
-chance only add candidates). This is for texts that
-mostly consist of what many share, those with more than one in ``SHARE`` of their keys large;
-others (with a common passage among words of their own) are found by their other keys, four
-fifths of all. At 72 common words of 100 three texts in ten thousand have that few large keys by chance; all
-others lose no partner that they have a key in common with. How much work that is depends on
+``max(n, m) - edits`` words, so if all texts' words are put in one order, the first
+``floor(n / 5) + 1`` of two near texts have one in common, whatever the order is. It is the one from words that few of
+the texts have to those that many have, by counts of ``BUCKETS`` classes of words. Members of one list, of the same centre and word,
+are dealt to blocks of about ``BLOCK`` and each two blocks compared, by two bytes of each word first (words that are alike by
+chance only add candidates). So no partner is lost that a text has a key in common with. How much work that is depends on
 the size of a family, the answer does not.
 
 *Classes* are the connected components of verified links over distinct texts;
@@ -51,7 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -63,8 +59,8 @@ SHORT = 50
 SMALL = 32
 #: Texts of a block of a longer list.
 BLOCK = 128
-#: A text with more than one in so many of its keys large is compared by its words.
-SHARE = 5
+#: Classes of words, by the first two bytes of their hashes, that are counted for the order of words.
+BUCKETS = 1 << 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -321,6 +317,35 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("node")[low:high], bags, brief], names=["node", "own", "brief"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each class of words is there."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for brief in batch.column("brief"):
+            total += np.bincount(np.frombuffer(brief.as_buffer(), np.uint16), minlength=BUCKETS)
+    some = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["bucket", "c"])
+
+
+def first_words(own: np.ndarray, of: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest words of each text that near ones have one of in common, and each text's first one."""
+    n = np.diff(of)
+    order = np.lexsort((own, counts[own >> np.uint64(48)], np.repeat(np.arange(len(n)), n)))
+    take = np.minimum(np.floor(n * (1 - threshold) + 1e-9).astype(np.int64) + 1, n)
+    return own[order[ranges(of[:-1], take)]], np.concatenate(([0], np.cumsum(take)))
+
+
+def _first(counts: np.ndarray, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = batch.column("own")
+            of = np.asarray(bags.offsets).astype(np.int64)
+            word, ends = first_words(bags.flatten().to_numpy().view(np.uint64), of - of[0], counts, threshold)
+            yield pa.record_batch([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(word.view(np.int64)))], names=["node", "w"])
+
+    return run
+
+
 def shared_at_most(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     """Upper bounds of how many values each of ``one`` shares with each of ``two``: the sums of their counts' products."""
     bags = one + two
@@ -375,16 +400,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _grouped(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of ``keys(key, node, n, of)`` those that several have, counted, and (node, n, heavy, centre, m, top_heavy, large) of the members of
-    each and its centre; ``large`` if some key they have in common is, ``heavy`` if more than one in ``SHARE`` of all keys of a text (``of``) are."""
+    """Of ``keys(key, node, n)`` those that several have, counted, and (node, n, centre, m, c, rank) of the members of each and
+    its centre: the size of the largest key they have in common, and which one of the node's it is."""
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     held = written(keys.join(shared, "key"), "keys")
     # Of each node its weight (how many it meets in all its keys) and its keys.
-    node = held.groupBy("node").agg(F.sum("c").alias("weight"), F.first("n").alias("n"), (F.count_if(F.col("c") > SMALL) * SHARE > F.first("of")).alias("heavy"), F.collect_list(F.struct("key", (F.col("c") > SMALL).alias("large"))).alias("k"))
-    weighed = node.select("node", "n", "heavy", "weight", F.explode("k").alias("k")).select("node", "n", "heavy", "weight", "k.*")
-    centre = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "heavy")).alias("top"))
-    told = weighed.join(centre, "key").select("node", "n", "heavy", F.col("top.node").alias("centre"), F.col("top.n").alias("m"), F.col("top.heavy").alias("top_heavy"), "large").where("node <> centre")
-    return held, written(told.groupBy("node", "n", "heavy", "centre", "m", "top_heavy").agg(F.max("large").alias("large")), "told", free=False)
+    node = held.groupBy("node").agg(F.sum("c").alias("weight"), F.first("n").alias("n"), F.collect_list(F.struct("key", "c")).alias("k"))
+    weighed = node.select("node", "n", "weight", F.explode("k").alias("k")).select("node", "n", "weight", "k.*")
+    centre = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("top"))
+    told = weighed.join(centre, "key").select("node", "n", F.col("top.node").alias("centre"), F.col("top.n").alias("m"), "c").where("node <> centre")
+    told = told.groupBy("node", "n", "centre", "m").agg(F.max("c").alias("c"))
+    fits = F.least("n", "m") >= F.greatest("n", "m") * 0.5  # the likelier ones first
+    return held, written(told.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(fits.desc(), F.desc("c"), "centre"))), "told", free=False)
 
 
 def _small(rows: DataFrame, threshold: float) -> DataFrame:
@@ -411,22 +438,20 @@ def _star(told: DataFrame, threshold: float) -> DataFrame:
 
 
 def _rare(docs: DataFrame, told: DataFrame, label: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(key, node, n, component, c): the lists of rare words of large keys' members, those of several components only; and (node, own), their words."""
-    one = told.where("large")
-    members = one.where("heavy").select("node", "n", F.col("centre").alias("group")).unionByName(one.where("top_heavy").select(F.col("centre").alias("node"), F.col("m").alias("n"), F.col("centre").alias("group"))).distinct()
-    short = {x: F.xxhash64(y) for x, y in (("g", "group"), ("i", "node"), ("p", "component"))}  # two that are equal by chance only cost work
+    """(key, node, component, c): the lists of rare words of large keys' members, those of several components only; and (node, brief), their words."""
+    one = told.where(F.col("c") > SMALL)
+    members = one.select("node", F.col("centre").alias("group")).unionByName(one.select(F.col("centre").alias("node"), F.col("centre").alias("group")).distinct())
+    short = {x: F.xxhash64(y) for x, y in (("g", "group"), ("p", "component"))}  # two that are equal by chance only cost work
     members = written(_placed(members, label).withColumns(short), "members")
     members = members.join(_open(members, "g", part="p").select("g"), "g")
     wanted = docs.join(members.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     bags = written(wanted.mapInArrow(_bags, "node binary, own array<bigint>, brief binary"), "bags")
-    rows = members.join(bags.drop("brief"), "node").select("g", "i", "p", "n", F.explode("own").alias("word"))
-    # A word of one component only makes no list, but it takes a place among the first ones.
-    each = rows.join(_open(rows, "g", "word", part="p"), ["g", "word"]).groupBy("g", "i", "p", "n").agg(F.sort_array(F.collect_list(F.struct("c", "word"))).alias("w"))
-    first = F.floor(F.col("n") * (1 - threshold) + 1e-9).cast("int") + 1 - (F.col("n") - F.size("w"))
-    lists = each.where(first > 0).select("g", "i", "p", F.explode(F.slice("w", F.lit(1), first)).alias("w"))
-    lists = written(lists.select(F.xxhash64("g", "w.word").alias("key"), "i", "p"), "rare")
-    names = members.select("i", "node", "n", "component").distinct()
-    return written(lists.join(_open(lists, "key", part="p"), "key").join(names, "i").select("key", "node", "n", "component", "c"), "lists", free=False), bags
+    counts = np.zeros(BUCKETS, np.int64)
+    for bucket, c in bags.mapInArrow(_counted, "bucket long, c long").groupBy("bucket").agg(F.sum("c")).collect():  # as many rows as classes, at most
+        counts[bucket] = c
+    first = bags.select("node", "own").mapInArrow(_first(counts, threshold), "node binary, w array<bigint>")
+    lists = written(members.join(first, "node").select("g", "node", "component", "p", F.explode("w").alias("word")).select(F.xxhash64("g", "word").alias("key"), "node", "component", "p"), "rare")
+    return lists.join(_open(lists, "key", part="p"), "key").select("key", "node", "component", "c"), bags.drop("own")
 
 
 def _blocks(lists: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -434,9 +459,11 @@ def _blocks(lists: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     many = F.ceil(F.col("c") / BLOCK).cast("int")
     rows = lists.select("key", many.alias("many"), F.pmod(F.xxhash64("node", "key"), many).cast("int").alias("block"), "node", "component").join(bags.select("node", "brief"), "node")
     block = written(rows.groupBy("key", "many", "block").agg(F.collect_list(F.struct("node", "component", "brief")).alias("x")), "blocks")
-    one = block.withColumn("other", F.explode(F.sequence("block", F.col("many") - 1)))
-    two = block.select("key", F.col("block").alias("other"), F.col("x").alias("y"))
-    return one.join(two, ["key", "other"]).select("block", "other", "x", "y").mapInArrow(_alike(threshold), "a binary, b binary")
+    alone = block.where("many = 1").select("block", F.col("block").alias("other"), "x", F.col("x").alias("y"))
+    one = block.where("many > 1").withColumn("other", F.explode(F.sequence("block", F.col("many") - 1)))
+    two = block.where("many > 1").select("key", F.col("block").alias("other"), F.col("x").alias("y"))
+    both = alone.unionByName(one.join(two, ["key", "other"]).select("block", "other", "x", "y"))
+    return both.mapInArrow(_alike(threshold), "a binary, b binary")
 
 
 def _checked(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -452,23 +479,22 @@ def _checked(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 def links(docs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b, similarity) between the distinct texts of ``docs(node, text)``.
 
-    Texts are compared with the centres of their keys first; of other pairs that share a small key, or
-    a large one and a rare word, only those that are not connected by then, and so on.
+    Texts are compared with the centre of their largest key first, with others that they are not connected with then; of other pairs
+    that share a small key, or a large one and a rare word, only those that are not connected by then.
     """
-    held, told = _grouped(sketches.select("node", "n", F.size("keys").alias("of"), F.explode("keys").alias("key")))
-    found = _checked(docs, _star(told, threshold), threshold)
+    held, told = _grouped(sketches.select("node", "n", F.explode("keys").alias("key")))
+    found = _checked(docs, _star(told.where("rank = 1"), threshold), threshold)
+    label = components(found)
+    centre = label.select(F.col("node").alias("centre"), F.col("component").alias("other"))
+    apart = _placed(told.where("rank > 1"), label).join(centre, "centre", "left").where(F.col("component") != F.coalesce("other", "centre"))
+    found = found.unionByName(_checked(docs, _star(apart, threshold), threshold))
     label = components(found)
     pairs = _small(_placed(held.where((F.col("c") <= SMALL) & (F.col("c") > 2)), label), threshold)
-    if told.where("large AND (heavy OR top_heavy)").isEmpty():
+    if told.where(F.col("c") > SMALL).isEmpty():
         return found.unionByName(_checked(docs, pairs, threshold))
-    lists, bags = _rare(docs, told, label, threshold)
-    found = found.unionByName(_checked(docs, pairs.unionByName(_small(lists.where(F.col("c") <= SMALL), threshold)), threshold))
-    long = lists.where(F.col("c") > SMALL)
-    if long.isEmpty():
-        return found
-    long = _placed(long.drop("component", "c"), components(found))
-    long = written(long.join(_open(long, "key"), "key"), "long", free=False)
-    return found.unionByName(_checked(docs, _blocks(long, bags, threshold), threshold))
+    found = found.unionByName(_checked(docs, pairs, threshold))
+    lists, bags = _rare(docs, told, components(found), threshold)
+    return found.unionByName(_checked(docs, _blocks(lists, bags, threshold), threshold))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, bands: int = 32, ell: int = 2, short_bands: int = 16) -> DataFrame:
