@@ -235,3 +235,77 @@ def test_blocks_tell_near_pairs_of_different_components_only():
     assert told(member[1:2], member[:1], False) == [(b"a", b"b")]
     member[1]["component"] = b"a"
     assert told(member, member, True) == []
+
+
+def alike(r, many, words=60):
+    """Texts that are all near each other, and a far one that shares most keys with them, which makes it their centre."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(words)]
+    texts = [" ".join(word() if k == i % words or k == i // words else w for k, w in enumerate(base)) for i in range(many)]
+    keys = [[1, 2] if i < 40 else [1] for i in range(many)]
+    return [*texts, " ".join(word() for _ in range(words))], [*keys, [1, 2, 3]]
+
+
+def linked(spark, texts, keys):
+    name = lambda k: f"{k:03d}".encode()
+    docs = spark.createDataFrame([(name(k), t) for k, t in enumerate(texts)], "node binary, text string")
+    sketches = spark.createDataFrame([(name(k), len(t.split()), keys[k]) for k, t in enumerate(texts)], "node binary, n int, keys array<bigint>")
+    return [(bytes(x.a), bytes(x.b)) for x in near_dup.links(docs, sketches, 0.8).collect()]
+
+
+def tops(pairs):
+    up = {}
+
+    def top(c):
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    for a, b in pairs:
+        up[top(a)] = top(b)
+    return Counter(top(c) for c in {c for p in pairs for c in p})
+
+
+def test_links_of_a_family_grow_with_its_members(spark):
+    """Not with the square: 100 texts near each other had 4,950 candidates."""
+    texts, keys = alike(random.Random(2), 100)
+    texts[40:40] = [texts[-1] + " x"]  # so the centre is a member of a component of its own
+    keys[40:40] = [[3]]
+    got = linked(spark, texts, keys)
+    large = [p for p in got if b"040" not in p]
+    assert len(large) == len(set(large)) == 99 and len(got) == 100
+    assert sorted(tops(got).values()) == [2, 100]
+
+
+def test_members_of_one_centre_are_one_list_where_lists_of_words_would_be_more(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("a row a word")
+
+    monkeypatch.setattr(near_dup, "_first", never)
+    assert sorted(tops(linked(spark, *alike(random.Random(3), 100))).values()) == [100]
+
+
+@pytest.mark.parametrize("block,words", [(1, 1 << 16), (8, 1 << 16), (128, 300)])
+def test_lists_and_blocks_of_any_size_find_the_same_classes(spark, monkeypatch, block, words):
+    """Blocks of one text: lists of words. Others: all members of a centre, dealt by their number or their words."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "WORDS", words)
+    ran = []
+    first = near_dup._first
+    monkeypatch.setattr(near_dup, "_first", lambda *a: ran.append(1) or first(*a))
+    rows = partners(random.Random(9), 60, among=[f"w{k}" for k in range(400)])
+    got = sorted((x.doc_id, x.class_id) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == classes(rows) and bool(ran) == (block == 1)
+
+
+def test_connecting_links_are_a_forest_and_lose_no_component():
+    r = random.Random(6)
+    words = {f"{i}".encode(): np.array([k if r.random() < 0.9 else r.randrange(1000, 9999) for k in range(40 * (i % 3), 40 * (i % 3) + 40)], np.uint64) for i in range(30)}
+    part = {n: n if i % 5 else b"0" if i % 3 == 0 else n for i, n in enumerate(words)}
+    pairs = [(a, b) for a in words for b in words if a < b and part[a] != part[b]]
+    got = near_dup.connecting(pairs, part, words, 0.8)
+    near = [p for p in pairs if similarities([(words[p[0]], words[p[1]])], 0.8)[0]]
+    same = [(n, part[n]) for n in words]
+    assert sorted(tops([*same, *near]).values()) == sorted(tops([*same, *((a, b) for a, b, _ in got)]).values())
+    assert len(got) < len(near) and len(got) == len(set(part.values())) - len(tops([*same, *near]))

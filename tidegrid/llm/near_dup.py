@@ -28,9 +28,11 @@ an exact filter instead, where they are not connected already: near texts share
 ``max(n, m) - edits`` words, so if all texts' words are put in one order, the first
 ``floor(n / 5) + 1`` of two near texts have one in common, whatever the order is. It is the one from words that few of
 the texts have to those that many have, by counts of ``BUCKETS`` classes of words. Members of one list, of the same centre and word,
-are dealt to blocks of about ``BLOCK`` and each two blocks compared, by two bytes of each word first (words that are alike by
-chance only add candidates). So no partner is lost that a text has a key in common with. How much work that is depends on
-the size of a family, the answer does not.
+are dealt to blocks of about ``BLOCK`` and those blocks compared that may hold members of several components, by two bytes of each
+word first (words that are alike by chance only add candidates). Where that makes fewer copies of a member than
+its lists would, all members of a centre are one list. Candidates are aligned where they meet, the likeliest first,
+and not if links have connected them by then: two blocks tell fewer links than they have members. So no partner is lost
+that a text has a key in common with. How much work that is depends on the size of a family, the answer does not.
 
 *Classes* are the connected components of verified links over distinct texts;
 exact copies are folded first and join their text's class.
@@ -57,8 +59,8 @@ from .text import LOWER, Rolling, hashed, mix, pieces, ranges, words
 SHORT = 50
 #: Texts of one key up to which all of them are compared with each other.
 SMALL = 32
-#: Texts of a block of a longer list.
-BLOCK = 128
+#: Texts of a block of a longer list, and their words (about).
+BLOCK, WORDS = 128, 1 << 16
 #: Classes of words, by the first two bytes of their hashes, that are counted for the order of words.
 BUCKETS = 1 << 16
 
@@ -307,14 +309,15 @@ def _verified(threshold: float):
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each text with their occurrence numbers; ``brief`` holds two bytes of each one's hash."""
+    """The words of each text with their occurrence numbers; ``brief`` holds two bytes of each one's hash, ``word`` the words alone."""
     for batch in batches:
         for low, high, raw, at in pieces(batch.column("text")):
             word, of = tokens(raw, at)
             own = labelled(word, of)
             bags = pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.array(own.view(np.int64)))
             brief = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((2 * of).astype(np.int32)), pa.py_buffer((own >> np.uint64(48)).astype(np.uint16))])
-            yield pa.record_batch([batch.column("node")[low:high], bags, brief], names=["node", "own", "brief"])
+            plain = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((8 * of).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(word))])
+            yield pa.record_batch([batch.column("node")[low:high], bags, brief, plain], names=["node", "own", "brief", "word"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +360,7 @@ def shared_at_most(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
 
 
 def _alike(threshold: float):
-    """Pairs of two blocks' members, of different components, that may share enough words to be near."""
+    """Pairs of two blocks' members, of different components, that may share enough words to be near, the likeliest first; a batch a row."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,15 +373,66 @@ def _alike(threshold: float):
                 part, size = ([np.array([f(m) for m in side]) for side in (x, y)] for f in (lambda m: ids[m["component"]], lambda m: len(m["brief"]) // 2))
                 most = np.maximum.outer(*size)
                 need = most - np.floor(most * (1 - threshold) + 1e-9)
-                near = (shared_at_most(*bags) >= need) & (np.minimum.outer(*size) >= need) & np.not_equal.outer(*part)
+                shared = shared_at_most(*bags)
+                near = (shared >= need) & (np.minimum.outer(*size) >= need) & np.not_equal.outer(*part)
                 if row["block"] == row["other"]:
                     near = np.triu(near, 1)
-                pairs = [(x[i]["node"], y[j]["node"]) for i, j in np.argwhere(near).tolist()]
+                at = np.argwhere(near)
+                at = at[np.argsort(-(shared / np.maximum(most, 1))[near], kind="stable")]
+                pairs = [(x[i]["node"], y[j]["node"]) for i, j in at.tolist()]
                 yield pa.record_batch([pa.array([f(p) for p in pairs], pa.binary()) for f in (min, max)], schema=schema)
 
     return run
 
 
+def connecting(pairs: list[tuple[bytes, bytes]], part: dict[bytes, bytes], word: dict[bytes, np.ndarray], threshold: float) -> list[tuple[bytes, bytes, float]]:
+    """Links among ``pairs`` that connect what they connect, none of them between parts that others have connected.
+
+    Of each part the first pair that is left is aligned, then two, four and so on, until no pair of two parts is left.
+    """
+    up: dict[bytes, bytes] = {}
+
+    def top(c: bytes) -> bytes:
+        while (d := up.get(c, c)) != c:
+            up[c] = c = up.get(d, d)
+        return c
+
+    out, some = [], 1
+    while pairs:
+        now, later, met = [], [], {}
+        for a, b in pairs:
+            if (one := top(part[a])) != (two := top(part[b])):
+                seen = met.get(one, 0), met.get(two, 0)
+                met[one], met[two] = seen[0] + 1, seen[1] + 1
+                (now if min(seen) < some else later).append((a, b))
+        score = similarities([(word[a], word[b]) for a, b in now], threshold).tolist()
+        for (a, b), s in zip(now, score, strict=True):
+            if s and (one := top(part[a])) != (two := top(part[b])):
+                up[one] = two
+                out.append((a, b, s))
+        pairs, some = later, 2 * some
+    return out
+
+
+def _connected(threshold: float):
+    """Links that connect the components of two blocks' members."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
+    alike = _alike(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, told in enumerate(alike([batch])):
+                found = []
+                if told.num_rows:
+                    row = batch.slice(r, 1).to_pylist()[0]
+                    member = row["x"] + row["y"]
+                    part, word = {m["node"]: m["component"] for m in member}, {m["node"]: np.frombuffer(m["word"], np.uint64) for m in member}
+                    found = connecting(list(zip(*(told.column(c).to_pylist() for c in "ab"), strict=True)), part, word, threshold)
+                yield pa.record_batch([pa.array([f[i] for f in found], schema.types[i]) for i in range(3)], schema=schema)
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges(a, b)``; a component is named by its least node.
 
@@ -427,9 +481,12 @@ def _placed(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _open(rows: DataFrame, *key: str, part: str = "component") -> DataFrame:
-    """The keys whose members belong to several components, and how many members they have."""
-    return rows.groupBy(*key).agg(F.count("*").alias("c"), F.min(part).alias("_a"), F.max(part).alias("_b")).where("_a <> _b").select(*key, "c")
+def _open(rows: DataFrame, key: str) -> DataFrame:
+    """The keys of ``rows(key, component, n)`` whose members belong to several components: how many there are, of how many words, those
+    (``rest``) outside the largest component (``most``) and how many words they have."""
+    part = rows.groupBy(key, "component").agg(F.count("*").alias("c"), F.sum("n").alias("words"))
+    each = part.groupBy(key).agg(F.sum("c").alias("c"), F.sum("words").alias("words"), F.max(F.struct("c", "component", "words")).alias("top"))
+    return each.where("c > top.c").select(key, "c", "words", F.col("top.component").alias("most"), (F.col("c") - F.col("top.c")).alias("rest"), (F.col("words") - F.col("top.words")).alias("rest_words"))
 
 
 def _star(told: DataFrame, threshold: float) -> DataFrame:
@@ -438,32 +495,54 @@ def _star(told: DataFrame, threshold: float) -> DataFrame:
 
 
 def _rare(docs: DataFrame, told: DataFrame, label: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(key, node, component, c): the lists of rare words of large keys' members, those of several components only; and (node, brief), their words."""
+    """(key, node, component, n): the lists of large keys' members, all of a centre or those with a rare word in common, of several
+    components only; and (node, brief, word), their words."""
     one = told.where(F.col("c") > SMALL)
-    members = one.select("node", F.col("centre").alias("group")).unionByName(one.select(F.col("centre").alias("node"), F.col("centre").alias("group")).distinct())
-    short = {x: F.xxhash64(y) for x, y in (("g", "group"), ("p", "component"))}  # two that are equal by chance only cost work
-    members = written(_placed(members, label).withColumns(short), "members")
-    members = members.join(_open(members, "g", part="p").select("g"), "g")
+    centre = one.select(F.col("centre").alias("node"), F.col("m").alias("n"), F.col("centre").alias("group")).distinct()
+    members = one.select("node", "n", F.col("centre").alias("group")).unionByName(centre)
+    members = _placed(members, label).select(F.xxhash64("group").alias("g"), "node", "component", "n")  # two groups that are equal by chance only cost work
+    members = written(members, "members")
+    # A member meets as many blocks as there are of those outside the largest component, or has so many lists.
+    whole = F.col("rest") <= BLOCK * (F.col("words") / F.col("c") * (1 - threshold) + 1)
+    members = written(members.join(_open(members, "g").select("g", whole.alias("whole")), "g"), "open")
     wanted = docs.join(members.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    bags = written(wanted.mapInArrow(_bags, "node binary, own array<bigint>, brief binary"), "bags")
-    counts = np.zeros(BUCKETS, np.int64)
-    for bucket, c in bags.mapInArrow(_counted, "bucket long, c long").groupBy("bucket").agg(F.sum("c")).collect():  # as many rows as classes, at most
-        counts[bucket] = c
-    first = bags.select("node", "own").mapInArrow(_first(counts, threshold), "node binary, w array<bigint>")
-    lists = written(members.join(first, "node").select("g", "node", "component", "p", F.explode("w").alias("word")).select(F.xxhash64("g", "word").alias("key"), "node", "component", "p"), "rare")
-    return lists.join(_open(lists, "key", part="p"), "key").select("key", "node", "component", "c"), bags.drop("own")
+    bags = written(wanted.mapInArrow(_bags, "node binary, own array<bigint>, brief binary, word binary"), "bags")
+    lists = members.where("whole").select(F.col("g").alias("key"), "node", "component", "n")
+    members = members.where("not whole")
+    if not members.isEmpty():
+        own = bags.select("node", "own").join(members.select("node").distinct(), "node", "left_semi")
+        brief = bags.select("node", "brief").join(members.select("node").distinct(), "node", "left_semi")
+        counts = np.zeros(BUCKETS, np.int64)
+        for bucket, c in brief.mapInArrow(_counted, "bucket long, c long").groupBy("bucket").agg(F.sum("c")).collect():  # as many rows as classes, at most
+            counts[bucket] = c
+        first = own.mapInArrow(_first(counts, threshold), "node binary, w array<bigint>")
+        by_word = members.join(first, "node").select("g", "node", "component", "n", F.explode("w").alias("word"))
+        lists = lists.unionByName(by_word.select(F.xxhash64("g", "word").alias("key"), "node", "component", "n"))
+    return written(lists, "lists"), bags.drop("own")
 
 
 def _blocks(lists: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of lists of any length, by blocks: each two blocks of a list are compared, wherever there is room."""
-    many = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = lists.select("key", many.alias("many"), F.pmod(F.xxhash64("node", "key"), many).cast("int").alias("block"), "node", "component").join(bags.select("node", "brief"), "node")
-    block = written(rows.groupBy("key", "many", "block").agg(F.collect_list(F.struct("node", "component", "brief")).alias("x")), "blocks")
+    """Links (a, b, similarity) that connect the components of each list: its blocks outside the largest one are compared with each
+    other and with those of the largest, wherever there is room."""
+    blocks = lambda c, words: F.ceil(F.greatest(F.col(c) / BLOCK, F.col(words) / WORDS)).cast("int")
+    rows = lists.join(_open(lists, "key"), "key").withColumn("all", blocks("c", "words"))
+    rest = F.when(F.col("all") == 1, 1).otherwise(blocks("rest", "rest_words"))
+    others = F.when(F.col("all") == 1, 0).otherwise(blocks("large", "large_words"))
+    rows = rows.withColumns({"large": F.col("c") - F.col("rest"), "large_words": F.col("words") - F.col("rest_words")}).withColumns({"few": rest, "many": rest + others})
+    at = F.xxhash64("node", "key")
+    block = F.when((F.col("all") > 1) & (F.col("component") == F.col("most")), F.col("few") + F.pmod(at, F.greatest(F.col("many") - F.col("few"), F.lit(1)))).otherwise(F.pmod(at, "few"))
+    rows = rows.select("key", "few", "many", block.cast("int").alias("block"), "node", "component").join(bags, "node")
+    members = F.sort_array(F.collect_list(F.struct("node", "component", "brief", "word")))  # in one order, so that reruns agree
+    block = written(rows.groupBy("key", "few", "many", "block").agg(members.alias("x")), "blocks")
     alone = block.where("many = 1").select("block", F.col("block").alias("other"), "x", F.col("x").alias("y"))
-    one = block.where("many > 1").withColumn("other", F.explode(F.sequence("block", F.col("many") - 1)))
+    # As many tasks as a shuffle has: comparing takes long beside what it reads.
+    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = block.where("many > 1 and block < few").withColumn("other", F.explode(F.sequence("block", F.col("many") - 1))).select("key", "block", "other", "x")
     two = block.where("many > 1").select("key", F.col("block").alias("other"), F.col("x").alias("y"))
-    both = alone.unionByName(one.join(two, ["key", "other"]).select("block", "other", "x", "y"))
-    return both.mapInArrow(_alike(threshold), "a binary, b binary")
+    both = one.repartition(tasks, "key", "other").join(two.repartition(tasks, "key", "other"), ["key", "other"])
+    both = alone.unionByName(both.select("block", "other", "x", "y"))
+    found = both.mapInArrow(_connected(threshold), "a binary, b binary, similarity double")
+    return written(found.dropDuplicates(["a", "b"]), "connected")
 
 
 def _checked(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -494,7 +573,7 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
         return found.unionByName(_checked(docs, pairs, threshold))
     found = found.unionByName(_checked(docs, pairs, threshold))
     lists, bags = _rare(docs, told, components(found), threshold)
-    return found.unionByName(_checked(docs, _blocks(lists, bags, threshold), threshold))
+    return found.unionByName(_blocks(lists, bags, threshold))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, bands: int = 32, ell: int = 2, short_bands: int = 16) -> DataFrame:
